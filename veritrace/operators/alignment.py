@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrace.session import materialize, new_folder
 
@@ -49,7 +50,7 @@ def _lcs_batch(gold: pd.Series, reason: pd.Series) -> pd.Series:
     return pd.Series(lengths, dtype="int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(gold: pd.Series, reason: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two short traces."""
     return _lcs_batch(gold, reason)

@@ -39,16 +39,48 @@ def measure_skew(df: DataFrame, keys: list[str], max_rows: int = MAX_ROWS_PER_TA
     return KeySkew(row["n_hot"] or 0, row["largest"] or 0)
 
 
-def _as_number(column: Column, dtype: str) -> Column:
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(column.cast("timestamp"))
-    return column
-
-
 def _maybe_broadcast(side: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(side) if n_rows <= MAX_BROADCAST_KEYS else side
 
 
+@dataclass(frozen=True)
+class Chunks:
+    """Rows with a ``_chunk`` number: 0 everywhere, except that a hot key's order range is cut into many."""
+
+    rows: DataFrame
+    hot: DataFrame | None
+    n_carried: int
+
+    def carry(self, keys: list[str], *aggregates: Column) -> DataFrame:
+        """One row per chunk of every hot key."""
+        hot_rows = self.rows.join(_maybe_broadcast(self.hot, self.n_carried), keys, "left_semi")
+        return hot_rows.groupBy(*keys, "_chunk").agg(*aggregates)
+
+    def join_carried(self, rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.join(_maybe_broadcast(carried, self.n_carried), [*keys, "_chunk"], "left")
+
+
+def cut_hot_keys(
+    df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS_PER_TASK, skew: KeySkew | None = None
+) -> Chunks:
+    """Number the chunks each row belongs to. ``order[0]`` must be numeric or a timestamp."""
+    skew = skew or measure_skew(df, keys, max_rows)
+    if skew.n_hot == 0:
+        return Chunks(df.withColumn("_chunk", F.lit(0)), None, 0)
+    axis = F.col(order[0])
+    n_chunks = max(2, min(10_000, -(-skew.largest // max_rows)))
+    shares = F.array(*[F.lit(i / n_chunks) for i in range(1, n_chunks)])
+
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows).select(*keys)
+    cuts = (
+        df.join(_maybe_broadcast(hot, skew.n_hot), keys, "left_semi")
+        .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(axis, shares, 100_000)).alias("_cuts"))
+    )
+    chunk = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda cut: cut < axis)))
+    rows = df.join(_maybe_broadcast(cuts, skew.n_hot), keys, "left").withColumn("_chunk", chunk).drop("_cuts")
+    return Chunks(rows, hot, skew.n_hot * n_chunks)
+
+
 def order_within(
     df: DataFrame,
     keys: list[str],
@@ -62,64 +94,50 @@ def order_within(
 
     ``order`` must be a total order inside the group and its first column numeric or a timestamp.
     """
-    skew = skew or measure_skew(df, keys, max_rows)
-    if skew.n_hot == 0:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn(rank, F.row_number().over(window).cast("bigint"))
-        for name in next_of:
-            out = out.withColumn(f"next_{name}", F.lead(name).over(window))
-        return out
-    return _order_chunked(df, keys, order, list(next_of), rank, max_rows, skew)
-
-
-def _order_chunked(df, keys, order, next_of, rank, max_rows, skew) -> DataFrame:
-    axis_type = dict(df.dtypes)[order[0]]
-    axis = _as_number(F.col(order[0]), axis_type)
-    n_chunks = min(10_000, -(-skew.largest // max_rows))
-    shares = [i / n_chunks for i in range(1, n_chunks)]
-
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows).select(*keys)
-    cuts = (
-        df.join(_maybe_broadcast(hot, skew.n_hot), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(axis, F.array(*map(F.lit, shares or [1.0])), 100_000)).alias("_cuts"))
-    )
-    chunked = df.join(_maybe_broadcast(cuts, skew.n_hot), keys, "left").withColumn(
-        "_chunk",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda cut: cut < axis))),
-    ).drop("_cuts")
-
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    out = chunked.withColumn(rank, F.row_number().over(local).cast("bigint"))
+    cut = cut_hot_keys(df, keys, order, max_rows, skew)
+    groups = keys if cut.hot is None else [*keys, "_chunk"]
+    local = Window.partitionBy(*groups).orderBy(*order)
+    out = cut.rows.withColumn(rank, F.row_number().over(local).cast("bigint"))
     for name in next_of:
         out = out.withColumn(f"next_{name}", F.lead(name).over(local))
-    out = out.withColumn("_last", F.lead(F.lit(True)).over(local).isNull()) if next_of else out
-
-    # One row per chunk of a hot key: its size and its first row, summed and shifted along the key.
-    chunk_rows = (
-        chunked.join(_maybe_broadcast(hot, skew.n_hot), keys, "left_semi")
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.min_by(F.struct(F.col(c)), F.struct(*order)).alias(f"_first_{c}") for c in next_of],
-        )
-    )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = chunk_rows.select(
-        *keys, "_chunk",
-        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        *[F.lead(f"_first_{c}").over(along)[c].alias(f"_across_{c}") for c in next_of],
-    )
-    n_carried = skew.n_hot * n_chunks
-    out = out.join(_maybe_broadcast(carried, n_carried), [*keys, "_chunk"], "left")
-    out = out.withColumn(rank, F.col(rank) + F.coalesce("_offset", F.lit(0)))
-    for name in next_of:
-        out = out.withColumn(
-            f"next_{name}", F.when(F.col("_last"), F.col(f"_across_{name}")).otherwise(F.col(f"next_{name}"))
+    if cut.hot is not None:
+        if next_of:
+            out = out.withColumn("_last", F.lead(F.lit(True)).over(local).isNull())
+        along = Window.partitionBy(*keys).orderBy("_chunk")
+        carried = cut.carry(
+            keys, F.count(F.lit(1)).alias("_n"),
+            *[F.min_by(F.struct(c), F.struct(*order)).alias(f"_first_{c}") for c in next_of],
+        ).select(
+            *keys, "_chunk",
+            F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+            *[F.lead(f"_first_{c}").over(along)[c].alias(f"_across_{c}") for c in next_of],
         )
+        out = cut.join_carried(out, carried, keys).withColumn(rank, F.col(rank) + F.coalesce("_offset", F.lit(0)))
+        for name in next_of:
+            across = F.when(F.col("_last"), F.col(f"_across_{name}")).otherwise(F.col(f"next_{name}"))
+            out = out.withColumn(f"next_{name}", across)
     return out.select(*df.columns, rank, *[f"next_{c}" for c in next_of])
 
 
+def running_max_within(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], max_rows: int = MAX_ROWS_PER_TASK,
+    skew: KeySkew | None = None,
+) -> DataFrame:
+    """Add, for each named expression, its maximum over the rows up to and including the current one."""
+    cut = cut_hot_keys(df, keys, order, max_rows, skew)
+    groups = keys if cut.hot is None else [*keys, "_chunk"]
+    local = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cut.rows.withColumns({name: F.max(value).over(local) for name, value in values.items()})
+    if cut.hot is not None:
+        earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = cut.carry(keys, *[F.max(v).alias(f"_max_{n}") for n, v in values.items()]).select(
+            *keys, "_chunk", *[F.max(f"_max_{n}").over(earlier).alias(f"_before_{n}") for n in values]
+        )
+        out = cut.join_carried(out, carried, keys)
+        out = out.withColumns({n: F.greatest(F.col(n), F.col(f"_before_{n}")) for n in values})
+    return out.select(*df.columns, *values)
+
+
 def dense_index(df: DataFrame, order: list[str], index: str = "id", start: int = 0) -> DataFrame:
     """Gap-free global position in ``order``, as ``enumerate`` would number the rows.
 
