@@ -44,7 +44,7 @@ def token_overlap(pairs: DataFrame, predictions: DataFrame, golds: DataFrame) ->
     gold = token_counts(golds, "gold_id", "text", "n_gold")
     common = pred.join(gold, ["gold_id", "token"], "left").groupBy("pred_id", "gold_id").agg(
         F.sum("n_pred").alias("pred_tokens"),
-        F.sum(F.coalesce(F.least("n_pred", "n_gold"), F.lit(0))).alias("common"),
+        F.sum(F.when(F.col("n_gold").isNull(), 0).otherwise(F.least("n_pred", "n_gold"))).alias("common"),
     )
     sizes = gold.groupBy("gold_id").agg(F.sum("n_gold").alias("gold_tokens"))
     joined = pairs.join(common, ["pred_id", "gold_id"], "left").join(sizes, "gold_id", "left").select(

@@ -157,3 +157,21 @@ def length_cap_ablation(df: DataFrame, caps: list[int], length: str, correct: st
     hit = (F.col("_ok") & (F.col("_len") <= F.col("cap"))).cast("int")
     by_both = rows.groupBy("cap", "category").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
     return by_both.cube("cap", "category").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 1000) -> DataFrame:
+    """Running total over a global order without a single-task window.
+
+    Rows are cut into blocks of ``width`` order values; each block is summed in its own task and the block
+    totals, one row per block, are accumulated and joined back.
+    """
+    block = F.floor(F.col(order) / width)
+    rows = df.withColumn("_block", block)
+    local = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy("_block").agg(F.sum(value).alias("_total"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried"))
+    return (
+        rows.withColumn(name, F.sum(value).over(local)).join(carried, "_block")
+        .withColumn(name, F.col(name) + F.col("_carried")).drop("_block", "_carried")
+    )

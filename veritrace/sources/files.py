@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrace.session import new_folder
-
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header, quoted multi-line text and doubled quotes."""
@@ -78,10 +76,12 @@ def unify(sources: list[tuple[str, DataFrame, dict[str, str]]]) -> DataFrame:
     """Benchmarks with different key names as one table: source, id, problem, answer."""
     out = None
     for name, df, keys in sources:
-        part = df.select(F.lit(name).alias("source"), *[F.col(c).cast("string").alias(k) for k, c in keys.items()])
+        part = df.select(F.lit(name).alias("source"), *[F.col(c).cast("string").alias(k) for c, k in keys.items()])
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    return new_folder(spark, label)
+def write_run_configs(configs: DataFrame, path: str, run: str) -> None:
+    """One folder per run with its settings as one JSON document."""
+    documents = configs.select(run, F.to_json(F.struct("*")).alias("value"))
+    documents.repartition(run).write.partitionBy(run).text(path)
