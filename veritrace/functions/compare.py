@@ -222,7 +222,7 @@ def expand_pm(items: Column) -> Column:
 
 def canonical_element(s: Column) -> Column:
     """Value text of a closed form, else the text itself: equality on it is an equivalence relation."""
-    return F.coalesce(F.format_string("%.9f", closed_form(s)), s)
+    return let(closed_form(s), lambda v: F.when(v.isNotNull(), F.format_string("%.9f", v)).otherwise(s))
 
 
 def one_to_one_equal(a: Column, b: Column) -> Column:

@@ -283,12 +283,15 @@ def closes_at(s: Column, left: str, right: str) -> Column:
 
 def out_parens(s: Column) -> Column:
     """Remove one layer of every bracket kind that encloses the whole text."""
+    def without(left: str, right: str) -> Callable[[Column], Column]:
+        edges = len(left) + len(right)
+        return lambda v: F.when(
+            (F.length(v) >= edges) & (closes_at(v, left, right) == F.length(v) - (len(right) - 1)),
+            F.substring(v, F.lit(len(left) + 1), F.length(v) - edges),
+        ).otherwise(v)
+
     for left, right in _PAIRS:
-        s = let(s, lambda v, left=left, right=right: F.when(
-            (F.length(v) >= len(left) + len(right))
-            & (closes_at(v, left, right) == F.length(v) - (len(right) - 1)),
-            F.substring(v, F.lit(len(left) + 1), F.length(v) - (len(left) + len(right))),
-        ).otherwise(v))
+        s = let(s, without(left, right))
     return s
 
 

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritrace.functions import rules
+
 #: Whitespace that trimming removes. Spark's bare ``trim`` removes only spaces.
 BLANKS = " \t\r\n"
 NUMBER = r"-?\d*\.?\d+"
@@ -257,6 +259,16 @@ def choice_letter(text: Column) -> Column:
     return rstrip(rstrip(let(trimmed, pick), "."), "/")
 
 
+def local_choice(text: Column) -> Column:
+    """Letter after the first localized "Answer:" marker that occurs, in marker order; NULL without one."""
+    found = [by_pattern_any(text, rf"(?iu){marker}\s*({rules.ANSWER_LETTERS})") for marker in rules.ANSWER_MARKERS]
+    return F.translate(F.coalesce(*found), rules.LOCAL_LETTERS, rules.LATIN_LETTERS)
+
+
+def by_pattern_any(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
 def strip_math(text: Column) -> Column:
     """Text without its formulas, for language checks."""
     blocks = F.regexp_replace(text, r"(?s)\$\$.*?\$\$|\\\(.*?\\\)|\\\[.*?\\\]", "")
