@@ -71,7 +71,7 @@ def parse_number(text: Column, percent: bool = True) -> Column:
 
 _SIGNED = r"[-+]?\d+(?:\.\d+)?"
 _PARTS = {
-    "number": rf"^({_SIGNED})$",
+    "number": rf"^\(*({_SIGNED})\)*$",
     "ratio": rf"^\(*({_SIGNED})\)*/\(*({_SIGNED})\)*$",
     "latex ratio": rf"^(-?)\\frac\{{({_SIGNED})\}}\{{({_SIGNED})\}}$",
     "mixed": r"^(-?\d+)\+(\d+)/(\d+)$",
@@ -86,37 +86,40 @@ def closed_form(text: Column) -> Column:
 
     Anything else is NULL: undecided, never guessed.
     """
-    def group(s: Column, form: str, i: int) -> Column:
+    return let(F.replace(text, F.lit(" "), F.lit("")), closed_value)
+
+
+def closed_value(s: Column) -> Column:
+    """As :func:`closed_form` for a plain column that holds no spaces; stays inside generated code."""
+    def group(form: str, i: int) -> Column:
         return F.regexp_extract(s, _PARTS[form], i)
 
-    def number(s: Column) -> Column:
-        return s.try_cast("double")
-
-    def factor(s: Column) -> Column:
-        return F.when(s == "", 1.0).when(s == "-", -1.0).otherwise(number(s))
-
-    def sign(s: Column) -> Column:
-        return F.when(s == "-", -1.0).otherwise(1.0)
-
-    def value(s: Column) -> Column:
-        def over(a: Column, b: Column) -> Column:
-            return a / F.nullif(b, F.lit(0.0))
-
-        root = F.coalesce(F.nullif(group(s, "root", 2), F.lit("")), group(s, "root", 3))
-        return (
-            F.when(s.rlike(_PARTS["number"]), number(s))
-            .when(s.rlike(_PARTS["ratio"]), over(number(group(s, "ratio", 1)), number(group(s, "ratio", 2))))
-            .when(s.rlike(_PARTS["latex ratio"]), sign(group(s, "latex ratio", 1)) * over(
-                number(group(s, "latex ratio", 2)), number(group(s, "latex ratio", 3))))
-            .when(s.rlike(_PARTS["mixed"]), number(group(s, "mixed", 1)) + over(
-                number(group(s, "mixed", 2)), number(group(s, "mixed", 3))))
-            .when(s.rlike(_PARTS["root"]), factor(group(s, "root", 1)) * F.sqrt(number(root)))
-            .when(s.rlike(_PARTS["pi"]), factor(group(s, "pi", 1)) * F.lit(3.141592653589793))
-            .when(s.rlike(_PARTS["pi ratio"]), sign(group(s, "pi ratio", 1)) * factor(group(s, "pi ratio", 2))
-                  * over(F.lit(3.141592653589793), number(group(s, "pi ratio", 3))))
-        )
+    def number(t: Column) -> Column:
+        return t.try_cast("double")
+
+    def factor(t: Column) -> Column:
+        return F.when(t == "", 1.0).when(t == "-", -1.0).otherwise(number(t))
 
-    return let(F.replace(text, F.lit(" "), F.lit("")), lambda t: let(F.regexp_replace(t, r"^\((.*)\)$", "$1"), lambda u: F.coalesce(value(t), value(u))))
+    def sign(t: Column) -> Column:
+        return F.when(t == "-", -1.0).otherwise(1.0)
+
+    def over(a: Column, b: Column) -> Column:
+        return a / F.nullif(b, F.lit(0.0))
+
+    pi = F.lit(3.141592653589793)
+    root = F.coalesce(F.nullif(group("root", 2), F.lit("")), group("root", 3))
+    return (
+        F.when(s.rlike(_PARTS["number"]), number(group("number", 1)))
+        .when(s.rlike(_PARTS["ratio"]), over(number(group("ratio", 1)), number(group("ratio", 2))))
+        .when(s.rlike(_PARTS["latex ratio"]), sign(group("latex ratio", 1)) * over(
+            number(group("latex ratio", 2)), number(group("latex ratio", 3))))
+        .when(s.rlike(_PARTS["mixed"]), number(group("mixed", 1)) + over(
+            number(group("mixed", 2)), number(group("mixed", 3))))
+        .when(s.rlike(_PARTS["root"]), factor(group("root", 1)) * F.sqrt(number(root)))
+        .when(s.rlike(_PARTS["pi"]), factor(group("pi", 1)) * pi)
+        .when(s.rlike(_PARTS["pi ratio"]), sign(group("pi ratio", 1)) * factor(group("pi ratio", 2))
+              * over(pi, number(group("pi ratio", 3))))
+    )
 
 
 def probe_equal(pred: Column, gold: Column, tolerance: float = 1e-9) -> Column:

@@ -32,19 +32,30 @@ def sub(pattern: str, new: str = "") -> Step:
 
 def run(df: DataFrame, source: str, target: str, steps: list[Step]) -> DataFrame:
     """Apply a profile to ``source`` and put the canonical text in ``target``."""
-    df = df.withColumn(target, F.col(source))
-    current = F.col(target)
+    current, plain = F.col(source), True
     for step in steps:
         if callable(step):
-            df = df.withColumn(target, current).withColumn(target, step(F.col(target)))
-            current = F.col(target)
-        elif step[0] == "literal":
-            current = F.replace(current, F.lit(step[1]), F.lit(step[2]))
+            if not plain:
+                df, current = df.withColumn(target, current), F.col(target)
+            current = step(current)
         else:
-            current = F.regexp_replace(current, step[1], step[2])
+            current = chain(current, [step])
+        plain = False
     return df.withColumn(target, current)
 
 
+def chain(column: Column, steps: list[Step]) -> Column:
+    """Literal and pattern steps as one expression."""
+    for kind, old, new in steps:
+        column = F.replace(column, F.lit(old), F.lit(new)) if kind == "literal" else F.regexp_replace(column, old, new)
+    return column
+
+
+def only_if(pattern: str, steps: list[Step]) -> Step:
+    """A run of steps none of which can act on a text without ``pattern``; other texts skip the whole run."""
+    return lambda s: F.when(s.rlike(pattern), chain(s, steps)).otherwise(s)
+
+
 def to_number(text: Column) -> Column:
     """Double value of a plain decimal number, NULL otherwise."""
     return F.when(text.rlike(NUMBER_TEXT), strip(text).try_cast("double"))
@@ -104,6 +115,10 @@ def infinity(s: Column) -> Column:
     return F.when(has(s, r"\infty"), s).otherwise(F.replace(s, F.lit("inf"), F.lit(r"\infty")))
 
 
+def _unit_steps(units: list[str]) -> Step:
+    return only_if("|".join(units), [sub(rf"{unit}(es)?(s)? *(\^[0-9]+)?") for unit in units])
+
+
 # ---------------------------------------------------------------- profile "string"
 
 def _cut_units(s: Column) -> Column:
@@ -140,12 +155,14 @@ STRING: list[Step] = [
     lit(r"\left"), lit(r"\right"),
     sub(r"\s*\\text\{\s*(or|and)\s*\}\s*", ","), sub(r",\s*,", ","),
     _cut_units, _after_in,
-    *[step for name in ("text", "mathrm", "mathcal", "textbf", "textit")
-      for step in (lit(rf"\\{name}"), sub(rf"^\\{name}\{{(.+?)\}}$", "$1"))],
+    only_if(r"\\", [
+        step for name in ("text", "mathrm", "mathcal", "textbf", "textit")
+        for step in (lit(rf"\\{name}"), sub(rf"^\\{name}\{{(.+?)\}}$", "$1"))
+    ]),
     lit(r"\!"), lit(r"\%", "%"), lit(r"\$", "$"), lit("$"), lit("%"), lit(r"^{\circ}"),
     lit(" or ", " , "), lit(" and ", " , "),
     *[lit(word, power) for word, power in rules.MAGNITUDES.items()],
-    *[sub(rf"{unit}(es)?(s)? *(\^[0-9]+)?") for unit in rules.STRING_UNITS],
+    _unit_steps(rules.STRING_UNITS),
     _drop_day,
     sub(r"\^ *\\\\circ"),
     sub(r"(?s)^\{(.*)\}$", "$1"),
@@ -215,7 +232,7 @@ GRADE: list[Step] = [
     sub(r"(?d)^\\text\{(.+?)\}$", "$1"), lit(r"\%", "%"), lit(r"\$", "$"), lit("$"), lit("%"),
     lit(" or ", " , "), lit(" and ", " , "),
     *[lit(word, power) for word, power in rules.MAGNITUDES.items()],
-    *[sub(rf"{unit}(es)?(s)? *(\^[0-9]+)?") for unit in rules.GRADE_UNITS],
+    _unit_steps(rules.GRADE_UNITS),
     sub(r"\^ *\\circ"), sub(r"(?s)^\{(.*)\}$", "$1"), sub(r",\\! *"),
     _round_number, _plain_if_latex,
     sub("- *", "-"), sub("([0-9]) +([0-9])", "$1+$2"), lit(" "), lit("{"), lit("}"), F.lower,
@@ -304,8 +321,7 @@ def _command(name: str) -> Step:
     for _ in range(2):
         inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
     cmd = quote(name)
-    pattern = rf"(?s)^(.*?){cmd}(?:\{{({inner})\}}|(?<=\{{{cmd})([^}}]*)\}})?"
-    return lambda s: F.when(has(s, name), F.regexp_replace(s, pattern, "$1$2$3")).otherwise(s)
+    return sub(rf"(?s)^(.*?){cmd}(?:\{{({inner})\}}|(?<=\{{{cmd})([^}}]*)\}})?", "$1$2$3")
 
 
 def _is_set(s: Column) -> Column:
@@ -381,8 +397,10 @@ SYMBOLIC: list[Step] = [
     *[lit(t) for t in rules.SYMBOLIC_REMOVE],
     *[lit(a, b) for a, b in rules.SYMBOLIC_REPLACE],
     infinity, lit(" "),
-    *[_command(c) for c in rules.SYMBOLIC_COMMANDS],
-    *[lit(rf"\{edge}{{{env}}}") for env in rules.SYMBOLIC_ENVIRONMENTS for edge in ("begin", "end")],
+    only_if("|".join(quote(c) for c in rules.SYMBOLIC_COMMANDS), [_command(c) for c in rules.SYMBOLIC_COMMANDS]),
+    only_if(r"\\(begin|end)", [
+        lit(rf"\{edge}{{{env}}}") for env in rules.SYMBOLIC_ENVIRONMENTS for edge in ("begin", "end")
+    ]),
     lit("rad"), sub(r"^(\d+) ?\^?\\?circ$", "$1"), sub(r"(\d+) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}"),
     sub(rf"(?<!\\)(pi\b|{rules.FUNCTION_NAMES})", r"\\$1"),
     sub(rf"\\?({rules.FUNCTION_NAMES})\^(\d+)", r"\\$1^{$2}"),
@@ -390,7 +408,10 @@ SYMBOLIC: list[Step] = [
     sub(r"\{[a-z]?matrix\}", "{array}"), sub(r"\\begin\{array\}\{[lcr]*\}", r"\\begin{array}{}"),
     _double_backslash, imaginary,
     sub(r"(\d+)\.0+([^\d])", "$1$2"), sub(r"(\d+)\.0+$", "$1"),
-    *[sub(rf"(?s)([-\d\.\*\^{{}}]+){unit}e?s?.*", "$1") for unit in rules.SYMBOLIC_UNITS],
+    only_if(
+        rf"[-\d\.\*\^{{}}](?:{'|'.join(rules.SYMBOLIC_UNITS)})",
+        [sub(rf"(?s)([-\d\.\*\^{{}}]+){unit}e?s?.*", "$1") for unit in rules.SYMBOLIC_UNITS],
+    ),
     leading_zero, _set_members,
     sub(r"\\?sqrt[\(\{\[](\w+)[\)\}\]]", r"\\sqrt{$1}"), sub(r"\\?sqrt\s*(\d+)", r"\\sqrt{$1}"),
     _per_member(lambda m: F.regexp_replace(m, "^frac", r"\\frac")), brace_fracs,

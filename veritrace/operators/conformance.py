@@ -67,7 +67,12 @@ def conformance(
 
 def conformance_of_sides(both: DataFrame, order: list[str], max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
     """As :func:`conformance` for a single table that already carries ``side``."""
-    per_case = edge_metrics(paired_edges(both, order, max_rows))
+    return score_edges(paired_edges(both, order, max_rows))
+
+
+def score_edges(edges: DataFrame) -> DataFrame:
+    """Metrics of the cases that have transitions in both logs."""
+    per_case = edge_metrics(edges)
     return per_case.where((F.col("transitions") > 0) & (F.col("reason_transitions") > 0)).select(
         "case_id", "fitness", "precision", f1(F.col("fitness"), F.col("precision")).alias("f1")
     )

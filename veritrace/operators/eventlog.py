@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.operators.ordering import MAX_ROWS_PER_TASK, measure_skew, order_within
+from veritrace.functions.text import let
+from veritrace.operators.ordering import MAX_ROWS_PER_TASK, order_within
 from veritrace.schemas import END, START
 
 #: Events kept in one trace row; a longer case continues in further rows, numbered by ``part``.
@@ -151,6 +154,25 @@ def lines_to_steps(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def text_transitions(
+    texts: DataFrame, key: str, text: str, label: Callable[[Column], Column]
+) -> DataFrame:
+    """Transitions of the labelled lines of each text, start and end nodes included.
+
+    The lines of a text are already in order, so consecutive labels pair up inside the row: no window, no shuffle.
+    """
+    labels = F.transform(F.filter(F.split(F.col(text), "\\r\\n|\\r|\\n"), lambda s: s.rlike(r"\S")), label)
+    def edges(nodes: Column) -> Column:
+        arrows = F.zip_with(
+            F.concat(F.array(F.lit(START)), nodes), F.concat(nodes, F.array(F.lit(END))),
+            lambda a, b: F.struct(a.alias("src"), b.alias("dst")),
+        )
+        return F.when(F.size(nodes) > 0, arrows)
+
+    # Bound once: a label is computed a single time although every inner label ends one edge and starts the next.
+    return texts.select(key, F.explode(let(labels, edges)).alias("e")).select(key, "e.src", "e.dst")
+
+
 def label_by_rules(line: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """First rule whose pattern occurs in the line names its activity; rules are tried in order."""
     label: Column = None

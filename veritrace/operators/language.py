@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrace.session import materialize, spread
+
 #: A text this short is taken as consistent.
 SHORT_TEXT = 15
 #: Trigrams beyond this many are joined by shuffle instead of broadcast (about 100 bytes each).
@@ -23,11 +25,15 @@ def gram_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def profile(texts: DataFrame, lang: str, text: str, languages: list[str]) -> DataFrame:
     """Add-one smoothed log probability of every trigram in every language, one row per trigram."""
-    wide = gram_counts(texts, [lang], text).groupBy("gram").pivot(lang, languages).agg(F.sum("n"))
-    totals = wide.agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(F.col(f"`{x}`")), F.lit(0)).alias(x) for x in languages]).first()
+    wide = materialize(
+        gram_counts(texts, [lang], text).groupBy("gram").agg(
+            *[F.coalesce(F.sum(F.when(F.col(lang) == x, F.col("n"))), F.lit(0)).alias(f"n_{i}") for i, x in enumerate(languages)]),
+        "gram-counts",
+    )
+    n = range(len(languages))
+    totals = wide.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n_{i}").alias(f"n_{i}") for i in n]).first()
     return wide.select("gram", *[
-        F.log((F.coalesce(F.col(f"`{x}`"), F.lit(0)) + 1) / F.lit(float(totals[x] + totals["v"]))).alias(f"lp_{i}")
-        for i, x in enumerate(languages)
+        F.log((F.col(f"n_{i}") + 1) / F.lit(float(totals[f"n_{i}"] + totals["v"]))).alias(f"lp_{i}") for i in n
     ])
 
 
@@ -47,6 +53,7 @@ def detect(texts: DataFrame, key: str, text: str, model: DataFrame, languages: l
 
 def consistency(texts: DataFrame, key: str, lang: str, text: str) -> DataFrame:
     """Share of texts per language whose detected language is the expected one."""
+    texts = spread(texts)
     languages = [r[0] for r in texts.select(lang).distinct().orderBy(lang).collect()]  # a handful of language codes
     found = detect(texts, key, text, profile(texts, lang, text, languages), languages)
     judged = texts.select(key, lang, F.length(text).alias("len")).join(found, key, "left")

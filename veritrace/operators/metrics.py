@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrace.functions.rules import LEVELS
-from veritrace.operators.ordering import MAX_ROWS_PER_TASK, order_within, running_max_within
+from veritrace.operators.ordering import MAX_ROWS_PER_TASK, measure_skew, order_within, running_max_within
 
 # The candidate values of k.
 K_VALUES = [1, 2, 4, 8, 16]
@@ -82,12 +82,15 @@ def running_majority(
     pair over the rows so far: a running maximum instead of a comparison of all earlier answers.
     """
     firsts = df.groupBy(*keys, answer).agg(F.min(position).alias("_first"))
-    counted = order_within(df, [*keys, answer], [position], rank="_count", max_rows=max_rows)
+    skew = measure_skew(df, keys, max_rows)
+    # Without a hot group there is no hot (group, answer) either, so one measurement settles both.
+    finer = skew if skew.n_hot == 0 else None
+    counted = order_within(df, [*keys, answer], [position], rank="_count", max_rows=max_rows, skew=finer)
     counted = counted.join(firsts, [*keys, answer])
     entry = F.struct(F.col("_count"), (-F.col("_first")).alias("_seen"), F.col(answer).alias("a"))
     led = running_max_within(
         counted, keys, [position],
-        {"_lead": entry, "_lead_non_empty": F.when(F.col(answer) != "", entry)}, max_rows,
+        {"_lead": entry, "_lead_non_empty": F.when(F.col(answer) != "", entry)}, max_rows, skew,
     )
     leader = F.when(F.col("_lead.a") != "", F.col("_lead.a")).otherwise(F.coalesce("_lead_non_empty.a", F.lit("")))
     return led.select(*keys, position, answer, leader.alias("majority"))

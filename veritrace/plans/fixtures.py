@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrace.operators.ordering import order_within
+from veritrace.session import spread
 
 SPLIT_TS = "2024-01-16 00:00:00"
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for per-row text work, spread over all cores when the file has few splits."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def ntz(literal: str) -> Column:
     return F.lit(literal).cast("timestamp_ntz")
 
@@ -211,7 +217,7 @@ def choose(values: list, selector: Column) -> Column:
 
 def forms(spark: SparkSession, sf_dir: str, **templates: list[str]) -> DataFrame:
     """Every order with one filled template per column; the order key picks the form."""
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     return orders.select(
         F.col("o_orderkey").alias("id"),
         *[fill(choose(t, F.col("o_orderkey"))).alias(name) for name, t in templates.items()],
@@ -231,7 +237,7 @@ def forms_sql(**templates: list[str]) -> str:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderpriority")
     return orders.select(
         F.col("o_orderkey").alias("id"), whole_price().alias("gold_n"), whole_price().cast("string").alias("gold"),
         F.col("o_orderpriority").alias("priority"),

@@ -288,25 +288,30 @@ def vocabulary_violations(spark, sf):
 
 
 def process_scores(spark, sf):
-    """Process reward of every document: its thinking lines are the model, its benchmark text is the gold."""
-    docs = fx.table(spark, sf, "documents")
-    n_items = fx.table(spark, sf, "benchmark").count()
-    tagged = docs.select(
-        "doc_id", (F.col("doc_id") % n_items).alias("item_id"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>x")))
-        .otherwise(F.col("text")).alias("response"),
-    )
-    label = ev.label_by_rules(F.col("line"), PROSE_RULES, "Interpret Result")
+    """Process reward of every document: its thinking lines are the model, its benchmark text is the gold.
 
-    def log(df, key, text):
-        return ev.lines_to_steps(df, key, text).select(key, F.col("step_no").alias("step"), label.alias("activity"))
-
-    think = log(tagged.select("doc_id", X.thinking(F.col("response")).alias("think")), "doc_id", "think")
-    gold = log(fx.table(spark, sf, "benchmark"), "item_id", "text").join(tagged.select("doc_id", "item_id"), "item_id")
-    scores = conf.conformance(
-        think.withColumnRenamed("doc_id", "case_id"), gold.drop("item_id").withColumnRenamed("doc_id", "case_id"), ["step"]
-    )
-    return docs.select("doc_id").join(scores.withColumnRenamed("case_id", "doc_id"), "doc_id", "left").select(
+    A benchmark text is labelled and counted once and its edges are then joined to the documents that use it.
+    """
+    n_items = fx.table(spark, sf, "benchmark").count()
+    docs = fx.texts(spark, sf, "documents", "doc_id", "text").withColumn(
+        "response",
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>x"))).otherwise(F.col("text")),
+    ).select("doc_id", X.thinking(F.col("response")).alias("think"))
+
+    def label(line):
+        return ev.label_by_rules(line, PROSE_RULES, "Interpret Result")
+
+    think = ev.text_transitions(docs, "doc_id", "think", label).groupBy("doc_id", "src", "dst").agg(
+        F.count(F.lit(1)).alias("n_reason"))
+    gold = ev.text_transitions(fx.table(spark, sf, "benchmark"), "item_id", "text", label).groupBy("item_id", "src", "dst").agg(
+        F.count(F.lit(1)).alias("n_gold"))
+    ids = fx.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % n_items).alias("item_id"))
+    both = think.withColumn("n_gold", F.lit(0).cast("bigint")).unionByName(
+        gold.join(ids, "item_id").select("doc_id", "src", "dst", F.lit(0).cast("bigint").alias("n_reason"), "n_gold"))
+    edges = both.groupBy(F.col("doc_id").alias("case_id"), "src", "dst").agg(
+        F.sum("n_reason").alias("n_reason"), F.sum("n_gold").alias("n_gold"))
+    scores = conf.score_edges(edges).withColumnRenamed("case_id", "doc_id")
+    return ids.select("doc_id").join(scores, "doc_id", "left").select(
         "doc_id", F.coalesce("f1", F.lit(0.0)).alias("process_reward")
     )
 

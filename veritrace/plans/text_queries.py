@@ -239,7 +239,7 @@ f as (select *, case when pn = 0 and gn = 0 then 1.0 when pn = 0 or gn = 0 or cn
 
 
 def token_similarity(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("pred_id"), "text")
+    docs = fx.texts(spark, sf, "documents", F.col("doc_id").alias("pred_id"), "text")
     bench = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("gold_id"), "text")
     return joins.token_overlap(gold_pairs(spark, sf), docs, bench)
 
@@ -254,7 +254,7 @@ def token_f1_join(spark, sf):
 select p.doc_id, dt.tok as token, least(dt.n, bt.n) as n from pairs p join dt using (doc_id) join bt on bt.item_id = p.item_id and bt.tok = dt.tok""")
 def multiset_intersect(spark, sf):
     pairs = gold_pairs(spark, sf)
-    pred = joins.token_counts(fx.table(spark, sf, "documents"), "doc_id", "text", "a").withColumnRenamed("doc_id", "pred_id")
+    pred = joins.token_counts(fx.texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", "a").withColumnRenamed("doc_id", "pred_id")
     gold = joins.token_counts(fx.table(spark, sf, "benchmark"), "item_id", "text", "b").withColumnRenamed("item_id", "gold_id")
     return pred.join(pairs, "pred_id").join(gold, ["gold_id", "token"]).select(
         F.col("pred_id").alias("doc_id"), "token", F.least("a", "b").alias("n")

@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest side, in bytes, that this library broadcasts on its own.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
 def build_session(master: str | None = None, app: str = "veritrace", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; anything in ``conf`` wins."""
     settings = {
@@ -19,6 +15,9 @@ def build_session(master: str | None = None, app: str = "veritrace", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Text normalisation is heavy per byte: let a stage keep one partition per core even when it is small.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128kb",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -47,6 +46,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer splits than the cluster has slots; no shuffle otherwise."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a written table, which outlives any lost executor."""
     path = new_folder(df.sparkSession, label)
