@@ -77,12 +77,18 @@ _PARTS = {
     "mixed": r"^(-?\d+)\+(\d+)/(\d+)$",
     "root": r"^(-?\d*\.?\d*)\*?(?:\\sqrt\{(\d+(?:\.\d+)?)\}|sqrt\((\d+(?:\.\d+)?)\))$",
     "pi": r"^(-?\d*\.?\d*)\*?\\?pi$",
+    "root ratio": r"^(-?)\\frac\{(\d*\.?\d*)\\sqrt\{(\d+(?:\.\d+)?)\}\}\{(\d+(?:\.\d+)?)\}$",
+    "sum": rf"^({_SIGNED})([+-]\d+(?:\.\d+)?)$",
+    "product": rf"^({_SIGNED})\*({_SIGNED})$",
+    "power": r"^(\d+(?:\.\d+)?)\^\{?(-?\d{1,3})\}?$",
+    "scaled power": rf"^({_SIGNED})\*(\d+(?:\.\d+)?)\^\{{?(-?\d{{1,3}})\}}?$",
     "pi ratio": r"^(-?)\\frac\{(\d*\.?\d*)\*?\\pi\}\{(\d+(?:\.\d+)?)\}$",
 }
 
 
 def closed_form(text: Column) -> Column:
-    r"""Value of ``a``, ``a/b``, ``\frac{a}{b}``, ``a+b/c``, ``c\sqrt{n}``, ``c\pi`` and ``\frac{c\pi}{d}``.
+    r"""Value of ``a``, ``a/b``, ``\frac{a}{b}``, ``a+b/c``, ``a+b``, ``a*b``, ``a^n``, ``a*b^n``, ``c\sqrt{n}``, ``c\pi``
+    and the latter two over a number.
 
     Anything else is NULL: undecided, never guessed.
     """
@@ -117,6 +123,13 @@ def closed_value(s: Column) -> Column:
             number(group("mixed", 2)), number(group("mixed", 3))))
         .when(s.rlike(_PARTS["root"]), factor(group("root", 1)) * F.sqrt(number(root)))
         .when(s.rlike(_PARTS["pi"]), factor(group("pi", 1)) * pi)
+        .when(s.rlike(_PARTS["root ratio"]), sign(group("root ratio", 1)) * factor(group("root ratio", 2))
+              * over(F.sqrt(number(group("root ratio", 3))), number(group("root ratio", 4))))
+        .when(s.rlike(_PARTS["sum"]), number(group("sum", 1)) + number(group("sum", 2)))
+        .when(s.rlike(_PARTS["product"]), number(group("product", 1)) * number(group("product", 2)))
+        .when(s.rlike(_PARTS["power"]), F.pow(number(group("power", 1)), number(group("power", 2))))
+        .when(s.rlike(_PARTS["scaled power"]), number(group("scaled power", 1))
+              * F.pow(number(group("scaled power", 2)), number(group("scaled power", 3))))
         .when(s.rlike(_PARTS["pi ratio"]), sign(group("pi ratio", 1)) * factor(group("pi ratio", 2))
               * over(pi, number(group("pi ratio", 3))))
     )

@@ -23,7 +23,7 @@ from veritrace.session import materialize, new_folder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Traces up to this length are compared in one piece; also the side of a tile for longer ones.
-TILE = 16_384
+TILE = 65_536
 
 
 def _tile(gold, reason, top: int, left: list[int] | None) -> tuple[int, list[int]]:
@@ -76,7 +76,7 @@ def alignment_fitness(both: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def _short(both: DataFrame) -> DataFrame:
-    """Each distinct pair of traces is compared once."""
+    """Cases no longer than a tile on either side: both traces meet in one row and one Arrow batch pass."""
     def side(name: str) -> Column:
         events = F.collect_list(F.when(F.col("side") == name, F.struct("step", "activity")))
         return F.transform(F.sort_array(events), lambda e: e["activity"])

@@ -17,10 +17,11 @@ def paired_edges(
     """Edge table with the count of every edge in either log. ``both`` carries ``side`` (R or T).
 
     The two logs are ordered in one pass and aggregated into one row per (case, edge), so fitness and
-    precision need no join: membership of an edge in the other log is a column.
+    precision need no join: membership of an edge in the other log is a column. Without a hot case the one
+    shuffle by case serves the ordering and every aggregate after it.
     """
     rows = directly_follows_rows(both.select(case, "side", "activity", *[c for c in order if c != "activity"]),
-                                 [case, "side"], order, max_rows)
+                                 [case, "side"], order, max_rows, co_locate=[case])
     is_reason = F.col("side") == REASON
     return rows.groupBy(case, "src", "dst").agg(
         F.count_if(is_reason).alias("n_reason"), F.count_if(~is_reason).alias("n_gold")

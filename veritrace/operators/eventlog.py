@@ -52,14 +52,15 @@ def traces(log: DataFrame, part_size: int = TRACE_PART) -> DataFrame:
 
 
 def directly_follows_rows(
-    log: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS_PER_TASK
+    log: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS_PER_TASK,
+    co_locate: list[str] | None = None,
 ) -> DataFrame:
     """One row per transition of each group, with the artificial start and end nodes.
 
     Every event yields the edge to its successor (or to the end node); the first event also yields the edge
     from the start node. Both come from one ordered pass.
     """
-    ordered = order_within(log, keys, order, next_of=["activity"], max_rows=max_rows)
+    ordered = order_within(log, keys, order, next_of=["activity"], max_rows=max_rows, co_locate=co_locate)
     step_edge = F.struct(
         F.col("activity").alias("src"), F.coalesce("next_activity", F.lit(END)).alias("dst")
     )

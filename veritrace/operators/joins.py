@@ -27,27 +27,30 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 1024) ->
     ).drop("bin")
 
 
-def token_counts(df: DataFrame, key: str, text: str, count: str) -> DataFrame:
+def token_counts(df: DataFrame, keys: list[str], text: str, count: str) -> DataFrame:
     return (
-        df.select(key, F.explode(tokens(F.col(text))).alias("token"))
-        .groupBy(key, "token").agg(F.count(F.lit(1)).alias(count))
+        df.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
+        .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias(count))
     )
 
 
-def token_overlap(pairs: DataFrame, predictions: DataFrame, golds: DataFrame) -> DataFrame:
-    """Multiset token precision, recall and F1 for given pairs (pred_id, gold_id).
+def token_overlap(predictions: DataFrame, golds: DataFrame) -> DataFrame:
+    """Multiset token overlap and F1 of each prediction with its gold text.
 
-    ``predictions``: pred_id, text; ``golds``: gold_id, text. Gold tokens are joined on (gold_id, token), so a
-    prediction token meets at most one row and a gold used by many predictions is not copied per prediction.
+    ``predictions``: pred_id, gold_id, text; ``golds``: gold_id, text. Gold tokens are joined on
+    (gold_id, token), so a prediction token meets at most one row and a gold text used by many predictions is
+    never copied per prediction.
     """
-    pred = token_counts(predictions, "pred_id", "text", "n_pred").join(pairs, "pred_id")
-    gold = token_counts(golds, "gold_id", "text", "n_gold")
+    pred = token_counts(predictions, ["pred_id", "gold_id"], "text", "n_pred")
+    gold = token_counts(golds, ["gold_id"], "text", "n_gold")
     common = pred.join(gold, ["gold_id", "token"], "left").groupBy("pred_id", "gold_id").agg(
         F.sum("n_pred").alias("pred_tokens"),
         F.sum(F.when(F.col("n_gold").isNull(), 0).otherwise(F.least("n_pred", "n_gold"))).alias("common"),
     )
-    sizes = gold.groupBy("gold_id").agg(F.sum("n_gold").alias("gold_tokens"))
-    joined = pairs.join(common, ["pred_id", "gold_id"], "left").join(sizes, "gold_id", "left").select(
+    sizes = golds.select("gold_id", F.size(tokens(F.col("text"))).cast("bigint").alias("gold_tokens"))
+    joined = predictions.select("pred_id", "gold_id").join(common, ["pred_id", "gold_id"], "left").join(
+        sizes, "gold_id", "left"
+    ).select(
         "pred_id", "gold_id",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pred_tokens", "gold_tokens", "common")],
     )

@@ -81,12 +81,16 @@ def running_majority(
     The running count of an answer never falls, so the leader after a row is the largest (count, first seen)
     pair over the rows so far: a running maximum instead of a comparison of all earlier answers.
     """
-    firsts = df.groupBy(*keys, answer).agg(F.min(position).alias("_first"))
     skew = measure_skew(df, keys, max_rows)
-    # Without a hot group there is no hot (group, answer) either, so one measurement settles both.
-    finer = skew if skew.n_hot == 0 else None
-    counted = order_within(df, [*keys, answer], [position], rank="_count", max_rows=max_rows, skew=finer)
-    counted = counted.join(firsts, [*keys, answer])
+    if skew.n_hot == 0:
+        # Every (group, answer) is small too: one shuffle by group serves all windows.
+        counted = order_within(
+            df, [*keys, answer], [position], rank="_count", max_rows=max_rows, skew=skew, co_locate=keys
+        ).withColumn("_first", F.min(position).over(Window.partitionBy(*keys, answer)))
+    else:
+        firsts = df.groupBy(*keys, answer).agg(F.min(position).alias("_first"))
+        counted = order_within(df, [*keys, answer], [position], rank="_count", max_rows=max_rows)
+        counted = counted.join(firsts, [*keys, answer])
     entry = F.struct(F.col("_count"), (-F.col("_first")).alias("_seen"), F.col(answer).alias("a"))
     led = running_max_within(
         counted, keys, [position],

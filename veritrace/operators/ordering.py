@@ -89,11 +89,17 @@ def order_within(
     rank: str = "rn",
     max_rows: int = MAX_ROWS_PER_TASK,
     skew: KeySkew | None = None,
+    co_locate: list[str] | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1-based position in the group) and ``next_<c>`` for each column in ``next_of``.
 
-    ``order`` must be a total order inside the group and its first column numeric or a timestamp.
+    ``order`` must be a total order inside the group and its first column numeric or a timestamp. With
+    ``co_locate``, a subset of ``keys``, rows are shuffled on those keys instead when none of them is hot, so
+    that later aggregates by them need no further shuffle.
     """
+    skew = skew or measure_skew(df, co_locate or keys, max_rows)
+    if co_locate and skew.n_hot == 0:
+        df = df.repartition(*co_locate)
     cut = cut_hot_keys(df, keys, order, max_rows, skew)
     groups = keys if cut.hot is None else [*keys, "_chunk"]
     local = Window.partitionBy(*groups).orderBy(*order)

@@ -388,6 +388,7 @@ PROBES = [
     (r"\frac{@2g}{2}", "@g", True), (r"\sqrt{4}", "2", True), (r"\sqrt{@d}", "@g", False), (r"2\pi", "6.283185307179586", True),
     ("x+1", "1+x", None), ("x+@d", "x+@d", True), (r"\frac{3\pi}{2}", "4.71238898038469", True), ("7+@d/4", "@7g", False),
     (r"3\sqrt{2}", "4.242640687119286", True), ("1/0", "@g", None),
+    ("@d*10^6", "@d000000", True), ("2^10", "1024", True), ("@g+1", "@g", False), (r"\frac{\sqrt{16}}{2}", "2", True), ("@d*3", "3*@d", True),
 ]
 
 
@@ -436,7 +437,7 @@ def grade_distinct_pairs(spark, sf):
     return grading.on_distinct_pairs(pairs, ["pred", "gold"], grading.judge_string).select("id", "correct")
 
 
-@query("accuracy_reward", f"""with {fx.RESPONSES} select id, case form when 1 then 0.0 when 3 then case when {CLOSE_7} then 1.0 else 0.0 end else 1.0 end as reward from responses""")
+@query("accuracy_reward", f"""with {fx.RESPONSES} select id, cast(case form when 1 then 0 when 3 then case when {CLOSE_7} then 1 else 0 end else 1 end as double) as reward from responses""")
 def accuracy_reward(spark, sf):
     """Gold unpacked from its index tag; boxed answers by value, texts without a box by their letters."""
     rows = fx.responses(spark, sf).withColumn("packed", X.pack_index(F.col("gold"), F.col("id")))

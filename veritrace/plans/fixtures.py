@@ -46,7 +46,7 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stepped_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_within(sides(spark, sf_dir), ["case_id", "side"], ORDER, rank="step")
+    return order_within(sides(spark, sf_dir), ["case_id", "side"], ORDER, rank="step", co_locate=["case_id"])
 
 
 EV_LOG = """ev_log as (

@@ -95,7 +95,7 @@ def running_majority(spark, sf):
 
 
 @query("top2_answers", """with c as (select user_id, event_type, count(*) as votes, min(event_id) as p from events group by all),
-r as (select *, row_number() over (partition by user_id order by votes desc, p) as rank from c)
+r as (select *, cast(row_number() over (partition by user_id order by votes desc, p) as int) as rank from c)
 select user_id, event_type, votes, rank from r where rank <= 2""")
 def top2_answers(spark, sf):
     counts = fx.table(spark, sf, "events").groupBy("user_id", "event_type").agg(

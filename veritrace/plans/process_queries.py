@@ -255,15 +255,15 @@ LINES = """lines as (
 
 
 @query("lines_to_steps", "with " + LINES.format(key="doc_id", text="text", table="documents") + """
-select doc_id, step_no, case when step_no < 10 then '0' else '' end || cast(step_no as varchar) as step,
-       length(line) as n_chars, md5(line) as line_md5 from lines""")
+select doc_id, step_no::int as step_no, case when step_no < 10 then '0' else '' end || cast(step_no as varchar) as step,
+       length(line)::int as n_chars, md5(line) as line_md5 from lines""")
 def lines_to_steps(spark, sf):
     steps = ev.lines_to_steps(fx.table(spark, sf, "documents"), "doc_id", "text")
     return steps.select("doc_id", "step_no", "step", F.length("line").alias("n_chars"), F.md5("line").alias("line_md5"))
 
 
 @query("label_steps", "with " + LINES.format(key="doc_id", text="text", table="documents") + f"""
-select doc_id, step_no, {PROSE_CASE} as activity from lines""")
+select doc_id, step_no::int as step_no, {PROSE_CASE} as activity from lines""")
 def label_steps(spark, sf):
     steps = ev.lines_to_steps(fx.table(spark, sf, "documents"), "doc_id", "text")
     label = ev.label_by_rules(F.col("line"), PROSE_RULES, "Interpret Result")

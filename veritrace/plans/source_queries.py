@@ -105,8 +105,8 @@ def convert_format(spark, sf):
     return files.read_csv(spark, path, customers.schema)
 
 
-@query("line_counts", r"""select doc_id, length(text) - length(replace(text, chr(10), '')) as n_breaks,
-length(text) - length(replace(text, chr(10), '')) + case when text = '' or right(text, 1) = chr(10) then 0 else 1 end as n_lines
+@query("line_counts", r"""select doc_id, (length(text) - length(replace(text, chr(10), '')))::int as n_breaks,
+(length(text) - length(replace(text, chr(10), '')) + case when text = '' or right(text, 1) = chr(10) then 0 else 1 end)::int as n_lines
 from documents""")
 def line_counts(spark, sf):
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))

@@ -40,10 +40,14 @@ def stream_dedup(spark, sf):
     log = events(spark, sf)
     source = staged(log, "events-twice")
     out, checkpoint = new_folder(spark, "stream-dedup"), new_folder(spark, "checkpoint")
-    for _ in range(2):
+
+    def run():
         stream = jobs.exactly_once(jobs.read_files(spark, source, log.schema), "event_id", "ts", "60 days")
         jobs.run_to_table(stream, out, checkpoint)
-        log.write.mode("append").parquet(source)
+
+    run()
+    log.write.mode("append").parquet(source)
+    run()
     return spark.read.schema(log.schema).parquet(out).select("event_id", "case_id", "activity")
 
 
@@ -132,9 +136,13 @@ def stream_late(spark, sf):
     split = F.lit(fx.SPLIT_TS).cast("timestamp")
     source = staged(log.where(F.col("ts") >= split), "events-late")
     out, checkpoint = new_folder(spark, "stream-late"), new_folder(spark, "checkpoint")
-    for _ in range(2):
-        jobs.run_to_table(jobs.exactly_once(jobs.read_files(spark, source, log.schema), "event_id", "ts", "1 day"), out, checkpoint)
-        log.where(F.col("ts") < split).write.mode("append").parquet(source)
+    def run():
+        stream = jobs.read_files(spark, source, log.schema)
+        jobs.run_to_table(jobs.exactly_once(stream, "event_id", "ts", "1 day"), out, checkpoint)
+
+    run()
+    log.where(F.col("ts") < split).write.mode("append").parquet(source)
+    run()
     kept = spark.read.schema(log.schema).parquet(out).select("event_id", F.lit(True).alias("kept"))
     return log.join(kept, "event_id", "left").agg(
         F.count(F.lit(1)).alias("n_in"), F.count("kept").alias("n_out"), F.count_if(F.col("kept").isNull()).alias("n_late"))

@@ -11,7 +11,7 @@ from veritrace.plans import fixtures as fx
 from veritrace.plans.registry import query
 
 
-@query("assemble_conversations", """select conv_id, turn // 1000 as part, count(*) as n_turns,
+@query("assemble_conversations", """select conv_id, turn // 1000 as part, count(*)::int as n_turns,
 md5(string_agg(role || ': ' || text, chr(10) order by turn)) as body_md5 from conversations group by 1, 2""")
 def assemble_conversations(spark, sf):
     """Messages of a conversation in turn order, at most 1000 turns per row."""
@@ -62,7 +62,7 @@ def split_think_answer(spark, sf):
     )
 
 
-@query("format_reward", f"with {fx.RESPONSES} select id, case when form = 1 then 0.0 else 1.0 end as r_format from responses")
+@query("format_reward", f"with {fx.RESPONSES} select id, cast(case when form = 1 then 0 else 1 end as double) as r_format from responses")
 def format_reward(spark, sf):
     return R.with_rewards(fx.responses(spark, sf), ["format"]).select("id", "r_format")
 
@@ -73,7 +73,7 @@ def single_box_gate(spark, sf):
     return fx.responses(spark, sf).select("id", (X.box_count(F.col("response")) == 1).alias("eligible"))
 
 
-@query("gated_score", f"with {fx.RESPONSES} select id, case when form = 0 then 1.0 else -1.0 end as score from responses")
+@query("gated_score", f"with {fx.RESPONSES} select id, cast(case when form = 0 then 1 else -1 end as double) as score from responses")
 def gated_score(spark, sf):
     """The answer follows the last closing tag; here it must equal the gold text."""
     text = F.col("response")
@@ -84,14 +84,14 @@ def gated_score(spark, sf):
 
 
 @query("three_way_score", f"""with {fx.RESPONSES}
-select id, case when form = 1 then -1.0 when form = 0 then 1.0 else -0.5 end as score from responses""")
+select id, cast(case when form = 1 then -1.0 when form = 0 then 1.0 else -0.5 end as double) as score from responses""")
 def three_way_score(spark, sf):
     answer = X.last_boxed(F.col("response"))
     return fx.responses(spark, sf).select("id", R.three_way_score(answer, answer == F.col("gold")).alias("score"))
 
 
 @query("render_prompts", """select item_id, md5('Solve: ' || text || chr(10) || 'Gold: ' || item_id) as prompt_md5,
-length('Solve: ' || text || chr(10) || 'Gold: ' || item_id) as n_chars from benchmark""")
+length('Solve: ' || text || chr(10) || 'Gold: ' || item_id)::int as n_chars from benchmark""")
 def render_prompts(spark, sf):
     template = F.lit("Solve: {problem}\nGold: {gold}")
     prompt = F.replace(F.replace(template, F.lit("{problem}"), "text"), F.lit("{gold}"), F.col("item_id").cast("string"))
@@ -122,7 +122,7 @@ def choice_prompt(spark, sf):
     return parts.select("p_partkey", choice_prompt_column(F.col("p_name"), F.col("choices")).alias("prompt"))
 
 
-@query("sample_plan", """select item_id, s as sample, 42 + s as seed from benchmark, (select unnest(range(8)) as s)""")
+@query("sample_plan", """select item_id, s::int as sample, (42 + s)::int as seed from benchmark, (select unnest(range(8)) as s)""")
 def sample_plan(spark, sf):
     plan = fx.table(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("sample"))
     return plan.withColumn("seed", F.lit(42) + F.col("sample"))
@@ -186,8 +186,8 @@ def spans_sql(tag: str, lazy: str = "?") -> str:
 
 
 @query("extract_spans", f"""with lazy as {spans_sql("p")}, greedy as {spans_sql("p", "")}
-select page_id, 'lazy' as mode, b::bigint as begin_in, (b + hit)::bigint as end_in, (b + 3)::bigint as begin_ex, (b + hit - 4)::bigint as end_ex from lazy where hit is not null
-union all select page_id, 'greedy', b::bigint, (b + hit)::bigint, (b + 3)::bigint, (b + hit - 4)::bigint from greedy where hit is not null""")
+select page_id, 'lazy' as mode, b::int as begin_in, (b + hit)::int as end_in, (b + 3)::int as begin_ex, (b + hit - 4)::int as end_ex from lazy where hit is not null
+union all select page_id, 'greedy', b::int, (b + hit)::int, (b + 3)::int, (b + hit - 4)::int from greedy where hit is not null""")
 def extract_spans(spark, sf):
     """Inclusive and exclusive offsets, shortest and longest matches."""
     def shown(mode, greedy):
@@ -200,7 +200,7 @@ def extract_spans(spark, sf):
 
 
 @query("span_overlaps", f"""with p as {spans_sql("a")}, li as {spans_sql("li")}
-select p.page_id, p.b::bigint as l_begin, (p.b + p.hit)::bigint as l_end, li.b::bigint as r_begin, (li.b + li.hit)::bigint as r_end
+select p.page_id, p.b::int as l_begin, (p.b + p.hit)::int as l_end, li.b::int as r_begin, (li.b + li.hit)::int as r_end
 from p join li on p.page_id = li.page_id and p.hit is not null and li.hit is not null
 and p.b < li.b + li.hit and li.b < p.b + p.hit""")
 def span_overlaps(spark, sf):
@@ -219,11 +219,12 @@ def strip_math(spark, sf):
 
 # ---------------------------------------------------------------- text joins
 
-def gold_pairs(spark, sf):
-    """Every document with the benchmark text it is graded against."""
-    n_items = fx.table(spark, sf, "benchmark").count()
-    return fx.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("pred_id"), (F.col("doc_id") % n_items).alias("gold_id"))
+def graded_texts(spark, sf):
+    """Every document with the benchmark text it is graded against, and the benchmark texts."""
+    bench = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("gold_id"), "text")
+    n_items = bench.count()
+    docs = fx.texts(spark, sf, "documents", F.col("doc_id").alias("pred_id"), (F.col("doc_id") % n_items).alias("gold_id"), "text")
+    return docs, bench
 
 
 TOKENS_SQL = r"""dt as (select doc_id, tok, count(*) as n from (
@@ -238,27 +239,19 @@ sim as (select p.doc_id, p.item_id, coalesce(ds.n, 0) as pn, coalesce(bs.n, 0) a
 f as (select *, case when pn = 0 and gn = 0 then 1.0 when pn = 0 or gn = 0 or cn = 0 then 0.0 else 2.0 * cn / (pn + gn) end as f1 from sim)"""
 
 
-def token_similarity(spark, sf):
-    docs = fx.texts(spark, sf, "documents", F.col("doc_id").alias("pred_id"), "text")
-    bench = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("gold_id"), "text")
-    return joins.token_overlap(gold_pairs(spark, sf), docs, bench)
-
-
 @query("token_f1_join", f"""with {TOKENS_SQL} select doc_id as pred_id, item_id as gold_id, pn::bigint as pred_tokens, gn::bigint as gold_tokens,
 cn::bigint as common, round(f1, 6) as f1 from f""")
 def token_f1_join(spark, sf):
-    return token_similarity(spark, sf).withColumn("f1", F.round("f1", 6))
+    return joins.token_overlap(*graded_texts(spark, sf)).withColumn("f1", F.round("f1", 6))
 
 
 @query("multiset_intersect", f"""with {TOKENS_SQL}
 select p.doc_id, dt.tok as token, least(dt.n, bt.n) as n from pairs p join dt using (doc_id) join bt on bt.item_id = p.item_id and bt.tok = dt.tok""")
 def multiset_intersect(spark, sf):
-    pairs = gold_pairs(spark, sf)
-    pred = joins.token_counts(fx.texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", "a").withColumnRenamed("doc_id", "pred_id")
-    gold = joins.token_counts(fx.table(spark, sf, "benchmark"), "item_id", "text", "b").withColumnRenamed("item_id", "gold_id")
-    return pred.join(pairs, "pred_id").join(gold, ["gold_id", "token"]).select(
-        F.col("pred_id").alias("doc_id"), "token", F.least("a", "b").alias("n")
-    )
+    docs, bench = graded_texts(spark, sf)
+    pred = joins.token_counts(docs, ["pred_id", "gold_id"], "text", "a")
+    gold = joins.token_counts(bench, ["gold_id"], "text", "b")
+    return pred.join(gold, ["gold_id", "token"]).select(F.col("pred_id").alias("doc_id"), "token", F.least("a", "b").alias("n"))
 
 
 @query("number_match", f"""with {fx.RESPONSES}
@@ -278,9 +271,9 @@ select f.doc_id as pred_id, f.item_id as gold_id, case when coalesce(nums.hit, f
 from f left join nums on nums.doc_id = f.doc_id""")
 def answer_similarity(spark, sf):
     """1 when some number of the prediction matches one of the gold text, else token F1."""
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("pred_id"), X.numbers(F.col("text")).alias("p"))
-    bench = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("gold_id"), X.numbers(F.col("text")).alias("g"))
-    hits = gold_pairs(spark, sf).join(docs, "pred_id").join(bench, "gold_id").select(
-        "pred_id", X.any_number_match(F.col("p"), F.col("g")).alias("hit"))
-    return token_similarity(spark, sf).join(hits, "pred_id").select(
+    docs, bench = graded_texts(spark, sf)
+    hits = docs.select("pred_id", "gold_id", X.numbers(F.col("text")).alias("p")).join(
+        bench.select("gold_id", X.numbers(F.col("text")).alias("g")), "gold_id"
+    ).select("pred_id", X.any_number_match(F.col("p"), F.col("g")).alias("hit"))
+    return joins.token_overlap(docs, bench).join(hits, "pred_id").select(
         "pred_id", "gold_id", F.when(F.col("hit"), 1.0).otherwise(F.round("f1", 6)).alias("similarity"))
