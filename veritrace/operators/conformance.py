@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.operators.eventlog import directly_follows_rows
-from veritrace.operators.ordering import MAX_ROWS_PER_TASK
+from veritrace.operators.ordering import MAX_ROWS_PER_TASK, KeySkew, per_key
 
 REASON, GOLD = "R", "T"
 
 
 def paired_edges(
-    both: DataFrame, order: list[str], max_rows: int = MAX_ROWS_PER_TASK, case: str = "case_id"
+    both: DataFrame, order: list[str], max_rows: int = MAX_ROWS_PER_TASK, case: str = "case_id",
+    skew: KeySkew | None = None,
 ) -> DataFrame:
     """Edge table with the count of every edge in either log. ``both`` carries ``side`` (R or T).
 
@@ -21,7 +22,7 @@ def paired_edges(
     shuffle by case serves the ordering and every aggregate after it.
     """
     rows = directly_follows_rows(both.select(case, "side", "activity", *[c for c in order if c != "activity"]),
-                                 [case, "side"], order, max_rows, co_locate=[case])
+                                 [case, "side"], order, max_rows, co_locate=[case], skew=skew)
     is_reason = F.col("side") == REASON
     return rows.groupBy(case, "src", "dst").agg(
         F.count_if(is_reason).alias("n_reason"), F.count_if(~is_reason).alias("n_gold")
@@ -68,7 +69,9 @@ def conformance(
 
 def conformance_of_sides(both: DataFrame, order: list[str], max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
     """As :func:`conformance` for a single table that already carries ``side``."""
-    return score_edges(paired_edges(both, order, max_rows))
+    return per_key(
+        both, ["case_id"], max_rows, lambda part, skew: score_edges(paired_edges(part, order, max_rows, skew=skew))
+    )
 
 
 def score_edges(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.functions.text import let
-from veritrace.operators.ordering import MAX_ROWS_PER_TASK, order_within
+from veritrace.operators.ordering import MAX_ROWS_PER_TASK, KeySkew, order_within, per_key
 from veritrace.schemas import END, START
 
 #: Events kept in one trace row; a longer case continues in further rows, numbered by ``part``.
@@ -53,14 +53,14 @@ def traces(log: DataFrame, part_size: int = TRACE_PART) -> DataFrame:
 
 def directly_follows_rows(
     log: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS_PER_TASK,
-    co_locate: list[str] | None = None,
+    co_locate: list[str] | None = None, skew: KeySkew | None = None,
 ) -> DataFrame:
     """One row per transition of each group, with the artificial start and end nodes.
 
     Every event yields the edge to its successor (or to the end node); the first event also yields the edge
     from the start node. Both come from one ordered pass.
     """
-    ordered = order_within(log, keys, order, next_of=["activity"], max_rows=max_rows, co_locate=co_locate)
+    ordered = order_within(log, keys, order, next_of=["activity"], max_rows=max_rows, co_locate=co_locate, skew=skew)
     step_edge = F.struct(
         F.col("activity").alias("src"), F.coalesce("next_activity", F.lit(END)).alias("dst")
     )
@@ -71,8 +71,11 @@ def directly_follows_rows(
 
 def dfg_by_case(log: DataFrame, order: list[str] = ("step",), max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
     """Directly-follows graph of every case: the process model as an edge table."""
-    rows = directly_follows_rows(log, ["case_id"], list(order), max_rows)
-    return rows.groupBy("case_id", "src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
+    def edges(part: DataFrame, skew: KeySkew) -> DataFrame:
+        rows = directly_follows_rows(part, ["case_id"], list(order), max_rows, skew=skew)
+        return rows.groupBy("case_id", "src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
+
+    return per_key(log, ["case_id"], max_rows, edges)
 
 
 def dfg(log: DataFrame, order: list[str] = ("step",), max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrace.functions.rules import LEVELS
-from veritrace.operators.ordering import MAX_ROWS_PER_TASK, measure_skew, order_within, running_max_within
+from veritrace.operators.ordering import MAX_ROWS_PER_TASK, KeySkew, order_within, per_key, running_max_within
 
 # The candidate values of k.
 K_VALUES = [1, 2, 4, 8, 16]
@@ -81,23 +81,25 @@ def running_majority(
     The running count of an answer never falls, so the leader after a row is the largest (count, first seen)
     pair over the rows so far: a running maximum instead of a comparison of all earlier answers.
     """
-    skew = measure_skew(df, keys, max_rows)
-    if skew.n_hot == 0:
-        # Every (group, answer) is small too: one shuffle by group serves all windows.
-        counted = order_within(
-            df, [*keys, answer], [position], rank="_count", max_rows=max_rows, skew=skew, co_locate=keys
-        ).withColumn("_first", F.min(position).over(Window.partitionBy(*keys, answer)))
-    else:
-        firsts = df.groupBy(*keys, answer).agg(F.min(position).alias("_first"))
-        counted = order_within(df, [*keys, answer], [position], rank="_count", max_rows=max_rows)
-        counted = counted.join(firsts, [*keys, answer])
-    entry = F.struct(F.col("_count"), (-F.col("_first")).alias("_seen"), F.col(answer).alias("a"))
-    led = running_max_within(
-        counted, keys, [position],
-        {"_lead": entry, "_lead_non_empty": F.when(F.col(answer) != "", entry)}, max_rows, skew,
-    )
-    leader = F.when(F.col("_lead.a") != "", F.col("_lead.a")).otherwise(F.coalesce("_lead_non_empty.a", F.lit("")))
-    return led.select(*keys, position, answer, leader.alias("majority"))
+    def job(part: DataFrame, skew: KeySkew) -> DataFrame:
+        if skew.n_hot == 0:
+            # Every (group, answer) is small too: one shuffle by group serves all windows.
+            counted = order_within(
+                part, [*keys, answer], [position], rank="_count", max_rows=max_rows, skew=skew, co_locate=keys
+            ).withColumn("_first", F.min(position).over(Window.partitionBy(*keys, answer)))
+        else:
+            firsts = part.groupBy(*keys, answer).agg(F.min(position).alias("_first"))
+            counted = order_within(part, [*keys, answer], [position], rank="_count", max_rows=max_rows)
+            counted = counted.join(firsts, [*keys, answer])
+        entry = F.struct(F.col("_count"), (-F.col("_first")).alias("_seen"), F.col(answer).alias("a"))
+        led = running_max_within(
+            counted, keys, [position],
+            {"_lead": entry, "_lead_non_empty": F.when(F.col(answer) != "", entry)}, max_rows, skew,
+        )
+        leader = F.when(F.col("_lead.a") != "", F.col("_lead.a")).otherwise(F.coalesce("_lead_non_empty.a", F.lit("")))
+        return led.select(*keys, position, answer, leader.alias("majority"))
+
+    return per_key(df, keys, max_rows, job)
 
 
 def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-4) -> DataFrame:

@@ -8,12 +8,15 @@ carries the running offset and the neighbour across the cut. The result is the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritrace.session import materialize
+
 #: Rows of one key that a single task is asked to sort.
 MAX_ROWS_PER_TASK = 2_000_000
 #: Hot keys up to this many are broadcast (key plus cut points, well under 100 MB); beyond it they are joined.
@@ -43,18 +46,38 @@ def _maybe_broadcast(side: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(side) if n_rows <= MAX_BROADCAST_KEYS else side
 
 
+def per_key(
+    df: DataFrame, keys: list[str], max_rows: int, job: Callable[[DataFrame, KeySkew], DataFrame]
+) -> DataFrame:
+    """Run a job whose result rows belong to one key each, hot keys apart from the others.
+
+    The ordinary keys keep the plan with a single shuffle by key; only the hot ones pay for chunks.
+    """
+    skew = measure_skew(df, keys, max_rows)
+    if skew.n_hot == 0:
+        return job(df, skew)
+    hot = materialize(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows).select(*keys), "hot-keys"
+    )
+    hot = _maybe_broadcast(hot, skew.n_hot)
+    ordinary, heavy = df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    return job(ordinary, KeySkew(0, 0)).unionByName(job(heavy, skew))
+
+
 @dataclass(frozen=True)
 class Chunks:
-    """Rows with a ``_chunk`` number: 0 everywhere, except that a hot key's order range is cut into many."""
+    """Rows with a ``_chunk`` number: 0 for ordinary keys, while a hot key's order range is cut into many."""
 
     rows: DataFrame
-    hot: DataFrame | None
     n_carried: int
 
+    @property
+    def cut(self) -> bool:
+        return self.n_carried > 0
+
     def carry(self, keys: list[str], *aggregates: Column) -> DataFrame:
         """One row per chunk of every hot key."""
-        hot_rows = self.rows.join(_maybe_broadcast(self.hot, self.n_carried), keys, "left_semi")
-        return hot_rows.groupBy(*keys, "_chunk").agg(*aggregates)
+        return self.rows.where("_hot").groupBy(*keys, "_chunk").agg(*aggregates)
 
     def join_carried(self, rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
         return rows.join(_maybe_broadcast(carried, self.n_carried), [*keys, "_chunk"], "left")
@@ -66,19 +89,23 @@ def cut_hot_keys(
     """Number the chunks each row belongs to. ``order[0]`` must be numeric or a timestamp."""
     skew = skew or measure_skew(df, keys, max_rows)
     if skew.n_hot == 0:
-        return Chunks(df.withColumn("_chunk", F.lit(0)), None, 0)
+        return Chunks(df, 0)
     axis = F.col(order[0])
     n_chunks = max(2, min(10_000, -(-skew.largest // max_rows)))
     shares = F.array(*[F.lit(i / n_chunks) for i in range(1, n_chunks)])
 
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows).select(*keys)
-    cuts = (
+    # One short row per hot key; written so that the passes below do not search for hot keys again.
+    cuts = materialize(
         df.join(_maybe_broadcast(hot, skew.n_hot), keys, "left_semi")
-        .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(axis, shares, 100_000)).alias("_cuts"))
+        .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(axis, shares, 100_000)).alias("_cuts")),
+        "chunk-cuts",
     )
     chunk = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda cut: cut < axis)))
-    rows = df.join(_maybe_broadcast(cuts, skew.n_hot), keys, "left").withColumn("_chunk", chunk).drop("_cuts")
-    return Chunks(rows, hot, skew.n_hot * n_chunks)
+    rows = df.join(_maybe_broadcast(cuts, skew.n_hot), keys, "left").withColumns(
+        {"_chunk": chunk, "_hot": F.col("_cuts").isNotNull()}
+    )
+    return Chunks(rows.drop("_cuts"), skew.n_hot * n_chunks)
 
 
 def order_within(
@@ -101,12 +128,12 @@ def order_within(
     if co_locate and skew.n_hot == 0:
         df = df.repartition(*co_locate)
     cut = cut_hot_keys(df, keys, order, max_rows, skew)
-    groups = keys if cut.hot is None else [*keys, "_chunk"]
+    groups = [*keys, "_chunk"] if cut.cut else keys
     local = Window.partitionBy(*groups).orderBy(*order)
     out = cut.rows.withColumn(rank, F.row_number().over(local).cast("bigint"))
     for name in next_of:
         out = out.withColumn(f"next_{name}", F.lead(name).over(local))
-    if cut.hot is not None:
+    if cut.cut:
         if next_of:
             out = out.withColumn("_last", F.lead(F.lit(True)).over(local).isNull())
         along = Window.partitionBy(*keys).orderBy("_chunk")
@@ -131,10 +158,10 @@ def running_max_within(
 ) -> DataFrame:
     """Add, for each named expression, its maximum over the rows up to and including the current one."""
     cut = cut_hot_keys(df, keys, order, max_rows, skew)
-    groups = keys if cut.hot is None else [*keys, "_chunk"]
+    groups = [*keys, "_chunk"] if cut.cut else keys
     local = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = cut.rows.withColumns({name: F.max(value).over(local) for name, value in values.items()})
-    if cut.hot is not None:
+    if cut.cut:
         earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         carried = cut.carry(keys, *[F.max(v).alias(f"_max_{n}") for n, v in values.items()]).select(
             *keys, "_chunk", *[F.max(f"_max_{n}").over(earlier).alias(f"_before_{n}") for n in values]
@@ -151,8 +178,6 @@ def dense_index(df: DataFrame, order: list[str], index: str = "id", start: int =
     local numbers are one row per partition. The sorted rows are written once to the shared folder because
     the counts and the numbers must see the same partitioning even after a task is recomputed.
     """
-    from veritrace.session import materialize
-
     ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn(
         "_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
