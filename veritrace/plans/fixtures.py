@@ -106,7 +106,7 @@ CONV_LOG = """conv_log as (
 
 HEADER_LINE = "Case ID,Step,Activity,Description"
 #: Turns written into one text; longer conversations continue in further texts, so no text grows without bound.
-TURNS_PER_TEXT = 1000
+TURNS_PER_TEXT = 200
 
 
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,18 @@ def length_cap_ablation(spark, sf):
     return cells.withColumn("accuracy", F.round(F.col("hits") / F.col("n"), 6))
 
 
-@query("language_consistency")
+@query("language_consistency", r"""with plain as (select doc_id, lang, regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$|\\\(.*?\\\)|\\\[.*?\\\]', '', 'g'), '\$[^$]*\$', '', 'g') as text from documents),
+chars as (select doc_id, lang, unnest(string_split(lower(text), '')) as c, generate_subscripts(string_split(lower(text), ''), 1) as pos from plain),
+triples as (select doc_id, lang, c || lead(c) over w || lead(c, 2) over w as gram from chars window w as (partition by doc_id order by pos)),
+grams as (select doc_id, lang, gram, count(*) as n from triples where gram is not null group by all),
+counts as (select lang, gram, sum(n) as n from grams group by all), totals as (select lang, sum(n) as t from counts group by lang),
+vocab as (select count(distinct gram) as v from grams),
+model as (select g.gram, t.lang, ln((coalesce(c.n, 0) + 1) / (t.t + v)) as lp from (select distinct gram from grams) g
+  cross join totals t cross join vocab left join counts c on c.gram = g.gram and c.lang = t.lang),
+scores as (select doc_id, m.lang as guess, sum(n * lp) as s from grams join model m using (gram) group by all),
+best as (select doc_id, arg_max(guess, (s, guess)) as detected from scores group by doc_id)
+select lang, count(*) as n, round(avg(case when length(p.text) <= 15 or coalesce(detected = lang, false) then 1 else 0 end) * 100, 1) as percent_consistent
+from plain p left join best using (doc_id) group by lang""")
 def language_consistency(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang", X.strip_math(F.col("text")).alias("text"))
     return language.consistency(docs, "doc_id", "lang", "text")

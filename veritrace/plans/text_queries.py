@@ -11,10 +11,10 @@ from veritrace.plans import fixtures as fx
 from veritrace.plans.registry import query
 
 
-@query("assemble_conversations", """select conv_id, turn // 1000 as part, count(*)::int as n_turns,
+@query("assemble_conversations", f"""select conv_id, turn // {fx.TURNS_PER_TEXT} as part, count(*)::int as n_turns,
 md5(string_agg(role || ': ' || text, chr(10) order by turn)) as body_md5 from conversations group by 1, 2""")
 def assemble_conversations(spark, sf):
-    """Messages of a conversation in turn order, at most 1000 turns per row."""
+    """Messages of a conversation in turn order, at most 200 turns per row."""
     conv = fx.table(spark, sf, "conversations")
     part = F.floor(F.col("turn") / fx.TURNS_PER_TEXT).alias("part")
     rows = conv.groupBy("conv_id", part).agg(
