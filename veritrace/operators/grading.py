@@ -62,20 +62,15 @@ def _comparable_tuples(p: Column, g: Column) -> Column:
 
 
 def _tuple_equal(p: Column, g: Column) -> Column:
+    """Elements agree position by position, as text or by value."""
     def parts(s: Column) -> Column:
-        return F.transform(F.split(F.regexp_replace(s, r"^[\[(](.*)[\])]$", "$1"), ",", -1), X.strip)
+        inner = F.split(F.regexp_replace(s, r"^[\[(](.*)[\])]$", "$1"), ",", -1)
+        return F.transform(inner, lambda e: F.struct(F.lower(X.strip(e)).alias("text"), C.closed_form(e).alias("value")))
 
-    return X.let(parts(p), lambda a: X.let(parts(g), lambda b: C.all_pairs_equal(a, b, scalar_equal)))
+    def same(a: Column, b: Column) -> Column:
+        return F.when(a["text"] == b["text"], True).otherwise(C.numeric_equal(a["value"], b["value"], "string"))
 
-
-def scalar_equal(p: Column, g: Column) -> Column:
-    pn, gn = C.parse_number(p, percent=False), C.parse_number(g, percent=False)
-    return (
-        F.when(F.lower(X.strip(p)) == F.lower(X.strip(g)), True)
-        .when(pn.isNotNull() & gn.isNotNull(), C.numeric_equal(pn, gn, "string"))
-        .when(p == "", False)
-        .otherwise(F.coalesce(C.numeric_equal(C.closed_form(p), C.closed_form(g), "string"), F.lit(False)))
-    )
+    return C.all_pairs_equal(parts(p), parts(g), same)
 
 
 def judge_grade(df: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
