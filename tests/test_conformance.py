@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veritrace.operators import alignment, conformance as conf, eventlog as ev
 from veritrace.plans import fixtures as fx
 
+# The published example trace.
 GOLDEN = [
     "Start Problem", "Formulate Strategy", "Recall Definition", "Perform Comparison", "Apply Known Formula",
     "Formulate Strategy", "Evaluate Limit or Integral", "Simplify Expression", "Justify Step", "Check Validity",

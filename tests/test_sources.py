@@ -42,6 +42,12 @@ def test_append_twice_is_append_once(spark):
     assert spark.read.parquet(path).count() == 20
 
 
+def test_text_lines(spark):
+    path = new_folder(spark, "test-text")
+    spark.createDataFrame([("a",), ("b c",), ("",)], "value string").coalesce(1).write.text(path)
+    assert files.read_lines(spark, path).count() == 3
+
+
 def test_missing_jsonl_is_empty(spark):
     assert files.read_jsonl(spark, new_folder(spark, "absent"), "a int").count() == 0
 

@@ -4,6 +4,8 @@ A profile is an ordered list of steps over one text column. A step is a literal
 expression replacement, or a function of the column. :func:`run` lays the steps out as projections: steps that
 use their input once are chained into one expression; a step that uses it several times reads the column
 produced before it, so no expression is ever evaluated twice.
+
+Fixed values: the literals and patterns listed in the profiles below and the order in which they apply.
 """
 
 from __future__ import annotations
@@ -340,16 +342,11 @@ def _per_member(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 def _right_side(s: Column) -> Column:
     """Value of an equality chain, of a named quantity, or of an equality without letters on its left."""
-    name = (
-        rf"^([a-z]|[A-Z]{{2}}|\\?({rules.GREEK_NAMES}|{rules.FUNCTION_NAMES}))\^?\{{?-?('|\\prime|\d)*\}}?"
-        r"(\(-?([\d\.]+|[a-z])?\))?$"
-    )
-
     def pick(p: Column) -> Column:
         left = strip(p[0])
         return (
             F.when(F.size(p) > 2, last(p))
-            .when((F.size(p) == 2) & (left.rlike(name) | ~left.rlike("[a-zA-Z]")), last(p))
+            .when((F.size(p) == 2) & (left.rlike(rules.NAMED_LEFT_SIDE) | ~left.rlike("[a-zA-Z]")), last(p))
             .otherwise(F.array_join(p, "="))
         )
 
@@ -361,9 +358,9 @@ def _outside_if_single(s: Column) -> Column:
 
 
 def _plus_minus(s: Column) -> Column:
-    pattern = r"([\w\.\\{}\+\-\*\^]+?)(?:\\pm|\\mp)([\w\.\\{}\+\-\*\^]+)"
+    sides = rules.PLUS_MINUS_SIDES
     return let(out_parens(s), lambda o: F.when(
-        o.rlike(pattern), F.regexp_replace(o, pattern, "$1-$2,$1+$2")).otherwise(s))
+        o.rlike(sides), F.regexp_replace(o, sides, "$1-$2,$1+$2")).otherwise(s))
 
 
 def _inequality(sign: str) -> Callable[[Column], Column]:

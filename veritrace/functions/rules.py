@@ -85,6 +85,13 @@ GREEK_NAMES = (
     "chi|psi|omega"
 )
 
+# Left sides that merely name the quantity on the right, and both sides of a plus-minus sign.
+NAMED_LEFT_SIDE = (
+    rf"^([a-z]|[A-Z]{{2}}|\\?({GREEK_NAMES}|{FUNCTION_NAMES}))\^?\{{?-?('|\\prime|\d)*\}}?"
+    r"(\(-?([\d\.]+|[a-z])?\))?$"
+)
+PLUS_MINUS_SIDES = r"([\w\.\\{}\+\-\*\^]+?)(?:\\pm|\\mp)([\w\.\\{}\+\-\*\^]+)"
+
 # Date and time formats, in order, written as Spark patterns.
 DATETIME_FORMATS = [
     "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd",

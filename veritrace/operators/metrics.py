@@ -39,7 +39,7 @@ def pass_at_all_k(counts: DataFrame) -> DataFrame:
 
 
 def by_category(scores: DataFrame, categories: list[str], k: str = "k", score: str = "pass_at_k") -> DataFrame:
-    """Mean score per value of each category, and overall, in percent. One pass over the scores."""
+    """Mean score per value of each category, and overall, in percent to one decimal. One pass over the scores."""
     sets = [(F.lit(name).alias("category"), F.col(name).cast("string").alias("value")) for name in categories]
     rows = F.array(
         *[F.struct(*pair) for pair in sets],
@@ -48,7 +48,7 @@ def by_category(scores: DataFrame, categories: list[str], k: str = "k", score: s
     return (
         scores.select(k, score, F.explode(rows).alias("g"))
         .groupBy(k, "g.category", "g.value")
-        .agg(F.round(F.avg(score) * 100, 4).alias("percent"))
+        .agg(F.bround(F.avg(score) * 100, 1).alias("percent"))
     )
 
 
@@ -134,14 +134,14 @@ def weighted_level_score(accuracy: DataFrame) -> DataFrame:
         weight = F.when(F.col("level") == level, 2 ** i).otherwise(weight)
     total = 2 ** len(LEVELS) - 1
     return accuracy.groupBy("language").agg(
-        F.when(F.sum(weight) == total, F.round(F.sum(weight * F.col("accuracy")) / total, 4)).alias("weighted_score")
+        F.when(F.sum(weight) == total, F.bround(F.sum(weight * F.col("accuracy")) / total, 1)).alias("weighted_score")
     )
 
 
 def score_card(levels: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """One row per language, one column per level and metric."""
     return levels.groupBy("language").pivot("level", LEVELS).agg(
-        *[F.round(F.avg(column) * 100, 4).alias(name) for name, column in metrics.items()]
+        *[F.bround(F.avg(column) * 100, 1).alias(name) for name, column in metrics.items()]
     )
 
 

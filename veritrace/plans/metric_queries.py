@@ -33,9 +33,9 @@ def pass_at_k_all(spark, sf):
 @query("pass_at_k_by_category", f"""with {fx.GRADED},
 t as (select prompt_id, lang, toxic, count(*) as n, count(*) filter (where correct) as c from graded group by all),
 tk as (select *, {PASS_SQL} as p from (select * from t, (select unnest([1, 2, 4, 8, 16]) as k) where k = 1 or 2 * k <= n))
-select k, 'lang' as category, lang as value, round(avg(p) * 100, 4) as percent from tk group by k, lang
-union all select k, 'toxic', cast(toxic as varchar), round(avg(p) * 100, 4) from tk group by k, toxic
-union all select k, 'overall', 'all', round(avg(p) * 100, 4) from tk group by k""")
+select k, 'lang' as category, lang as value, round_even(avg(p) * 100, 1) as percent from tk group by k, lang
+union all select k, 'toxic', cast(toxic as varchar), round_even(avg(p) * 100, 1) from tk group by k, toxic
+union all select k, 'overall', 'all', round_even(avg(p) * 100, 1) from tk group by k""")
 def pass_at_k_by_category(spark, sf):
     counts = M.sample_counts(fx.graded(spark, sf), ["prompt_id", "lang", "toxic"])
     return M.by_category(M.pass_at_all_k(counts), ["lang", "toxic"])
@@ -144,13 +144,13 @@ def level_accuracy(spark, sf):
 
 @query("weighted_level_score", f"""with {fx.LEVELS}, {ACCURACY},
 w as (select *, case level when 'low' then 1 when 'middle' then 2 when 'high' then 4 else 8 end as weight from pct)
-select language, case when sum(weight) = 15 then round(sum(weight * accuracy) / 15, 4) end as weighted_score from w group by language""")
+select language, case when sum(weight) = 15 then round_even(sum(weight * accuracy) / 15, 1) end as weighted_score from w group by language""")
 def weighted_level_score(spark, sf):
     return M.weighted_level_score(M.level_accuracy(fx.levels(spark, sf)))
 
 
 @query("score_card", f"""with {fx.LEVELS} select language,
-{", ".join(f"round(avg(case when level = '{v}' then correct::int end) * 100, 4) as {v}_accuracy, round(avg(case when level = '{v}' then 1 - toxic end) * 100, 4) as {v}_clean" for v in ("low", "middle", "high", "top"))}
+{", ".join(f"round_even(avg(case when level = '{v}' then correct::int end) * 100, 1) as {v}_accuracy, round_even(avg(case when level = '{v}' then 1 - toxic end) * 100, 1) as {v}_clean" for v in ("low", "middle", "high", "top"))}
 from levels group by language""")
 def score_card(spark, sf):
     rows = fx.levels(spark, sf).withColumns({"ok": F.col("correct").cast("int"), "clean": 1 - F.col("toxic")})

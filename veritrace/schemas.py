@@ -4,15 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-EVENT_LOG = T.StructType([
-    T.StructField("case_id", T.StringType()),
-    T.StructField("step", T.IntegerType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("activity", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("is_true", T.BooleanType()),
-])
-
 #: One line of an event log embedded in text. Every field is read as text; typing is a later step.
 CSV_EVENT = "case_id STRING, step STRING, activity STRING, description STRING"
 
