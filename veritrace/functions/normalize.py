@@ -283,13 +283,12 @@ def multilingual(skip_unit: bool = False) -> list[Step]:
 _PAIRS = [(r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}"), ("(", ")"), ("[", "]"), ("{", "}")]
 
 
-def closes_at(s: Column, left: str, right: str) -> Column:
+def _closes_at(s: Column, pair: Column) -> Column:
     """1-based start of the bracket that closes the one at the very start; 0 when none does."""
-    tokens = F.split(s, f"(?<={quote(left)})|(?={quote(right)})|(?<={quote(right)})", -1)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"), F.lit(0).alias("at"))
 
     def step(acc: Column, token: Column) -> Column:
-        change = F.when(token.endswith(left), 1).when(token == right, -1).otherwise(0)
+        change = F.when(token.endswith(pair["left"]), 1).when(token == pair["right"], -1).otherwise(0)
         depth = acc["depth"] + change
         closing = (change == -1) & (depth == 0)
         return F.when(acc["at"] > 0, acc).otherwise(F.struct(
@@ -297,21 +296,32 @@ def closes_at(s: Column, left: str, right: str) -> Column:
             F.when(closing, acc["used"] + 1).otherwise(0).alias("at"),
         ))
 
-    return F.when(s.startswith(left), F.aggregate(tokens, start, step, lambda acc: acc["at"])).otherwise(0)
+    return F.aggregate(F.split(s, pair["cuts"], -1), start, step, lambda acc: acc["at"])
 
 
 def out_parens(s: Column) -> Column:
     """Remove one layer of every bracket kind that encloses the whole text."""
-    def without(left: str, right: str) -> Callable[[Column], Column]:
-        edges = len(left) + len(right)
-        return lambda v: F.when(
-            (F.length(v) >= edges) & (closes_at(v, left, right) == F.length(v) - (len(right) - 1)),
-            F.substring(v, F.lit(len(left) + 1), F.length(v) - edges),
-        ).otherwise(v)
+    kinds = F.array(*[
+        F.struct(
+            F.lit(left).alias("left"), F.lit(right).alias("right"),
+            F.lit(f"(?<={quote(left)})|(?={quote(right)})|(?<={quote(right)})").alias("cuts"),
+        ) for left, right in _PAIRS
+    ])
 
-    for left, right in _PAIRS:
-        s = let(s, without(left, right))
-    return s
+    def peel(text: Column, pair: Column) -> Column:
+        size = F.length(pair["left"])
+        encloses = _closes_at(text, pair) == F.length(text) - size + 1
+        return F.when(text.startswith(pair["left"]), F.when(
+            encloses, F.substring(text, size + 1, F.length(text) - 2 * size)).otherwise(text)).otherwise(text)
+
+    return F.aggregate(kinds, s, peel)
+
+
+def bare(s: Column) -> Column:
+    """Without enclosing brackets, however many layers there are; texts that open no bracket are not examined."""
+    layers = F.length(F.regexp_extract(s, r"^[\\(\[{]+", 0))
+    peeled = F.aggregate(F.sequence(F.lit(1), layers), s, lambda inner, _: out_parens(inner))
+    return F.when(s.rlike(r"^[\\(\[{]"), peeled).otherwise(s)
 
 
 def _command(name: str) -> Step:
@@ -332,7 +342,7 @@ def _is_set(s: Column) -> Column:
 
 def _set_members(s: Column) -> Column:
     """Members of a set without its brackets: distinct, sorted, joined by commas; other texts unchanged."""
-    members = F.transform(F.split(F.replace(out_parens(out_parens(s)), F.lit("or"), F.lit(",")), ",", -1), strip)
+    members = F.transform(F.split(F.replace(bare(s), F.lit("or"), F.lit(",")), ",", -1), strip)
     return F.when(_is_set(s), F.array_join(F.array_sort(F.array_distinct(members)), ",")).otherwise(s)
 
 
@@ -354,12 +364,12 @@ def _right_side(s: Column) -> Column:
 
 
 def _outside_if_single(s: Column) -> Column:
-    return F.when(has(s, ","), s).otherwise(out_parens(out_parens(s)))
+    return F.when(has(s, ","), s).otherwise(bare(s))
 
 
 def _plus_minus(s: Column) -> Column:
     sides = rules.PLUS_MINUS_SIDES
-    return let(out_parens(s), lambda o: F.when(
+    return let(bare(s), lambda o: F.when(
         o.rlike(sides), F.regexp_replace(o, sides, "$1-$2,$1+$2")).otherwise(s))
 
 

@@ -174,7 +174,7 @@ SYMBOLIC_CASES = [
     (r"\left(@d,@g\right)", "(@d,@g)"), (r"\{b@d,a@d\}", "a@d,b@d"), (r"\frac@d3", r"\frac{@d}{3}"),
     ("@d:3", r"\frac{@d}{3}"), ("x=@g", "@g"), ("a=b=@g", "@g"), (r"@d\pm\sqrt2", r"@d-\sqrt{2},@d+\sqrt{2}"), ("@d cm", "@d"),
     ("three", "3"), (r"\text{@g}", "@g"), (r"\mathbf{x}@d", "x@d"), (r"@d^\circ", "@d"), ("@g.000", "@g"), (".@d", "0.@d"),
-    (r"\sin x", r"\sin^{1}x"), ("0@d", "@d"), ("(@g)", "@g"), ("1<x<@d", "1,x,@d"), ("∞", r"\infty"),
+    (r"\sin x", r"\sin^{1}x"), ("0@d", "@d"), ("(@g)", "@g"), ("(([{@g}]))", "@g"), ("(@d)(@g)", "(@d)(@g)"), ("1<x<@d", "1,x,@d"), ("∞", r"\infty"),
     (r"\begin{pmatrix}1\\@d\end{pmatrix}", r"\begin{array}1\\@d\end{array}"), (r"\text{a\text{b}}@d", r"a\text{b}@d"),
 ]
 
