@@ -20,4 +20,5 @@ def test_query_matches_its_sql(spark, con, name):
 def test_entry_points():
     import __spark_entry__ as entry
 
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())

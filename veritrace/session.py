@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def build_session(master: str | None = None, app: str = "veritrace", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; anything in ``conf`` wins."""
     settings = {
@@ -30,20 +29,28 @@ def build_session(master: str | None = None, app: str = "veritrace", **conf: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when the session names none."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, else one below the warehouse on a single machine.
+
+    A cluster without a shared folder is refused: files in a local folder would be out of sight of other machines.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    root = spark.conf.get("veritrace.workdir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="veritrace-")
-        spark.conf.set("veritrace.workdir", root)
+    root = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+    local_path = root.startswith("file:") or "://" not in root
+    if local_path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = f"{root.rstrip('/')}/_work"
+    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh, unused path below the shared folder, deleted when the session's driver ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:
