@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing it fills the registry."""
 
-from veritrace.llm import bpe, packing, simhash, token_counts  # noqa: F401
+from veritrace.llm import bpe, packing, quality, sharding, simhash, token_counts, winnowing  # noqa: F401
 from veritrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
