@@ -1,6 +1,8 @@
 """All queries of this subpackage; importing it fills the registry."""
 
-from veritrace.llm import bpe, packing, quality, sharding, simhash, token_counts, winnowing  # noqa: F401
+from veritrace.llm import (  # noqa: F401
+    bpe, chat, packing, quality, sharding, simhash, token_counts, toxicity, warc, winnowing,
+)
 from veritrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
