@@ -44,16 +44,26 @@ aggregate(
 """
 
 
+_REST = "filter(sizes, x -> not array_contains(peeled.giants, x.bucket))"
+_SHARDS = """
+transform(sizes, x -> struct(x.bucket as bucket,
+  if(array_contains(peeled.giants, x.bucket), cast(array_position(peeled.giants, x.bucket) as int) - 1,
+     size(peeled.giants) + size(filter(cuts, c -> c <= x.bucket))) as shard))
+"""
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is then computed once and not at every use."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def minimax_cuts(buckets: DataFrame, shards: int) -> DataFrame:
     """``bucket`` and ``shard`` for rows of ``bucket`` and ``size``: at most ``BUCKETS`` rows, so one row holds them all."""
-    one = buckets.agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("sizes"))
-    one = one.withColumn("peeled", F.expr(_GIANTS.format(shards=shards)))
-    one = one.withColumn("rest", F.expr("filter(sizes, x -> not array_contains(peeled.giants, x.bucket))"))
-    one = one.withColumn("capacity", F.expr(_CAPACITY)).withColumn("cuts", F.expr(_CUTS))
-    shard = """
-        if(array_contains(peeled.giants, x.bucket), cast(array_position(peeled.giants, x.bucket) as int) - 1,
-           size(peeled.giants) + size(filter(cuts, c -> c <= x.bucket)))"""
-    return one.select(F.explode(F.expr(f"transform(sizes, x -> struct(x.bucket as bucket, {shard} as shard))")).alias("x")).select("x.*")
+    one = buckets.agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("all_sizes"))
+    body = bound("cuts", _CUTS, _SHARDS)
+    for name, value in (("capacity", _CAPACITY), ("rest", _REST), ("peeled", _GIANTS.format(shards=shards)), ("sizes", "all_sizes")):
+        body = bound(name, value, body)
+    return one.select(F.explode(F.expr(body)).alias("x")).select("x.*")
 
 
 def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 16) -> DataFrame:
