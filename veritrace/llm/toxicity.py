@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +17,15 @@ from veritrace.session import materialize
 
 #: At most about this many labelled rows are used to find voters and to fit the classifier, chosen by a hash of the id.
 FIT_ROWS = 30_000
-#: Words and beginnings of words that vote; the most telling ones are taken.
-VOTERS = 160
+#: Words and beginnings of words that the classifier weighs; the most telling ones are taken, and the first of them vote.
+MARKS, VOTERS = 1000, 160
 #: Letters of the beginnings of words that may vote.
 BEGINNINGS = (4, 5, 6)
-#: A voter needs so many toxic texts, and such a share of toxic ones among those that it marks.
-LEAST_TEXTS, LEAST_PRECISION = 5, 0.6
+#: A mark needs so many toxic texts, and such a share of toxic ones among those that have it.
+LEAST_TEXTS, LEAST_PRECISION = 5, 0.5
 #: Accuracy with which a human label enters the posterior of its text.
 LABEL_ACCURACY = 0.95
 ROUNDS = 4
-WIDTH = 1 << 18
 
 
 def signals(text: Column) -> Column:
@@ -40,15 +39,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def find_voters(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """The signals that mark toxic texts best, at most ``VOTERS``."""
+def find_marks(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """The signals that mark toxic texts best, at most ``MARKS``, best first."""
     counts = sample.select("_toxic", F.explode("_signals").alias("signal")).groupBy("signal").agg(
         F.sum("_toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
     precision = (F.col("toxic") + 0.5) / (F.col("n") + 1)
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
     best = counts.where((F.col("toxic") >= LEAST_TEXTS) & (precision >= LEAST_PRECISION)).withColumn(
         "worth", F.col("toxic") * F.log(precision / base))
-    return [r[0] for r in best.orderBy(F.desc("worth"), "signal").limit(VOTERS).select("signal").collect()]
+    return [r[0] for r in best.orderBy(F.desc("worth"), "signal").limit(MARKS).select("signal").collect()]
 
 
 def posterior_odds(votes: Column, label: Column, weights: dict[str, float], intercept: float) -> Column:
@@ -101,64 +100,57 @@ def label_model(votes: DataFrame, voters: list[str], prior: float) -> tuple[dict
     return weights, intercept
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LogisticRegressionModel | None:
-    """The classifier; None without a toxic and a clean label to learn from.
+def scored(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``_row`` (id and the columns in ``carry``) with ``score``, the chance from 0 to 1 that the text is toxic.
 
-    ``labels`` has ``doc_id`` and ``toxic``; rows held out are not read, an id labelled twice is toxic if any label says
-    so. Voters and the classifier are learnt from at most about ``FIT_ROWS`` labelled texts, the label model from the
-    votes on all texts.
+    ``labels`` has ``doc_id`` and ``toxic``; held-out rows are not read, an id labelled twice is toxic if any label says
+    so. Marks and the classifier are learnt from at most about ``FIT_ROWS`` labelled texts, the label model from the
+    votes on all texts. A score depends on the words of the text alone. Null and empty texts get the score of a text
+    without marks; without toxic and clean labels, or without a mark, every score is 0. Null ids and repeated rows keep
+    their own scores; an empty table gives no rows.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("toxic").cast("int").alias("_toxic"))
     known = materialize(known, "labels")
-    n = known.count()
-    share = min(1.0, FIT_ROWS / max(n, 1))
+    share = min(1.0, FIT_ROWS / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))  # about FIT_ROWS rows of 12 bytes
-    texts = docs.select(F.col(id_col).alias("_id"), signals(F.col(text_col)).alias("_signals"))
-    sample = materialize(texts.join(F.broadcast(chosen), "_id").select("_signals", "_toxic"), "labelled-signals")
+    row = F.struct(F.col(id_col).alias("_id"), *[F.col(c) for c in carry]).alias("_row")
+    texts = docs.select(row, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    labelled = texts.select("_id", "_text").join(F.broadcast(chosen), "_id").select(signals(F.col("_text")).alias("_signals"), "_toxic")
+    sample = materialize(labelled, "labelled-signals")
     sizes = {r[0]: r[1] for r in sample.groupBy("_toxic").count().collect()}
-    if not sizes.get(1) or not sizes.get(0):
-        return None
-    voters = find_voters(sample, sizes[1], sizes[0])
-    prior = sizes[1] / (sizes[0] + sizes[1])
-    marked = lambda c: F.array_sort(F.array_intersect(F.col(c), F.array(*[F.lit(v) for v in voters]).cast("array<string>")))
-    votes = texts.join(F.broadcast(chosen), "_id", "left").select(marked("_signals").alias("_votes"), "_toxic")
+    marks = find_marks(sample, sizes[1], sizes[0]) if sizes.get(1) and sizes.get(0) else []
+    if not marks:
+        return texts.select("_row", F.lit(0.0).alias("score"))
+    among = lambda c, names: F.array_sort(F.array_intersect(c, F.array(*[F.lit(v) for v in names])))
+    marked = materialize(texts.select("_row", "_id", among(signals(F.col("_text")), marks).alias("_marks")), "marked-texts")
+    voters, prior = marks[:VOTERS], sizes[1] / (sizes[0] + sizes[1])
+    votes = marked.select("_id", "_marks").join(F.broadcast(chosen), "_id", "left").select(
+        "_marks", among(F.col("_marks"), voters).alias("_votes"), "_toxic")
     weights, intercept = label_model(votes, voters, prior)
-    chance = 1 / (1 + F.exp(-posterior_odds(marked("_signals"), F.col("_toxic"), weights, intercept)))
-    soft = sample.withColumn("_p", chance)
-    both = soft.select("_signals", F.explode(F.array(
+    chance = 1 / (1 + F.exp(-posterior_odds(F.col("_votes"), F.col("_toxic"), weights, intercept)))
+    soft = votes.where("_toxic is not null").withColumn("_p", chance)
+    both = soft.select("_marks", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("_p").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (1 - F.col("_p")).alias("weight")))).alias("x")).select("_signals", "x.*").where("weight > 0.001")
-    rows = materialize(_hashing().transform(both).select("label", "weight", "features"), "posterior-labels")
-    return LogisticRegression(maxIter=25, regParam=1e-4, elasticNetParam=1.0, weightCol="weight", standardization=False).fit(rows)
-
-
-def _hashing() -> HashingTF:
-    return HashingTF(inputCol="_signals", outputCol="features", numFeatures=WIDTH, binary=True)
-
-
-def score(docs: DataFrame, model: LogisticRegressionModel | None, *, text_col: str = "text") -> DataFrame:
-    """``docs`` as one column ``_row``, with ``score``: the chance from 0 to 1 that the text is toxic, by its words alone.
-
-    Null and empty texts get the score of a text without words; without a model every score is 0.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), signals(F.col(text_col)).alias("_signals"))
-    if model is None:
-        return rows.select("_row", F.lit(0.0).alias("score"))
-    model = model.copy()
+        F.struct(F.lit(0.0).alias("label"), (1 - F.col("_p")).alias("weight")))).alias("x")).select("_marks", "x.*").where("weight > 0.001")
+    vectors = CountVectorizerModel.from_vocabulary(marks, inputCol="_marks", outputCol="features", minTF=0.0).setBinary(True)
+    rows = materialize(vectors.transform(both).select("label", "weight", "features"), "posterior-labels")
+    model = LogisticRegression(maxIter=30, regParam=1e-4, weightCol="weight", standardization=False).fit(rows)
     model.setRawPredictionCol("").setPredictionCol("")
-    found = model.transform(_hashing().transform(rows))
+    found = model.transform(vectors.transform(marked.select("_row", "_marks")))
     return found.select("_row", vector_to_array("probability")[1].alias("score"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that score below one half."""
-    return score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col=text_col).where("score < 0.5").select("_row.*")
+    whole = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return scored(whole, labels, carry=("_whole",), **options).where("score < 0.5").select("_row._whole.*")
 
 
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = score(docs.select("doc_id", "text"), fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    found = scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select(
-        "_row.doc_id", held_out(F.col("_row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        F.col("_row._id").alias("doc_id"), held_out(F.col("_row._id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
