@@ -205,11 +205,11 @@ def near_links(nodes: DataFrame, budget: int, wide_budget: int = 0) -> DataFrame
         parts = [_split(crowded.where(F.col("bits") == w), budget, w) for w in widths]
         split = parts[0]
         for part in parts[1:]:
-            split = split.union(part)
+            split = split.unionByName(part)
         rows = materialize(split, "split-blocks")
     blocks = done[0]
     for part in done[1:]:
-        blocks = blocks.union(part)
+        blocks = blocks.unionByName(part)
 
     def run(batches):
         held = None
