@@ -107,11 +107,15 @@ def quality_verdicts(
     have no label; repeated rows keep their own verdicts; empty tables give no rows.
     """
     row = F.struct(F.col(id_col).alias("_id"), F.col(stratum_col).alias("_stratum"), *[F.col(c) for c in carry])
-    measured = materialize(features(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), "_text"), "quality-features")
+    rows = docs.select(row.alias("_row"), F.col(text_col).alias("_text"))
+    narrow = rows.withColumn("_row", F.struct("_row._id", "_row._stratum"))
+    measured = materialize(features(narrow, "_text"), "quality-features")
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q")).where("_q = 1").select("_id")
     holdout = measured.where("not base_failed").select(F.col("_row._id").alias("_id"), F.col("_row._stratum").alias("_stratum"), *RULES)
     cutoffs = materialize(
         select_cutoffs(holdout.join(good, "_id", "left_semi"), "_stratum", max_false_reject, error).where("_stratum is not null"), "cutoffs")
+    if carry:  # whole rows are measured again rather than written
+        measured = features(rows, "_text")
     keyed = measured.withColumn("_stratum", F.col("_row._stratum"))
     if cutoffs.count() <= BROADCAST_STRATA:
         judged = keyed.join(F.broadcast(cutoffs), "_stratum", "left")

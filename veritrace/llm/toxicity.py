@@ -125,7 +125,8 @@ def scored(
     if not marks:
         return texts.select("_row", F.lit(0.0).alias("score"))
     among = lambda c, names: F.array_sort(F.array_intersect(c, F.array(*[F.lit(v) for v in names])))
-    marked = materialize(texts.select("_row", "_id", among(signals(F.col("_text")), marks).alias("_marks")), "marked-texts")
+    found_marks = among(signals(F.col("_text")), marks).alias("_marks")
+    marked = materialize(texts.select(F.struct("_id").alias("_row"), "_id", found_marks), "marked-texts")
     voters, prior = marks[:VOTERS], sizes[1] / (sizes[0] + sizes[1])
     votes = marked.select("_id", "_marks").join(F.broadcast(chosen), "_id", "left").select(
         "_marks", among(F.col("_marks"), voters).alias("_votes"), "_toxic")
@@ -139,6 +140,8 @@ def scored(
     rows = materialize(vectors.transform(both).select("label", "weight", "features"), "posterior-labels")
     model = LogisticRegression(maxIter=30, regParam=1e-4, weightCol="weight", standardization=False).fit(rows)
     model.setRawPredictionCol("").setPredictionCol("")
+    if carry:  # whole rows are read again rather than written
+        marked = texts.select("_row", found_marks)
     found = model.transform(vectors.transform(marked.select("_row", "_marks")))
     return found.select("_row", vector_to_array("probability")[1].alias("score"))
 
