@@ -100,15 +100,15 @@ def start_end_activities(log: DataFrame) -> DataFrame:
 
 
 def variant_keys(log: DataFrame) -> DataFrame:
-    """A 128-bit fingerprint of each case's trace.
+    """A fingerprint of each case's trace.
 
-    Hashing (step, activity) and combining with XOR keeps the order and needs no collected array, so it
-    partially aggregates on the map side whatever the length of a case.
+    Two sums of hashes of (step, activity) keep the order and count repeated rows, and need no collected array, so they
+    partially aggregate on the map side whatever the length of a case.
     """
     return log.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.bit_xor(F.xxhash64("step", "activity")).alias("h1"),
-        F.bit_xor(F.xxhash64("activity", "step", F.lit("v"))).alias("h2"),
+        F.sum(F.xxhash64("step", "activity").cast("decimal(20,0)")).alias("h1"),
+        F.sum(F.xxhash64("activity", "step", F.lit("v")).cast("decimal(20,0)")).alias("h2"),
     )
 
 

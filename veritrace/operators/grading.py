@@ -109,7 +109,8 @@ def cascade(pairs: DataFrame, columns: list[str], judges: list[tuple[str, Judge]
     open_pairs = pairs.select(*columns).distinct()
     accepted = None
     for name, judge in judges:
-        judged = materialize(judge(open_pairs), f"judged-{name}")
+        judged = judge(open_pairs).withColumn("correct", F.coalesce("correct", F.lit(False)))
+        judged = materialize(judged, f"judged-{name}")
         won = judged.where("correct").select(*columns, F.lit(name).alias("judge"))
         accepted = won if accepted is None else accepted.unionByName(won)
         open_pairs = judged.where(~F.col("correct")).select(*columns)

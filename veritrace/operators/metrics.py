@@ -102,6 +102,11 @@ def running_majority(
     return per_key(df, keys, max_rows, job)
 
 
+def with_group(df: DataFrame, stats: DataFrame, group: str) -> DataFrame:
+    """Each row with the statistics of its group; rows without a group are a group of their own."""
+    return df.join(stats.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-4) -> DataFrame:
     """Reward relative to its group: (r - mean) / (sample standard deviation + epsilon).
 
@@ -109,14 +114,14 @@ def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-
     """
     stats = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_sd"))
     value = (F.col(reward) - F.col("_mean")) / (F.col("_sd") + epsilon)
-    return df.join(stats, group).withColumn("advantage", value).drop("_mean", "_sd")
+    return with_group(df, stats, group).withColumn("advantage", value).drop("_mean", "_sd")
 
 
 def leave_one_out_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
     """Reward minus the mean reward of the other rows of its group; NULL in a group of one."""
     stats = df.groupBy(group).agg(F.sum(reward).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     others = (F.col("_sum") - F.col(reward)) / F.nullif(F.col("_n") - 1, F.lit(0))
-    return df.join(stats, group).withColumn("advantage", F.col(reward) - others).drop("_sum", "_n")
+    return with_group(df, stats, group).withColumn("advantage", F.col(reward) - others).drop("_sum", "_n")
 
 
 def level_accuracy(levels: DataFrame) -> DataFrame:

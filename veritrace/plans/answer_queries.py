@@ -482,4 +482,6 @@ def judge_cascade(spark, sf):
 def grade_responses(spark, sf):
     rows = fx.responses(spark, sf)
     decided = grading.cascade(rows, ["response", "gold"], judges())
-    return rows.join(decided, ["response", "gold"]).select("id", "judge", "correct")
+    found = decided.select(F.col("response").alias("_response"), F.col("gold").alias("_gold"), "judge", "correct")
+    same = F.col("response").eqNullSafe(F.col("_response")) & F.col("gold").eqNullSafe(F.col("_gold"))
+    return rows.join(found, same).select("id", "judge", "correct")

@@ -109,12 +109,18 @@ HEADER_LINE = "Case ID,Step,Activity,Description"
 TURNS_PER_TEXT = 200
 
 
+def two_digits(number: Column) -> Column:
+    """The number as text, with a leading zero below ten."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(2)), F.lit("0"))
+
+
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text per conversation with its log embedded as CSV; ids ending in 3 lack the header."""
     conv = table(spark, sf_dir, "conversations")
     quoted = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""'))
     line = F.concat_ws(
-        ",", F.col("conv_id").cast("string"), F.lpad((F.col("turn") + 1).cast("string"), 2, "0"), "role",
+        ",", F.col("conv_id").cast("string"), two_digits(F.col("turn") + 1), "role",
         F.concat(F.lit('"'), quoted, F.lit('"')),
     )
     texts = conv.groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_TEXT).alias("part")).agg(

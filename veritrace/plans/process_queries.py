@@ -29,7 +29,7 @@ def case_lens(spark, sf):
 @query("event_log_typed", f"""with {fx.CONV_LOG}
 select case_id, cast(step as int) as step, epoch(to_timestamp(step))::bigint as ts_seconds, activity, description from conv_log""")
 def event_log_typed(spark, sf):
-    log = fx.conv_log(spark, sf).withColumn("step", F.lpad(F.col("step").cast("string"), 2, "0"))
+    log = fx.conv_log(spark, sf).withColumn("step", fx.two_digits(F.col("step")))
     typed = ev.typed(log)
     ev.require_columns(typed, "case_id", "step", "ts", "activity")
     return typed.select("case_id", "step", F.unix_seconds("ts").alias("ts_seconds"), "activity", "description")
