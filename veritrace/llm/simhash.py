@@ -191,7 +191,7 @@ def near_links(nodes: DataFrame, budget: int, wide_budget: int = 0) -> DataFrame
     copies gives as many links as members, not as pairs; the components are those of all links.
     """
     first = nodes.select("node", "fp", "wide", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
-    rows = materialize(_split(first, budget, 64), "blocks")
+    rows = _split(first, budget, 64)  # dealt again from the nodes each time: cheaper than writing each copy of a node
     done: list[DataFrame] = []
     while True:
         hot = rows.groupBy("key", "bits").count().where((F.col("count") > BLOCK_ROWS) & (F.col("bits") > 2 * (budget + 1)))
@@ -206,7 +206,7 @@ def near_links(nodes: DataFrame, budget: int, wide_budget: int = 0) -> DataFrame
         split = parts[0]
         for part in parts[1:]:
             split = split.unionByName(part)
-        rows = materialize(split, "split-blocks")
+        rows = split
     blocks = done[0]
     for part in done[1:]:
         blocks = blocks.unionByName(part)
