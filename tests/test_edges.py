@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from veritrace.operators import eventlog, metrics
+from veritrace.functions import compare, normalize
+from veritrace.operators import eventlog, grading, metrics
 from veritrace.plans.fixtures import two_digits
+from veritrace.streaming import jobs
 
 
 def test_step_numbers_keep_all_digits(spark):
@@ -21,3 +23,65 @@ def test_rows_without_a_group_keep_an_advantage(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 4.0)], "g string, r double")
     assert metrics.group_advantage(df, "g", "r").count() == 4
     assert sorted(r.advantage for r in metrics.leave_one_out_advantage(df, "g", "r").collect()) == [-2.0, -2.0, 2.0, 2.0]
+
+
+def one_column(spark, values, name="t"):
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def normalized(spark, values, steps):
+    out = normalize.run(one_column(spark, values), "t", "c", steps).collect()
+    return {r.t: r.c for r in out}
+
+
+def test_units_go_in_the_published_order(spark):
+    once = normalized(spark, ["4 pi sq m", "5 sq . m", "a b c d e f g", "12 km"], [normalize._drop_units, normalize._drop_units])
+    assert {k: v.strip() for k, v in once.items()} == {"4 pi sq m": "4 pi", "5 sq . m": "5  .", "a b c d e f g": "", "12 km": "12"}
+
+
+def test_number_words_have_no_upper_end(spark):
+    want = {
+        "thirty": "30", "forty two": "42", "hundred": "100", "Ninety-nine": "99", "two hundred and five": "205", "zero": "zero",
+        "three million four hundred thousand six": "3400006", "forty apples": "forty apples", "and": "and", "": "",
+    }
+    assert normalized(spark, list(want), [normalize.word_number]) == want
+
+
+def test_commands_lose_their_braces_at_any_depth(spark):
+    want = {
+        r"\text{a{b{c{d{e}}}}}f": "a{b{c{d{e}}}}f", r"{\em x}+1": "x+1", r"\text{a": "{a", r"\text5": "5",
+        r"{\em x": "{x", "plain": "plain", r"\text{a\text{b}}c": r"a\text{b}c",
+    }
+    assert r"\text" in normalize.rules.SYMBOLIC_COMMANDS
+    out = one_column(spark, want)
+    for name in (r"\text", r"\em"):
+        out = out.withColumn("c", normalize._drop_command(F.coalesce(F.col("c"), F.col("t")) if "c" in out.columns else F.col("t"), F.lit(name)))
+    assert {r.t: r.c for r in out.collect()} == want
+
+
+def test_long_exponents_are_closed_forms(spark):
+    rows = one_column(spark, ["1.001^1000", "10^9999", "2*1.001^{1000}", "3*10^-9999"]).select("t", compare.closed_form(F.col("t")).alias("v")).collect()
+    values = {r.t: r.v for r in rows}
+    assert abs(values["1.001^1000"] - 1.001**1000) < 1e-9 and abs(values["2*1.001^{1000}"] - 2 * 1.001**1000) < 1e-9
+    assert values["10^9999"] is None and values["3*10^-9999"] == 0.0
+
+
+def test_brackets_of_one_side_and_named_intervals(spark):
+    cases = [
+        ("[5]", "5", True), ("(5)", "5", True), ("[5]", "(6)", False), ("Interval(1, 2)", "[1,2]", True), ("Interval.open(1, 2)", "(1,2)", True),
+        ("Interval.Lopen(1, 2)", "(1,2]", True), ("Interval.Ropen(1, 2)", "[1,2)", True), ("Interval.open(1, 2)", "[1,2]", False), ("[1,2]", "(1,2)", False),
+    ]
+    pairs = spark.createDataFrame(cases, "pred string, gold string, want boolean")
+    assert [(r.pred, r.gold) for r in grading.judge_string(pairs).collect() if r.correct != r.want] == []
+
+
+def test_rows_behind_the_state_are_late(spark, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    each = jobs.incremental_dfg(out, state, ["ts", "event_id"])
+    schema = "case_id string, activity string, ts long, event_id long"
+    batches = [[("x", "A", 1, 1), ("x", "C", 3, 3)], [("x", "B", 2, 2), ("y", "A", 1, 4)], [("x", "D", 3, 5), ("x", "D", 3, 5)]]
+    for i, rows in enumerate(batches[:2] + [batches[2][:1]]):
+        each(spark.createDataFrame(rows, schema), i)
+    edges = {(r.src, r.dst): r.cnt for r in spark.read.parquet(out).groupBy("src", "dst").agg(F.sum("cnt").alias("cnt")).collect()}
+    assert edges == {("▶", "A"): 2, ("A", "C"): 1, ("C", "D"): 1}
+    assert [(r.activity, r.ts) for r in spark.read.parquet(f"{out}-late").collect()] == [("B", 2)]

@@ -80,8 +80,8 @@ _PARTS = {
     "root ratio": r"^(-?)\\frac\{(\d*\.?\d*)\\sqrt\{(\d+(?:\.\d+)?)\}\}\{(\d+(?:\.\d+)?)\}$",
     "sum": rf"^({_SIGNED})([+-]\d+(?:\.\d+)?)$",
     "product": rf"^({_SIGNED})\*({_SIGNED})$",
-    "power": r"^(\d+(?:\.\d+)?)\^\{?(-?\d{1,3})\}?$",
-    "scaled power": rf"^({_SIGNED})\*(\d+(?:\.\d+)?)\^\{{?(-?\d{{1,3}})\}}?$",
+    "power": r"^(\d+(?:\.\d+)?)\^\{?(-?\d+)\}?$",
+    "scaled power": rf"^({_SIGNED})\*(\d+(?:\.\d+)?)\^\{{?(-?\d+)\}}?$",
     "pi ratio": r"^(-?)\\frac\{(\d*\.?\d*)\*?\\pi\}\{(\d+(?:\.\d+)?)\}$",
 }
 
@@ -112,6 +112,9 @@ def closed_value(s: Column) -> Column:
     def over(a: Column, b: Column) -> Column:
         return a / F.nullif(b, F.lit(0.0))
 
+    def finite(v: Column) -> Column:
+        return F.when(F.abs(v) < float("inf"), v)
+
     pi = F.lit(3.141592653589793)
     root = F.coalesce(F.nullif(group("root", 2), F.lit("")), group("root", 3))
     return (
@@ -127,9 +130,9 @@ def closed_value(s: Column) -> Column:
               * over(F.sqrt(number(group("root ratio", 3))), number(group("root ratio", 4))))
         .when(s.rlike(_PARTS["sum"]), number(group("sum", 1)) + number(group("sum", 2)))
         .when(s.rlike(_PARTS["product"]), number(group("product", 1)) * number(group("product", 2)))
-        .when(s.rlike(_PARTS["power"]), F.pow(number(group("power", 1)), number(group("power", 2))))
-        .when(s.rlike(_PARTS["scaled power"]), number(group("scaled power", 1))
-              * F.pow(number(group("scaled power", 2)), number(group("scaled power", 3))))
+        .when(s.rlike(_PARTS["power"]), finite(F.pow(number(group("power", 1)), number(group("power", 2)))))
+        .when(s.rlike(_PARTS["scaled power"]), finite(number(group("scaled power", 1))
+              * F.pow(number(group("scaled power", 2)), number(group("scaled power", 3)))))
         .when(s.rlike(_PARTS["pi ratio"]), sign(group("pi ratio", 1)) * factor(group("pi ratio", 2))
               * over(pi, number(group("pi ratio", 3))))
     )
@@ -269,6 +272,13 @@ def _end_equal(a: Column, b: Column) -> Column:
         is_close(closed_form(plain_a), closed_form(plain_b), 0.0, TOLERANCES["olympiad"].abs), F.lit(False)))
 
 
+def interval_brackets(s: Column) -> Column:
+    """``Interval(a,b)`` and its open forms in bracket notation; other texts stay."""
+    for name, left, right in (("Interval", "[", "]"), (r"Interval\.Ropen", "[", ")"), (r"Interval\.Lopen", "(", "]"), (r"Interval\.open", "(", ")")):
+        s = F.regexp_replace(s, rf"(?s)^{name}\((.*)\)$", f"{left}$1{right}")
+    return s
+
+
 def interval_equal(a: Column, b: Column) -> Column:
     r"""Unions part by part: the same brackets and equal ends."""
     def part_equal(x: Column, y: Column) -> Column:

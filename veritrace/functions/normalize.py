@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import rules
 from veritrace.functions.text import (
-    clean_edges, has, last, let, quote, rstrip, strip, truth_word,
+    clean_edges, closing_length, has, last, let, quote, rstrip, strip, truth_word,
 )
 
 Step = tuple[str, str, str] | Callable[[Column], Column]
@@ -243,18 +243,42 @@ GRADE: list[Step] = [
 
 # ---------------------------------------------------------------- profile "multilingual strip"
 
-_UNITS = sorted({u + s for u in rules.MULTILINGUAL_UNITS for s in ("", "s")}, key=lambda u: (-len(u), u))
-# One alternation, longest unit first, stands for the long list of single removals; it is applied twice.
-_UNIT_PATTERN = rf"(?U)(^|\W)(?:{'|'.join(u.replace('.', r'\.') for u in _UNITS)})($|\W)"
+# Units are removed one by one in the published order, plurals last, each as a pattern in which a dot is any character.
+_UNITS = [u + s for s in ("", "s") for u in rules.MULTILINGUAL_UNITS]
+_ANY_UNIT = rf"(?U)(^|\W)(?:{'|'.join(_UNITS)})($|\W)"
 
 
-def _drop_unit(s: Column) -> Column:
-    return let(F.regexp_replace(s, _UNIT_PATTERN, "$1$2"), lambda r: F.when(r != "", r).otherwise(s))
+def _drop_units(s: Column) -> Column:
+    """One pass over the units; a removal that would empty the text is left out. Texts without a unit skip the pass."""
+    units = F.array(*[F.struct(
+        F.lit(u.partition(".")[0]).alias("start"), F.lit(rf"(?U)(^|\W){u}($|\W)").alias("pattern")) for u in _UNITS])
+
+    def drop_one(text: Column, unit: Column) -> Column:
+        removed = let(F.regexp_replace(text, unit["pattern"], F.lit("$1$2")), lambda r: F.when(r != "", r).otherwise(text))
+        return F.when(has(text, unit["start"]), removed).otherwise(text)
+
+    return F.when(s.rlike(_ANY_UNIT), F.aggregate(units, s, drop_one)).otherwise(s)
+
+
+_NUMBER_WORD = f"(?:{'|'.join([*rules.NUMBER_WORDS, *rules.NUMBER_SCALES])})"
 
 
 def word_number(s: Column) -> Column:
+    """A text of number words alone, blanks, hyphens and "and" between them, becomes its value; others stay."""
     words = F.create_map(*[F.lit(x) for kv in rules.NUMBER_WORDS.items() for x in kv])
-    return F.coalesce(F.try_element_at(words, s).cast("string"), s)
+    scales = F.create_map(*[F.lit(x) for kv in rules.NUMBER_SCALES.items() for x in kv])
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("part"))
+
+    def step(acc: Column, word: Column) -> Column:
+        scale, value = F.try_element_at(scales, word), F.try_element_at(words, word)
+        scaled = F.greatest(acc["part"], F.lit(1).cast("long")) * scale
+        return F.struct(
+            (acc["total"] + F.when(scale > 100, scaled).otherwise(F.lit(0))).cast("long").alias("total"),
+            F.when(scale > 100, F.lit(0)).when(scale == 100, scaled).otherwise(acc["part"] + F.coalesce(value, F.lit(0)))
+            .cast("long").alias("part"))
+
+    value = F.aggregate(F.split(F.lower(s), "[ -]+", -1), start, step, lambda acc: acc["total"] + acc["part"])
+    return F.when(s.rlike(rf"(?i)^{_NUMBER_WORD}(?:[ -]+(?:and )?{_NUMBER_WORD})*$"), value.cast("string")).otherwise(s)
 
 
 def multilingual(skip_unit: bool = False) -> list[Step]:
@@ -265,7 +289,7 @@ def multilingual(skip_unit: bool = False) -> list[Step]:
         lit(r"\neq", r"\ne"), lit(r"\leq", r"\le"), lit(r"\geq", r"\ge"),
         lit(r"\left"), lit(r"\right"), lit(r"\{", "{"), lit(r"\}", "}"),
         unless_empty(r"\\text\{.*?\}$"),
-        *([] if skip_unit else [_drop_unit, _drop_unit]),
+        *([] if skip_unit else [_drop_units, _drop_units]),
         lit(r"^{\circ}"), lit(r"^\circ"), lit(r"\$"), lit("$"), lit(r"\("), lit(r"\)"),
         word_number, sub(r"\\text\{(.*?)\}", "$1"),
         *[lit(p) for p in ("x=", "y=", "z=", r"x\in", r"y\in", r"z\in", r"x\to", r"y\to", r"z\to")],
@@ -324,16 +348,35 @@ def bare(s: Column) -> Column:
     return F.when(s.rlike(r"^[\\(\[{]"), peeled).otherwise(s)
 
 
-def _command(name: str) -> Step:
-    r"""Drop the first ``\name``; the braces of its argument, or of the group it opens, go with it.
+def _drop_command(s: Column, name: Column) -> Column:
+    r"""Drop the first ``\name``; the braces of its argument, or of the group it opens, go with it."""
+    def behind(text: Column, n: Column) -> Column:
+        return F.substring(text, n + 1, F.length(text))
+
+    def unwrap(head: Column, tail: Column) -> Column:
+        argument = let(F.substring(tail, F.lit(2), F.length(tail)), lambda t: let(closing_length(t), lambda n: F.when(
+            n > 0, F.concat(F.left(t, n - 1), behind(t, n))).otherwise(tail)))
+        end = F.instr(tail, "}")
+        group = F.concat(F.left(head, F.length(head) - 1), F.left(tail, end - 1), behind(tail, end))
+        return (
+            F.when(tail.startswith("{"), F.concat(head, argument))
+            .when(head.endswith("{") & (end > 0), group)
+            .otherwise(F.concat(head, tail))
+        )
+
+    def cut(text: Column) -> Column:
+        at = F.instr(text, name)
+        parts = let(strip(F.left(text, at - 1)), lambda head: let(
+            strip(behind(text, at + F.length(name) - 1)), lambda tail: unwrap(head, tail)))
+        return F.when(at > 0, parts).otherwise(text)
+
+    return let(s, cut)
+
 
-    Arguments with nested braces are handled three levels deep, which covers what answers contain.
-    """
-    inner = r"[^{}]*"
-    for _ in range(2):
-        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
-    cmd = quote(name)
-    return sub(rf"(?s)^(.*?){cmd}(?:\{{({inner})\}}|(?<=\{{{cmd})([^}}]*)\}})?", "$1$2$3")
+def _drop_commands(s: Column) -> Column:
+    """Texts without any of the commands are not examined."""
+    names = F.array(*[F.lit(c) for c in rules.SYMBOLIC_COMMANDS])
+    return F.when(s.rlike("|".join(quote(c) for c in rules.SYMBOLIC_COMMANDS)), F.aggregate(names, s, _drop_command)).otherwise(s)
 
 
 def _is_set(s: Column) -> Column:
@@ -404,7 +447,7 @@ SYMBOLIC: list[Step] = [
     *[lit(t) for t in rules.SYMBOLIC_REMOVE],
     *[lit(a, b) for a, b in rules.SYMBOLIC_REPLACE],
     infinity, lit(" "),
-    only_if("|".join(quote(c) for c in rules.SYMBOLIC_COMMANDS), [_command(c) for c in rules.SYMBOLIC_COMMANDS]),
+    _drop_commands,
     only_if(r"\\(begin|end)", [
         lit(rf"\{edge}{{{env}}}") for env in rules.SYMBOLIC_ENVIRONMENTS for edge in ("begin", "end")
     ]),

@@ -32,7 +32,7 @@ def judge_string(df: DataFrame, pred: str = "pred", gold: str = "gold") -> DataF
     Every stage is a column of its own and the dear ones run only for pairs the cheap ones left open.
     """
     df = df.withColumns({"_p": N.strip_currency(F.col(pred)), "_g": N.strip_currency(F.col(gold))})
-    df = N.run(N.run(df, "_p", "_p", N.STRING), "_g", "_g", N.STRING)
+    df = N.run(N.run(df, "_p", "_p", [*N.STRING, C.interval_brackets]), "_g", "_g", N.STRING)
     p, g, pn, gn = (F.col(c) for c in ("_p", "_g", "_pn", "_gn"))
     df = df.withColumns({"_pn": C.parse_number(p, percent=False), "_gn": C.parse_number(g, percent=False)})
     same = F.lower(X.strip(p)) == F.lower(X.strip(g))
@@ -43,6 +43,7 @@ def judge_string(df: DataFrame, pred: str = "pred", gold: str = "gold") -> DataF
     slow = (
         F.when(C.numeric_equal(F.col("_pv"), F.col("_gv"), "string"), True)
         .when(_bare(p) == _bare(g), True)
+        .when(_one_sided(p, g) & (_bare(_unbracketed(p)) == _bare(_unbracketed(g))), True)
         .when(_comparable_tuples(p, g), _tuple_equal(p, g))
         .otherwise(False)
     )
@@ -54,6 +55,15 @@ def _bare(s: Column) -> Column:
     return F.regexp_replace(s, r"[{}()]", "")
 
 
+def _one_sided(p: Column, g: Column) -> Column:
+    """The prediction is in brackets of a kind that the gold answer does not contradict."""
+    return (p.rlike(r"(?s)^\[.*\]$") & ~g.startswith("(")) | (p.rlike(r"(?s)^\(.*\)$") & ~g.startswith("["))
+
+
+def _unbracketed(s: Column) -> Column:
+    return F.regexp_replace(s, r"^[\[\]()]+|[\[\]()]+$", "")
+
+
 def _comparable_tuples(p: Column, g: Column) -> Column:
     """Both are lists, and when both are bracketed the brackets agree."""
     brackets = (F.left(p, F.lit(1)) == F.left(g, F.lit(1))) & (F.right(p, F.lit(1)) == F.right(g, F.lit(1)))

@@ -69,33 +69,53 @@ def activity_counts(stream: DataFrame, ts: str, delay: str, length: str, slide:
 
 
 def incremental_dfg(
-    path: str, state: str, order: list[str], max_rows: int = MAX_ROWS_PER_TASK
+    path: str, state: str, order: list[str], max_rows: int = MAX_ROWS_PER_TASK, late: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Batch handler that extends a directly-follows graph.
 
     A batch is ordered per case with the same chunked operator the batch job uses, so a hot case is never one
     task. The first event of a case in the batch follows the last activity kept for that case from earlier
-    batches. Edge counts and state are written per batch id, so a repeated batch replaces its own output.
+    batches. The state keeps the order columns of that last event too: an event that does not lie behind it comes too
+    late to be placed, and goes to the table ``late`` (``<path>-late`` if not given) instead of the graph. Edge counts,
+    late events and state are written per batch id, so a repeated batch replaces its own output.
     """
+    late = late or f"{path}-late"
+    last = [f"last_{c}" for c in order]
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{state}/v={batch_id - 1}"
-        schema = "case_id string, last_activity string"
-        known = spark.read.schema(schema).parquet(before) if batch_id and path_exists(spark, before) else (
-            spark.createDataFrame([], schema))
-        batch = batch.persist()
-        ordered = order_within(batch.select("case_id", "activity", *order), ["case_id"], order, ["activity"], max_rows=max_rows)
+        types = {f.name: f.dataType for f in batch.schema.fields}
+        schema = T.StructType([T.StructField("case_id", types["case_id"]), T.StructField("last_activity", T.StringType()), *[
+            T.StructField(name, types[c]) for name, c in zip(last, order, strict=True)]])
+        batch = batch.select("case_id", "activity", *order).persist()
+        fresh = batch
+        if batch_id and path_exists(spark, before):
+            known = spark.read.schema(schema).parquet(before)
+            ends = known.select(F.col("case_id").alias("_case"), *last)
+            joined = batch.join(ends, F.col("case_id").eqNullSafe(F.col("_case")), "left")
+            behind = F.coalesce(F.struct(*order) > F.struct(*[F.col(n).alias(c) for n, c in zip(last, order, strict=True)]), F.lit(True))
+            placed = joined.withColumn("_placed", F.col("_case").isNull() | behind).select(*batch.columns, "_placed").persist()
+            fresh = placed.where("_placed").drop("_placed")
+            placed.where("not _placed").drop("_placed").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        else:
+            known, placed = spark.createDataFrame([], schema), None
+        ordered = order_within(fresh, ["case_id"], order, ["activity"], max_rows=max_rows)
         inner = ordered.where("next_activity is not null").select(
             F.col("activity").alias("src"), F.col("next_activity").alias("dst"))
-        ends = batch.groupBy("case_id").agg(
+        ends = fresh.groupBy("case_id").agg(
             F.min_by("activity", F.struct(*order)).alias("first_activity"),
             F.max_by("activity", F.struct(*order)).alias("last_activity"),
+            F.max(F.struct(*order)).alias("_end"),
         )
-        entries = ends.join(known.withColumnRenamed("last_activity", "src"), "case_id", "left").select(
+        entries = ends.join(known.select("case_id", F.col("last_activity").alias("src")), "case_id", "left").select(
             F.coalesce("src", F.lit(START)).alias("src"), F.col("first_activity").alias("dst"))
         counts = inner.unionByName(entries).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
         counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        kept = known.join(ends, "case_id", "left_anti").unionByName(ends.select("case_id", "last_activity"))
+        newer = ends.select("case_id", "last_activity", *[F.col(f"_end.{c}").alias(n) for n, c in zip(last, order, strict=True)])
+        kept = known.join(ends, "case_id", "left_anti").unionByName(newer)
         kept.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        if placed is not None:
+            placed.unpersist()
         batch.unpersist()
     return each
