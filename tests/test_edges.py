@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veritrace.functions import compare, normalize
 from veritrace.operators import eventlog, grading, metrics
 from veritrace.plans.fixtures import two_digits
+from veritrace.sources import embedded_csv, files
 from veritrace.streaming import jobs
 
 
@@ -85,3 +86,24 @@ def test_rows_behind_the_state_are_late(spark, tmp_path):
     edges = {(r.src, r.dst): r.cnt for r in spark.read.parquet(out).groupBy("src", "dst").agg(F.sum("cnt").alias("cnt")).collect()}
     assert edges == {("▶", "A"): 2, ("A", "C"): 1, ("C", "D"): 1}
     assert [(r.activity, r.ts) for r in spark.read.parquet(f"{out}-late").collect()] == [("B", 2)]
+
+
+def test_whole_numbers_beyond_38_digits_stay_numbers(spark):
+    big = "1" + "0" * 45
+    pairs = spark.createDataFrame([(big, "1e45", True), (big, big, True), (big, big + "0", False), ("1e999", "5", False)], "pred string, gold string, want boolean")
+    assert [(r.pred, r.gold) for r in grading.judge_grade(pairs).collect() if r.correct != r.want] == []
+    assert {r.c for r in one_column(spark, [big, "1e45"]).select(normalize.whole(F.col("t")).alias("c")).collect()} == {big}
+
+
+def test_a_key_without_a_header_is_rejected_once(spark):
+    texts = spark.createDataFrame([(1, "no log here"), (1, "nor here"), (2, "nothing")], "k int, t string")
+    assert sorted((r.k, r.line_no) for r in embedded_csv.rejects(texts, "k", "t").collect()) == [(1, -1), (2, -1)]
+
+
+def test_compaction_sizes_its_files(spark, tmp_path):
+    small, out = str(tmp_path / "small"), str(tmp_path / "out")
+    df = spark.range(50_000).repartition(8)
+    df.write.parquet(small)
+    files.compact(spark, small, df.schema, out, file_bytes=100_000)
+    assert 1 < len(list((tmp_path / "out").glob("*.parquet"))) <= 8
+    assert spark.read.parquet(out).count() == 50_000

@@ -67,10 +67,15 @@ def to_number(text: Column) -> Column:
 GROUP_COMMA = r"(?<=\d),(?=\d{3}(?!\d))"
 
 
+def _digits(value: Column) -> Column:
+    """All digits of a whole double, however many there are."""
+    return F.coalesce(value.try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", value))
+
+
 def integer_text(s: Column) -> Column:
     """Whole numbers, with or without group commas, become plain integers."""
     value = to_number(F.regexp_replace(s, GROUP_COMMA, ""))
-    return F.when(F.abs(value - F.rint(value)) <= 1e-7, value.try_cast("decimal(38,0)").cast("string")).otherwise(s)
+    return F.when(F.abs(value - F.rint(value)) <= 1e-7, _digits(value)).otherwise(s)
 
 
 def whole(s: Column) -> Column:
@@ -227,7 +232,7 @@ def _plain_if_latex(s: Column) -> Column:
 
 def _round_number(s: Column) -> Column:
     return let(to_number(s), lambda v: F.when(
-        F.abs(v - F.rint(v)) <= 1e-7, v.try_cast("decimal(38,0)").cast("string")).otherwise(s))
+        F.abs(v - F.rint(v)) <= 1e-7, _digits(v)).otherwise(s))
 
 
 GRADE: list[Step] = [

@@ -397,6 +397,15 @@ def probe_equal(spark, sf):
     return pair_forms(spark, sf, PROBES).select("id", C.probe_equal(F.col("pred"), F.col("gold")).alias("equal"))
 
 
+@query("undecided_counts", f"""select case when equal is null then 'undecided' when equal then 'equal' else 'different' end as verdict,
+count(*) as n_pairs from ({pair_truth(PROBES)}) group by 1""")
+def undecided_counts(spark, sf):
+    """Pairs that closed forms cannot decide are counted as such, apart from those that differ."""
+    equal = C.probe_equal(F.col("pred"), F.col("gold"))
+    verdict = F.when(equal.isNull(), "undecided").when(equal, "equal").otherwise("different")
+    return pair_forms(spark, sf, PROBES).select(verdict.alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 @query("normalize_datetime", """select event_id, case event_id % 6
   when 0 then strftime(ts, '%Y-%m-%d') when 1 then strftime(ts, '%Y-%m-%d') when 2 then strftime(ts, '%Y-%m-%d %H:%M:%S')
   when 3 then strftime(ts, '%H:%M:00') when 4 then strftime(ts, '%H:%M:00') else null end as canonical from events""")

@@ -93,7 +93,7 @@ def sink_results(spark, sf):
     path, final = new_folder(spark, "results"), new_folder(spark, "results-final")
     results.where("doc_id % 2 = 0").write.mode("append").parquet(path)
     results.where("doc_id % 2 = 1").write.mode("append").parquet(path)
-    files.compact(spark, path, results.schema, final, files=4)
+    files.compact(spark, path, results.schema, final)
     return spark.read.schema(results.schema).parquet(final)
 
 

@@ -40,10 +40,10 @@ def events(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def rejects(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts without a header and records without a step or an activity, with the reason."""
+    """Keys of texts without a header, once each, and records without a step or an activity, with the reason."""
     no_header = texts.where(~F.coalesce(has_header(strip(F.col(text))), F.lit(False))).select(
         key, F.lit(-1).alias("line_no"), F.lit("no header").alias("reason")
-    )
+    ).distinct()
     bad_rows = parse_rows(texts, key, text).where(F.col("step").isNull() | F.col("activity").isNull()).select(
         key, "line_no", F.lit("bad row").alias("reason")
     )

@@ -63,9 +63,11 @@ def append_finished(df: DataFrame, path: str, key: str) -> int:
     return spark.read.schema(df.schema).parquet(path).count() - before
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, target: str, files: int) -> None:
-    """Rewrite many small appended files as ``files`` larger ones, once, at the end of a run."""
-    spark.read.schema(schema).parquet(path).coalesce(files).write.parquet(target)
+def compact(spark: SparkSession, path: str, schema: T.StructType, target: str, file_bytes: int = 256 << 20) -> None:
+    """Rewrite many small appended files as files of about ``file_bytes``, once, at the end of a run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    spark.read.schema(schema).parquet(path).coalesce(max(1, -(-held // file_bytes))).write.parquet(target)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
