@@ -75,6 +75,28 @@ def test_one_of_each_near_group_stays(make_docs, odd_rows):
     assert simhash.keep_one(make_docs([])).count() == 0
 
 
+def test_a_family_of_near_copies_is_dealt_in_pairs_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 64)
+    rng = random.Random(4)
+    base = rng.getrandbits(63)
+    rows = [(i, base ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)), None) for i in range(640)]  # ten blocks full
+    keys = [simhash.F.lit(k).cast("long") for k in range(4)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, wide binary")
+    found = simhash.dealt(nodes, keys)
+    assert found.count() == 640 * 4 * 19
+    together = found.select("key", "node").distinct().groupBy("key").agg(simhash.F.collect_list("node").alias("n")).collect()
+    assert {(a, b) for r in together for a in r.n for b in r.n if a < b} == {(a, b) for a in range(640) for b in range(a + 1, 640)}
+    links = simhash.near_links(nodes, 4).collect()
+    assert len({x for r in links for x in (r.a, r.b)}) == 640
+
+
+def test_many_equal_fingerprints_are_compared_in_small_leaves():
+    values = np.zeros(1000, dtype=np.uint64)
+    ranges = list(simhash.node_pairs(values, 3))
+    assert max((b - a) * (d - c) for a, b, c, d in ranges) <= simhash.LEAF_PAIRS
+    assert sum((b - a) * (b - a - 1) // 2 if a == c else (b - a) * (d - c) for a, b, c, d in ranges) == 1000 * 999 // 2
+
+
 def test_shards_keep_groups_and_are_as_even_as_can_be(make_docs, odd_rows):
     rows = odd_rows + [(100 + i, f"text {i} " * (i % 7 + 1)) for i in range(300)] + [(1000 + i, "copy of a common text") for i in range(900)]
     found = sharding.shard(make_docs(rows), 10).collect()

@@ -15,8 +15,7 @@ from veritrace.llm.registry import query
 from veritrace.session import materialize
 
 SEED = 42
-#: A block with more fingerprints than this is split by the blocks of its remaining bits. Up to here comparing all its
-#: pairs (about a second) costs less than dealing each member nine times.
+#: A block with more members than this is cut into pieces of half as many, and each pair of pieces is compared by itself.
 BLOCK_ROWS = 32768
 #: Node pairs of at most this many fingerprint pairs are compared directly.
 LEAF_PAIRS = 4096
@@ -126,9 +125,15 @@ def node_pairs(values: np.ndarray, budget: int) -> Iterator[tuple[int, int, int,
         a0, a1, b0, b1, bit, differ = stack.pop()
         if a0 == a1 or b0 == b1:
             continue
-        if bit < 0 or (a1 - a0) * (b1 - b0) <= LEAF_PAIRS:
+        if (a1 - a0) * (b1 - b0) <= LEAF_PAIRS:
             yield a0, a1, b0, b1
             continue
+        if bit < 0:  # equal values
+            am, bm = (a0 + a1) // 2, (b0 + b1) // 2
+            stack += [(a0, am, b0, bm, bit, differ), (am, a1, bm, b1, bit, differ), (a0, am, bm, b1, bit, differ)]
+            if (a0, a1) != (b0, b1):
+                stack.append((am, a1, b0, bm, bit, differ))
+            continue
         below = (1 << (bit + 1)) - 1
         middle = [
             lo + int(np.searchsorted(values[lo:hi], np.uint64((int(values[lo]) & ~below) | 1 << bit)))
@@ -167,50 +172,42 @@ def block_links(values: np.ndarray, wide: np.ndarray | None, budget: int, wide_b
     return links
 
 
-def _split(rows: DataFrame, budget: int, bits: int) -> DataFrame:
-    """Each row once for each of ``budget + 1`` blocks of its ``rest`` bits, keyed by block and value.
+def _pieces(p: Column, own: Column) -> Column:
+    """Numbers of the pairs of ``p`` pieces that piece ``own`` is in."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), p - 1), lambda j: j != own)
+    return F.when(p == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: F.least(own, j) * p + F.greatest(own, j)))
+
 
-    Two values that differ in at most ``budget`` bits agree in one block at least.
+def dealt(nodes: DataFrame, keys: list[Column]) -> DataFrame:
+    """``nodes`` once for each of ``keys``, as ``key``; what shares one is compared in one task.
+
+    A key of over ``BLOCK_ROWS`` nodes is cut into pieces by a hash of the node and dealt as pairs of pieces, so that a
+    member is sent once for every other piece and any two members still meet, however alike they are.
     """
-    edges = [round(i * bits / (budget + 1)) for i in range(budget + 2)]
-    blocks = []
-    for lo, hi in zip(edges, edges[1:]):
-        width = hi - lo
-        value = F.shiftrightunsigned("rest", lo).bitwiseAND(F.lit((1 << width) - 1))
-        upper = F.shiftleft(F.shiftrightunsigned("rest", hi), lo) if hi < 64 else F.lit(0).cast("long")
-        rest = upper.bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << lo) - 1)))
-        blocks.append(F.struct(F.xxhash64("key", F.lit(lo), value).alias("key"), rest.alias("rest"), F.lit(bits - width).alias("bits")))
-    return rows.select("node", "fp", "wide", F.explode(F.array(*blocks)).alias("b")).select("node", "fp", "wide", "b.key", "b.rest", "b.bits")
+    rows = nodes.select("*", F.explode(F.array(*keys)).alias("key"))
+    hot = rows.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select(
+        "key", F.ceil(F.col("count") * 2 / BLOCK_ROWS).alias("_p"))
+    hot = materialize(hot, "hot-blocks")
+    if hot.isEmpty():
+        return rows
+    # one row for BLOCK_ROWS dealt nodes at most
+    rows = rows.join(F.broadcast(hot), "key", "left").withColumn("_p", F.coalesce("_p", F.lit(1).cast("long")))
+    own = F.pmod(F.xxhash64("node"), F.col("_p"))
+    rows = rows.withColumn("_pair", F.explode(_pieces(F.col("_p"), own)))
+    return rows.withColumn("key", F.xxhash64("key", "_pair")).drop("_p", "_pair")
 
 
 def near_links(nodes: DataFrame, budget: int, wide_budget: int = 0) -> DataFrame:
     """Links ``a``, ``b`` between nodes (``node``, ``fp``, ``wide``) whose fingerprints differ in at most ``budget`` bits.
 
     With ``wide`` set, the long fingerprints must also differ in at most ``wide_budget`` bits. Nodes are dealt by the
-    blocks of their bits; a block with over ``BLOCK_ROWS`` members is split by the blocks of its remaining bits, as
-    long as that has bits to go by. Within a block only links that join two components are returned, so that a group of
-    copies gives as many links as members, not as pairs; the components are those of all links.
+    ``budget + 1`` blocks of their bits. Within a block only links that join two components are returned, so that a group
+    of copies gives as many links as members, not as pairs; the components are those of all links.
     """
-    first = nodes.select("node", "fp", "wide", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
-    rows = _split(first, budget, 64)  # dealt again from the nodes each time: cheaper than writing each copy of a node
-    done: list[DataFrame] = []
-    while True:
-        hot = rows.groupBy("key", "bits").count().where((F.col("count") > BLOCK_ROWS) & (F.col("bits") > 2 * (budget + 1)))
-        widths = [r[0] for r in hot.select("bits").distinct().collect()]  # a handful of widths
-        if not widths:
-            done.append(rows)
-            break
-        hot = materialize(hot.select("key"), "hot-blocks")
-        done.append(rows.join(hot, "key", "left_anti"))
-        crowded = rows.join(hot, "key", "left_semi")
-        parts = [_split(crowded.where(F.col("bits") == w), budget, w) for w in widths]
-        split = parts[0]
-        for part in parts[1:]:
-            split = split.unionByName(part)
-        rows = split
-    blocks = done[0]
-    for part in done[1:]:
-        blocks = blocks.unionByName(part)
+    edges = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
+    keys = [
+        F.xxhash64(F.lit(lo), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+        for lo, hi in zip(edges, edges[1:])]
 
     def run(batches):
         held = None
@@ -241,8 +238,8 @@ def near_links(nodes: DataFrame, budget: int, wide_budget: int = 0) -> DataFrame
                 b.append(int(node[lo + j]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = blocks.select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key")
-    return map_arrow(dealt, run, "a long, b long").where("a != b").distinct()
+    rows = dealt(nodes.select("node", "fp", "wide"), keys).select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key")
+    return map_arrow(rows, run, "a long, b long").where("a != b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
