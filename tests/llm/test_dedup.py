@@ -75,13 +75,51 @@ def test_one_of_each_near_group_stays(make_docs, odd_rows):
     assert simhash.keep_one(make_docs([])).count() == 0
 
 
+def plain_near(a, b):
+    if a == b or not (a and b):
+        return a == b
+    return len(a & b) / len(a | b) >= 0.8
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_dedup_equals_brute_force_jaccard(make_docs, odd_rows, monkeypatch):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = list(odd_rows)
+    for i in range(12):
+        w = rng.choices(vocabulary, k=300)
+        more = rng.choices(vocabulary, k=300)
+        copies = [w, w[:268], w[:250], w[:244], w[:225], w + more[:34], w + more[:66], w + more[:72], w + more[:100]]
+        for share in (4, 6, 9):
+            swapped = list(w)
+            for at in rng.sample(range(300), share):
+                swapped[at] = f"x{rng.random()}"
+            copies.append(swapped)
+        rows += [(1000 + 100 * i + k, " ".join(c)) for k, c in enumerate(copies)]
+        rows += [(5000 + 100 * i, " ".join(w)), (5001 + 100 * i, " ".join(more))]
+    roots = plain_components([plain_shingles(t) for _, t in rows], plain_near)
+    members = defaultdict(list)
+    for r, (i, _) in zip(roots, rows):
+        members[r].append(i)
+    want = Counter((str(i), str(min(members[r], key=lambda x: (x is not None, x)))) for (i, _), r in zip(rows, roots))
+    for block, piece in ((32768, 512), (16, 4)):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        found = simhash.near_duplicates(make_docs(rows)).collect()
+        assert Counter((str(r._id), str(r.first._id)) for r in found) == want
+
+
 def test_a_family_of_near_copies_is_dealt_in_pairs_of_pieces(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 64)
     rng = random.Random(4)
     base = rng.getrandbits(63)
     rows = [(i, base ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)), None) for i in range(640)]  # ten blocks full
     keys = [simhash.F.lit(k).cast("long") for k in range(4)]
-    nodes = spark.createDataFrame(rows, "node long, fp long, wide binary")
+    nodes = spark.createDataFrame(rows, "node long, fp long, wide array<bigint>")
     found = simhash.dealt(nodes, keys)
     assert found.count() == 640 * 4 * 19
     together = found.select("key", "node").distinct().groupBy("key").agg(simhash.F.collect_list("node").alias("n")).collect()
