@@ -15,7 +15,7 @@ from veritrace.llm.registry import query
 from veritrace.session import materialize
 
 #: Bytes of text that are counted together before anything is sent.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 5 << 20
 #: Counters of a summary that one task merges; the number of hash partitions follows from the mass of the corpus.
 COUNTERS = 1 << 20
 #: Bits of the filter that the second pass reads, at most: 32 MB whatever the data.
@@ -26,6 +26,10 @@ PIECE, TEXT = b"\xff", b"\xfe"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS, bytes(range(97, 123)) + PIECE * len(PIECE_ENDS))
 
 PART_SCHEMA = "part int, kind int, mass long, keys binary, counts binary"
+PHRASES_SCHEMA = "part int, kind int, keys binary, langs array<string>, phrases array<string>, lengths array<int>, counts array<long>"
+PHRASES_TYPES = {
+    "part": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "langs": pa.list_(pa.string()), "phrases": pa.list_(pa.string()),
+    "lengths": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -173,8 +177,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, count, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def survivor_filter(spark: SparkSession, texts: DataFrame, mass: int, min_count: int, longest: int) -> tuple[np.ndarray, int]:
-    """First pass: a bit array over hash prefixes in which every phrase with ``min_count`` occurrences has its bit set."""
+def survivors(spark: SparkSession, texts: DataFrame, mass: int, min_count: int, longest: int) -> tuple[DataFrame, int]:
+    """First pass: per range of hashes the hashes that may have ``min_count`` occurrences, and how many bits number a range."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(8, min(width, 1024), -(-mass // (min_count * COUNTERS)))
     bits = (parts - 1).bit_length()
@@ -220,7 +224,12 @@ def survivor_filter(spark: SparkSession, texts: DataFrame, mass: int, min_count:
             yield from done()
 
     dealt = map_arrow(texts, summarise, PART_SCHEMA).repartitionById(1 << bits, F.col("part"))
-    found = materialize(map_arrow(dealt.sortWithinPartitions("part", "kind"), merge, PART_SCHEMA), "phrase-hashes")
+    return materialize(map_arrow(dealt.sortWithinPartitions("part", "kind"), merge, PART_SCHEMA), "phrase-hashes"), bits
+
+
+def survivor_filter(found: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """A bit array over hash prefixes in which every surviving hash has its bit set; never more than FILTER_BITS bits
+    unless the hash ranges alone are more."""
     n = found.agg(F.sum("mass")).first()[0] or 0
     size = max(bits + 3, 16, min(FILTER_BITS, (16 * n).bit_length()))
 
@@ -254,8 +263,9 @@ def frequent_phrases(
 
     Gives (lang, phrase, length, f) and the words of each language (lang, n), both written. The first pass sums
     64-bit hashes in Misra-Gries summaries, one per range of hashes; the second counts the phrases themselves whose
-    hash, and those of the phrases inside them, survived. The filter between them has a bounded size: were it too small
-    for a corpus, more phrases would be counted in the second pass, and none lost.
+    hash, and those of the phrases inside them, survived. Map tasks drop what a filter of bounded size does not hold, and
+    the task of a range counts only what survived there: were the filter too small for a corpus, more would be shuffled,
+    and nothing lost or held beyond the summaries' size.
 
     A null text counts as empty, a null language as ``und``. Repeated rows count as often as they stand there. An empty
     table gives two empty tables. Other columns are ignored.
@@ -265,21 +275,51 @@ def frequent_phrases(
         F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     words = materialize(word_counts(texts), "language-words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    filled, size = survivor_filter(spark, texts, longest * total, min_count, longest)
+    found, bits = survivors(spark, texts, longest * total, min_count, longest)
+    filled, size = survivor_filter(found, bits)
     shared = spark.sparkContext.broadcast(filled)
 
     def count(batches):
         hit = shared.value
         for flush in flushes(batches):
-            yield from _counts(flush, hit, size, longest)
+            yield from _packed(flush, hit, size, longest, bits)
+
+    counted = map_arrow(texts, count, PHRASES_SCHEMA)
+    known = found.select(
+        "part", F.lit(0).alias("kind"), "keys", *[F.lit(None).cast(kind).alias(name) for name, kind in (
+            ("langs", "array<string>"), ("phrases", "array<string>"), ("lengths", "array<int>"), ("counts", "array<long>"))])
+    dealt = known.unionByName(counted).repartitionById(1 << bits, F.col("part")).sortWithinPartitions("part", "kind")
+
+    def total_up(batches):
+        at, keys, totals = -1, None, {}
+        for batch in slices(batches, 4):
+            for row in batch.to_pylist():
+                if row["part"] != at:
+                    yield from _frequent(totals, min_count)
+                    at, keys, totals = row["part"], np.zeros(0, np.uint64), {}
+                if row["kind"] == 0:  # what survived comes before what was seen
+                    keys = unpack_keys(row["keys"])
+                    continue
+                seen = unpack_keys(row["keys"])
+                place = np.searchsorted(keys, seen)
+                for i in np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == seen).tolist() if len(keys) else ():
+                    phrase = row["langs"][i], row["phrases"][i], row["lengths"][i]
+                    totals[phrase] = totals.get(phrase, 0) + row["counts"][i]
+        yield from _frequent(totals, min_count)
 
-    counted = map_arrow(texts, count, "lang string, phrase string, length int, f long")
-    found = counted.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-    return materialize(found, "phrases"), words
+    return materialize(map_arrow(dealt, total_up, "lang string, phrase string, length int, f long"), "phrases"), words
 
 
-def _counts(flush: Flush, hit: np.ndarray, size: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of a flush that the filter lets through, each once with its number of occurrences."""
+def _frequent(totals: dict[tuple[str, str, int], int], min_count: int) -> Iterator[pa.RecordBatch]:
+    kept = [(*phrase, f) for phrase, f in totals.items() if f >= min_count]
+    for a in range(0, len(kept), 20_000):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*kept[a:a + 20_000], strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)],
+            names=["lang", "phrase", "length", "f"])
+
+
+def _counts(flush: Flush, hit: np.ndarray, size: int, longest: int) -> Iterator[tuple]:
+    """The phrases of a flush that the filter lets through, by length, each once: hashes, languages, bytes, occurrences."""
     width = len(flush.words)
     names: list[bytes] = []
     dense = flush.lang
@@ -294,7 +334,8 @@ def _counts(flush: Flush, hit: np.ndarray, size: int, longest: int) -> Iterator[
         at = np.flatnonzero(kept)
         if not len(at):
             return
-        keys, number, counts = np.unique(dense[at] * width + flush.ids[at + length - 1], return_inverse=True, return_counts=True)
+        keys, first, number, counts = np.unique(
+            dense[at] * width + flush.ids[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
         before, last = np.divmod(keys, width)
         if length == 1:
             names, langs = [flush.words[i] for i in last], before
@@ -302,12 +343,37 @@ def _counts(flush: Flush, hit: np.ndarray, size: int, longest: int) -> Iterator[
             names, langs = [names[a] + b" " + flush.words[b] for a, b in zip(before.tolist(), last.tolist(), strict=True)], langs[before]
         dense = np.zeros(len(kept), np.int64)
         dense[at] = number
-        for a in range(0, len(names), 20_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([flush.langs[i] for i in langs[a:a + 20_000]], pa.string()),
-                 pa.array(names[a:a + 20_000], pa.binary()).cast(pa.string()),
-                 pa.array(np.full(len(names[a:a + 20_000]), length), pa.int32()), pa.array(counts[a:a + 20_000], pa.int64())],
-                names=["lang", "phrase", "length", "f"])
+        yield length, hashes[at[first]], langs, names, counts
+
+
+def _packed(flush: Flush, hit: np.ndarray, size: int, longest: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """One row for each range of hashes, which holds the phrases of a flush in it in the order of their hashes."""
+    found = list(_counts(flush, hit, size, longest))
+    if not found:
+        return
+    keys, langs, counts = (np.concatenate([f[k] for f in found]) for k in (1, 2, 4))
+    names = [name for f in found for name in f[3]]
+    lengths = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+    order = np.argsort(keys, kind="stable")
+    keys, langs, counts, lengths = keys[order], langs[order], counts[order], lengths[order]
+    names = [names[i] for i in order.tolist()]
+    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    rows, held = [], 0
+    for part, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
+        if a < b:
+            rows.append((part, 1, pack_keys(keys[a:b]), [flush.langs[i] for i in langs[a:b].tolist()],
+                         [name.decode() for name in names[a:b]], lengths[a:b], counts[a:b]))
+            held += b - a
+        if held > 50_000:
+            yield _phrase_rows(rows)
+            rows, held = [], 0
+    if rows:
+        yield _phrase_rows(rows)
+
+
+def _phrase_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PHRASES_TYPES.values(), strict=True)], names=list(PHRASES_TYPES))
 
 
 def collocations(
