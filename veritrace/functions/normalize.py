@@ -10,6 +10,7 @@ Fixed values: the literals and patterns listed in the profiles below and the ord
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -254,22 +255,49 @@ _ANY_UNIT = rf"(?U)(^|\W)(?:{'|'.join(_UNITS)})($|\W)"
 
 
 def _drop_units(s: Column) -> Column:
-    """One pass over the units; a removal that would empty the text is left out. Texts without a unit skip the pass."""
+    """One pass over the units; a removal that would empty the text is left out.
+
+    Only units whose first word is a word of the text are tried: what stays beside a removal is bounded by non-word
+    characters, so no removal makes a new word.
+    """
     units = F.array(*[F.struct(
-        F.lit(u.partition(".")[0]).alias("start"), F.lit(rf"(?U)(^|\W){u}($|\W)").alias("pattern")) for u in _UNITS])
+        F.lit(re.search(r"\w+", u)[0]).alias("start"), F.lit(rf"(?U)(^|\W){u}($|\W)").alias("pattern")) for u in _UNITS])
 
     def drop_one(text: Column, unit: Column) -> Column:
-        removed = let(F.regexp_replace(text, unit["pattern"], F.lit("$1$2")), lambda r: F.when(r != "", r).otherwise(text))
-        return F.when(has(text, unit["start"]), removed).otherwise(text)
+        return let(F.regexp_replace(text, unit["pattern"], F.lit("$1$2")), lambda r: F.when(r != "", r).otherwise(text))
+
+    def drop_present(text: Column, words: Column) -> Column:
+        present = F.filter(units, lambda u: F.array_contains(words, u["start"]))
+        return F.aggregate(present, text, drop_one)
+
+    dropped = let(F.split(s, r"(?U)\W+", -1), lambda words: drop_present(s, words))
+    return F.when(s.rlike(_ANY_UNIT), dropped).otherwise(s)
 
-    return F.when(s.rlike(_ANY_UNIT), F.aggregate(units, s, drop_one)).otherwise(s)
 
+def _number_pattern() -> str:
+    """Well-formed number words: hundreds by scale, largest first, then digits after "point"."""
+    def named(low: int, high: int) -> str:
+        return f"(?:{'|'.join(w for w, v in rules.NUMBER_WORDS.items() if low <= v <= high)})"
 
-_NUMBER_WORD = f"(?:{'|'.join([*rules.NUMBER_WORDS, *rules.NUMBER_SCALES])})"
+    gap, below_100 = "[ -]+(?:and )?", rf"(?:{named(20, 90)}(?:[ -]+{named(1, 9)})?|{named(1, 19)})"
+    below_1000 = rf"(?:(?:{named(1, 9)}[ -]+)?hundred(?:{gap}{below_100})?|{below_100})"
+    scales = [w for w, v in sorted(rules.NUMBER_SCALES.items(), key=lambda kv: -kv[1]) if v > 100]
+    parts, tail = [], below_1000
+    for i in range(len(scales)):  # begins with any scale, and goes on with smaller ones
+        rest = "".join(rf"(?:{gap}{below_1000}[ -]+{w})?" for w in scales[i + 1:])
+        parts.append(rf"{below_1000}[ -]+{scales[i]}{rest}(?:{gap}{below_1000})?")
+    whole_number = "|".join([*parts, tail, *rules.NUMBER_SCALES])
+    return rf"(?i)^(?:{whole_number})(?:[ -]+point(?:[ -]+{named(1, 9)})+)?$"
+
+
+_NUMBER_TEXT = _number_pattern()
 
 
 def word_number(s: Column) -> Column:
-    """A text of number words alone, blanks, hyphens and "and" between them, becomes its value; others stay."""
+    """A well-formed number in words, blanks, hyphens and "and" between them, becomes its value; other texts stay.
+
+    Words that form no number ("one two three", "hundred hundred") stay a text. Below a thousand billion, nothing overflows.
+    """
     words = F.create_map(*[F.lit(x) for kv in rules.NUMBER_WORDS.items() for x in kv])
     scales = F.create_map(*[F.lit(x) for kv in rules.NUMBER_SCALES.items() for x in kv])
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("part"))
@@ -282,8 +310,14 @@ def word_number(s: Column) -> Column:
             F.when(scale > 100, F.lit(0)).when(scale == 100, scaled).otherwise(acc["part"] + F.coalesce(value, F.lit(0)))
             .cast("long").alias("part"))
 
-    value = F.aggregate(F.split(F.lower(s), "[ -]+", -1), start, step, lambda acc: acc["total"] + acc["part"])
-    return F.when(s.rlike(rf"(?i)^{_NUMBER_WORD}(?:[ -]+(?:and )?{_NUMBER_WORD})*$"), value.cast("string")).otherwise(s)
+    low = F.lower(s)
+    value = F.aggregate(
+        F.split(F.substring_index(low, "point", 1), "[ -]+", -1), start, step, lambda acc: acc["total"] + acc["part"]).cast("string")
+    digits = F.array_join(F.transform(
+        F.filter(F.split(F.substring_index(low, "point", -1), "[ -]+", -1), lambda w: w != ""),
+        lambda w: F.try_element_at(words, w).cast("string")), "")
+    number = F.when(has(low, "point"), F.concat(value, F.lit("."), digits)).otherwise(value)
+    return F.when(s.rlike(_NUMBER_TEXT), number).otherwise(s)
 
 
 def multilingual(skip_unit: bool = False) -> list[Step]:
@@ -384,14 +418,15 @@ def _drop_commands(s: Column) -> Column:
     return F.when(s.rlike("|".join(quote(c) for c in rules.SYMBOLIC_COMMANDS)), F.aggregate(names, s, _drop_command)).otherwise(s)
 
 
-def _is_set(s: Column) -> Column:
+def is_set(s: Column) -> Column:
+    """Whether a text is written as a set: in braces, or with "or" between its parts."""
     return s.rlike(r"[^a-z]or(x|[^a-z])") | s.rlike(r"(?s)^\{.*\}$") | s.rlike(r"(?s)^\\\{.*\\\}$")
 
 
 def _set_members(s: Column) -> Column:
     """Members of a set without its brackets: distinct, sorted, joined by commas; other texts unchanged."""
     members = F.transform(F.split(F.replace(bare(s), F.lit("or"), F.lit(",")), ",", -1), strip)
-    return F.when(_is_set(s), F.array_join(F.array_sort(F.array_distinct(members)), ",")).otherwise(s)
+    return F.when(is_set(s), F.array_join(F.array_sort(F.array_distinct(members)), ",")).otherwise(s)
 
 
 def _per_member(step: Callable[[Column], Column]) -> Callable[[Column], Column]:

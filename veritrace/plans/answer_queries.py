@@ -161,6 +161,9 @@ MULTI_CASES = [
     (r"(-\infty,\infty)", r"\mathbb{R}"), ("k=@g", "@g"), ("@d/3", r"\frac{@d}{3}"), (".@d", "0.@d"),
     (r"\sqrt@d", r"\sqrt{@d}"), (r"@d \text{ hours}", "@d"), (r"\leq@g", r"\le@g"), (r"\{@d,@g\}", "{@d,@g}"), ("@g.", "@g"),
     (r"@d\cdot 3", r"@d\cdot3"), (r"\$@g", "@g"), ("@d sq m", "@d"), ("zero", "zero"), (r"\emptyset", "{}"),
+    (" ".join(["hundred"] * 10), "hundred" * 10), ("one two three", "onetwothree"), ("two point five", "2.5"),
+    ("one million two hundred thousand and sixty-one", "1200061"), ("nine hundred billion", "900000000000"),
+    ("seven hundred nine hundred", "sevenhundredninehundred"), ("@d p . m", "@d"), ("@d cu cm", "@d"), ("@d degrees", "@d"),
 ]
 
 
@@ -487,10 +490,95 @@ def judge_cascade(spark, sf):
     return decided.groupBy(F.coalesce("judge", F.lit("none")).alias("judge")).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-@query("grade_responses", f"""with {fx.RESPONSES}, {JUDGED} select id, judge, judge is not null as correct from judged""")
+#: Response, gold answer, and the judge that accepts by profile (default, olympiad, multilingual), or who could not decide.
+GRADE_FORMS = [
+    (r"<think>t</think>The total is \boxed{@g}", "@g", ["boxed"] * 3, [None] * 3),
+    ("The answer is: @g", "@g", ["pattern"] * 3, [None] * 3),
+    (r"\boxed{x=@g}", "@g", ["symbolic"] * 3, [None] * 3),
+    (r"It sums up: \boxed{1+2+@d}", "@d+3", ["boxed"] * 3, [None] * 3),
+    (r"\boxed{@2g}", "@g", [None] * 3, [None] * 3),
+    (r"\boxed{the set of all @d-cycles}", "@d", [None] * 3, ["boxed"] * 3),
+    (r"\boxed{4x+6=@2g}", "2x+3=@g", [None, "olympiad", None], ["boxed", None, "boxed"]),
+    (r"\boxed{(C) @g}", "C", [None, None, "multilingual"], [None] * 3),
+    ("no idea", "@g", [None] * 3, [None] * 3),
+    (r"first \boxed{@d} then \boxed{(x+@d)^2}", r"x^2+2*@d*x+@d*@d", ["boxed"] * 3, [None] * 3),
+    (r"\boxed{@d} or \boxed{@7g}", "@7g,@d", [None, "olympiad", None], [None] * 3),
+]
+PROFILE_OF = {"1-URGENT": "olympiad", "2-HIGH": "multilingual"}
+
+
+def _by_profile(column: int) -> str:
+    """SQL for what a form gives under the profile of an order's priority."""
+    def quoted(v):
+        return "null" if v is None else f"'{v}'"
+
+    branches = []
+    for i, form in enumerate(GRADE_FORMS):
+        default, olympiad, multilingual = map(quoted, form[column])
+        branches.append(f"when {i} then case o_orderpriority when '1-URGENT' then {olympiad} when '2-HIGH' then {multilingual} else {default} end")
+    return f"cast(case cast(o_orderkey % {len(GRADE_FORMS)} as int) {' '.join(branches)} end as varchar)"
+
+
+@query("grade_responses", f"""select o_orderkey as id, {_by_profile(2)} as judge, {_by_profile(2)} is not null as correct,
+{_by_profile(3)} as undecided from orders""")
 def grade_responses(spark, sf):
-    rows = fx.responses(spark, sf)
-    decided = grading.cascade(rows, ["response", "gold"], judges())
-    found = decided.select(F.col("response").alias("_response"), F.col("gold").alias("_gold"), "judge", "correct")
-    same = F.col("response").eqNullSafe(F.col("_response")) & F.col("gold").eqNullSafe(F.col("_gold"))
-    return rows.join(found, same).select("id", "judge", "correct")
+    """Each order's priority stands for a data set and names the cascade its response is graded by."""
+    orders = fx.texts(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderpriority")
+    key = F.col("o_orderkey")
+    rows = orders.select(
+        key.alias("id"), fx.fill(fx.choose([f[0] for f in GRADE_FORMS], key)).alias("response"),
+        fx.fill(fx.choose([f[1] for f in GRADE_FORMS], key)).alias("gold"), "o_orderpriority")
+    names = F.create_map(*[F.lit(x) for kv in PROFILE_OF.items() for x in kv])
+    profile = F.coalesce(F.try_element_at(names, F.col("o_orderpriority")), F.lit("default"))
+    return grading.grade(rows, ["id"], profile=profile)
+
+
+def graded_pairs(spark, sf, cases, judge):
+    graded = grading.on_distinct_pairs(pair_forms(spark, sf, cases), ["pred", "gold"], judge)
+    return graded.select("id", F.col("correct").alias("equal"))
+
+
+MULTILINGUAL_PAIRS = [
+    ("(C)", "C", True), ("C", "B", False), (r"@g\%", "@g", True), ("0.@d", r"@d0\%", True), ("1,@d00", "1@d00", True),
+    (r"\left(@d,\frac{1}{2}\right)", "(@d, 0.5)", True), ("(@d,(1,2))", "(@d,(1,2.0))", True), ("(@d,1)", "(1,@d)", False),
+    (r"\{1,@d\}", r"\{@d.0,1\}", True), (r"\{1,1,@d\}", r"\{1,@d,@d\}", False),
+    (r"\begin{bmatrix}1&@d\\2&3\end{bmatrix}", r"\begin{pmatrix}1.0&@d\\2&\frac{6}{2}\end{pmatrix}", True),
+    (r"\begin{pmatrix}1\\@d\end{pmatrix}", "{1,@d}", True), (r"(0,1)\cup(2,@g)", r"(0,1.0)\cup(2,@g)", True),
+    ("2k+3=@g", "-2k-3=-@g", True), ("k=@g", "@g", True), ("2k+3=@g", "k=@g", False), ("x+@d", "@d+x", True), (r"\sqrt{8}", r"2\sqrt{2}", True),
+    ("twelve", "12", True), ("@d miles", "@d", True), ("some words", "@g", False), (r"2\frac{1}{3}", "5", None), ("@g", "@2g", False),
+    ("", "@g", False), (r"(x+@d)^2", r"x^2+2*@d*x+@d*@d", True), (r"\{1.00015,1.00007\}", r"\{1.0001,1.0002\}", True),
+]
+
+
+@query("grade_multilingual", pair_truth(MULTILINGUAL_PAIRS))
+def grade_multilingual(spark, sf):
+    return graded_pairs(spark, sf, MULTILINGUAL_PAIRS, grading.judge_multilingual)
+
+
+SYMBOLIC_PAIRS = [
+    (r"\{1,0.5,@g\}", r"\{@g,\frac{1}{2},1\}", True), (r"\{1,@d\}", r"\{1,1,@d\}", True), (r"\{1,2,@g\}", r"\{1,@g\}", False),
+    ("(@d,1/2)", "(@d,0.5)", True), ("(1,@d)", "[@d,1]", False), ("2024-01-0@d", "2024/01/0@d", True), ("Yes", "True", True), ("Tues", "Wed", False),
+    (r"\begin{pmatrix}1\\@d\end{pmatrix}", "(1,@d)", True), (r"\begin{pmatrix}1&2\\3&@d\end{pmatrix}", r"\begin{bmatrix}1&2\\3&@d.0\end{bmatrix}", True),
+    ("x=@g", "@g", True), ("y+x=@g", "x+y-@g=0", True), (r"\frac{@2g}{2}", "@g", True), ("0.25", r"25\%", True), ("@g", "@7g", False),
+    (r"\sin^2 x+\cos^2 x", "1", True), ("@d cm", "@d", True), (r"(0,1)\cup(2,@g)", r"(0,1)\cup(2,@g.0)", True), ("1.0000000001,@d", "1,@d", True),
+    (r"5!", "120", True), (r"@d\oplus 3", "@g", None), ("", "@g", False),
+]
+
+
+@query("grade_symbolic", pair_truth(SYMBOLIC_PAIRS))
+def grade_symbolic(spark, sf):
+    return graded_pairs(spark, sf, SYMBOLIC_PAIRS, grading.judge_symbolic)
+
+
+OLYMPIAD_PAIRS = [
+    (r"\boxed{x=2}", "2", True), (r"\boxed{x=1/2}", "0.5", True), (r"\boxed{2x+3=7}", "-2x-3=-7", True), (r"\boxed{x=@d}", "y=@d", False),
+    (r"\boxed{@g} and \boxed{@d}", "@d,@g", True), (r"\boxed{1\pm\sqrt{@d}}", r"1-\sqrt{@d},1+\sqrt{@d}", True), (r"\boxed{(0,@d]}", r"(0,@d.0]", True),
+    (r"\boxed{(0,@d]}", "(0,@d)", False), (r"$@g\%$", "@g", None), (r"\boxed{@g.00000001}", "@g", True), (r"\boxed{@g.0001}", "@g", False),
+    (r"\boxed{2\pi}", "6.283185307179586", True), (r"\boxed{y=x+@d}", "2y=2x+2*@d", True), (r"\boxed{\frac{1}{x}+1}", r"\frac{x+1}{x}", True),
+    ("The last line\n$@d$ or $@g$", "@g,@d", True), (r"\boxed{@d,@d}", "@d", False), (r"\boxed{x^2=@d}", "x=@d", False),
+]
+
+
+@query("grade_olympiad", pair_truth(OLYMPIAD_PAIRS))
+def grade_olympiad(spark, sf):
+    return graded_pairs(spark, sf, OLYMPIAD_PAIRS, grading.judge_olympiad)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import rewards as R
 from veritrace.functions import text as X
-from veritrace.operators import grading, language, metrics as M
+from veritrace.operators import grading, language, metrics as M, votes as V
 from veritrace.plans import fixtures as fx
 from veritrace.plans.registry import query
 
@@ -47,51 +47,54 @@ def most_common(spark, sf):
     return M.most_common(fx.table(spark, sf, "events"), ["user_id"], "event_type", "event_id")
 
 
-VOTE_CASES = """answers as (select o_custkey, o_orderkey, case o_orderkey % 4 when 0 then '1/2' when 1 then '0.5' when 2 then '' else cast(o_orderkey % 5 as varchar) end as raw,
-  case o_orderkey % 4 when 0 then '0.5' when 1 then '0.5' when 2 then '' else cast(o_orderkey % 5 as varchar) end as answer from orders)"""
+RAW_ANSWERS = ["1/2", "0.5", "", r"\frac{1}{2}"]
+VOTE_CASES = r"""answers as (select *, case when raw in ('1/2', '0.5', '\frac{1}{2}') then 'half' else raw end as canonical from (
+  select o_custkey, o_orderkey, case o_orderkey % 6 when 0 then '1/2' when 1 then '0.5' when 2 then '' when 3 then '\frac{1}{2}'
+    else cast(o_orderkey % 5 as varchar) end as raw from orders)),
+counted as (select o_custkey, canonical, arg_min(raw, o_orderkey) as answer, count(*) as votes, min(o_orderkey) as p from answers group by all)"""
 
 
-def answers(spark, sf):
-    """One sampled answer per order of a customer: two spellings of a half, an empty answer, or a small number."""
+def raw_answers(spark, sf):
+    """One sampled answer per order of a customer: three spellings of a half, an empty answer, or a small number."""
     k = F.col("o_orderkey")
-    raw = F.when(k % 4 == 0, "1/2").when(k % 4 == 1, "0.5").when(k % 4 == 2, "").otherwise((k % 5).cast("string"))
-    canonical = F.when(F.col("raw") == "1/2", "0.5").otherwise(F.col("raw"))
-    return fx.table(spark, sf, "orders").select("o_custkey", "o_orderkey", raw.alias("raw")).withColumn("answer", canonical)
+    raw = (k % 5).cast("string")
+    for i, text in enumerate(RAW_ANSWERS):
+        raw = F.when(k % 6 == i, text).otherwise(raw)
+    return fx.table(spark, sf, "orders").select("o_custkey", "o_orderkey", raw.alias("raw"))
 
 
-@query("equiv_vote", f"""with {VOTE_CASES}, c as (select o_custkey, answer, count(*) as votes, min(o_orderkey) as p from answers group by all),
+@query("equiv_vote", f"""with {VOTE_CASES},
 w as (select o_custkey, arg_max(answer, (votes, -p)) as top, arg_max(votes, (votes, -p)) as top_votes,
-  arg_max(answer, (votes, -p)) filter (where answer <> '') as alt, arg_max(votes, (votes, -p)) filter (where answer <> '') as alt_votes from c group by o_custkey)
-select o_custkey, case when top = '' and alt is not null then alt else top end as answer,
+  arg_max(answer, (votes, -p)) filter (where answer <> '') as alt, arg_max(votes, (votes, -p)) filter (where answer <> '') as alt_votes
+  from counted group by o_custkey)
+select o_custkey, case when top = '' and alt is not null then alt else top end as raw,
   case when top = '' and alt is not null then alt_votes else top_votes end as votes from w""")
 def equiv_vote(spark, sf):
-    return M.equivalence_vote(answers(spark, sf), ["o_custkey"], "answer", "o_orderkey")
+    return V.class_vote(raw_answers(spark, sf), ["o_custkey"], "raw", "o_orderkey")
 
 
-@query("majority_grade", f"""with {VOTE_CASES}, c as (select o_custkey, answer, count(*) as votes, min(o_orderkey) as p from answers where answer <> '' group by all),
-w as (select o_custkey, arg_max(answer, (votes, -p)) as answer, max(votes) as votes from c group by o_custkey)
-select o_custkey, votes, answer = '0.5' as correct from w""")
+@query("majority_grade", f"""with {VOTE_CASES},
+w as (select o_custkey, arg_max(canonical, (votes, -p)) as canonical, max(votes) as votes from counted where canonical <> '' group by o_custkey)
+select o_custkey, votes, canonical = 'half' as correct from w""")
 def majority_grade(spark, sf):
-    """The most common extracted answer of a customer's samples is graded against one half."""
-    text = answers(spark, sf).withColumn(
-        "response", F.when(F.col("raw") == "", "no box").otherwise(F.concat(F.lit(r"\boxed{"), "answer", F.lit("}"))))
-    voted = M.most_common(
-        text.withColumn("pred", X.last_boxed(F.col("response"))).where("pred is not null"),
-        ["o_custkey"], "pred", "o_orderkey",
-    ).withColumn("gold", F.lit("1/2"))
+    """The largest class of a customer's extracted answers is graded against one half."""
+    boxed = F.concat(F.lit(r"\boxed{"), "raw", F.lit("}"))
+    text = raw_answers(spark, sf).withColumn("response", F.when(F.col("raw") == "", "no box").otherwise(boxed))
+    extracted = text.withColumn("pred", X.last_boxed(F.col("response"))).where("pred is not null")
+    voted = V.class_vote(extracted, ["o_custkey"], "pred", "o_orderkey").withColumn("gold", F.lit("1/2"))
     graded = grading.on_distinct_pairs(voted, ["pred", "gold"], grading.judge_string)
     return graded.select("o_custkey", "votes", "correct")
 
 
-@query("running_majority", f"""with {VOTE_CASES}, n as (select *, count(*) over (partition by o_custkey, answer order by o_orderkey) as cnt,
-  min(o_orderkey) over (partition by o_custkey, answer) as f from answers),
+@query("running_majority", f"""with {VOTE_CASES},
+n as (select a.o_custkey, a.o_orderkey, c.answer, count(*) over (partition by a.o_custkey, a.canonical order by a.o_orderkey) as cnt, c.p as f
+  from answers a join counted c on c.o_custkey = a.o_custkey and c.canonical = a.canonical),
 pairs as (select a.o_custkey, a.o_orderkey, b.answer, max(b.cnt) as cnt, any_value(b.f) as f from n a join n b
   on a.o_custkey = b.o_custkey and b.o_orderkey <= a.o_orderkey group by 1, 2, 3),
 r as (select o_custkey, o_orderkey, arg_max(answer, (cnt, -f)) as top, arg_max(answer, (cnt, -f)) filter (where answer <> '') as alt from pairs group by 1, 2)
 select o_custkey, o_orderkey, case when top = '' then coalesce(alt, '') else top end as majority from r""")
 def running_majority(spark, sf):
-    voted = M.running_majority(answers(spark, sf), ["o_custkey"], "answer", "o_orderkey")
-    return voted.select("o_custkey", "o_orderkey", "majority")
+    return V.running_class_majority(raw_answers(spark, sf), ["o_custkey"], "raw", "o_orderkey")
 
 
 @query("top2_answers", """with c as (select user_id, event_type, count(*) as votes, min(event_id) as p from events group by all),
