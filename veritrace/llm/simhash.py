@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrace.llm.common import documents, map_arrow, salted_join, slices, spread_keys
@@ -19,11 +19,6 @@ SEED = 42
 BLOCK_ROWS = 32768
 #: Node pairs of at most this many fingerprint pairs are compared directly.
 LEAF_PAIRS = 4096
-#: Length of the long fingerprint in 64-bit words, and the bits of it that deal it: so many bands of so many bits a word.
-WIDE_WORDS, WORD_BANDS, BAND_BITS = 4, 6, 10
-#: Candidate components with more texts than this are compared in pieces of as many, each with ``HUBS`` texts of the
-#: component beside it, before what is still apart meets all others.
-PIECE, HUBS = 512, 8
 
 
 def hashes(parts: list[bytes]) -> np.ndarray:
@@ -42,65 +37,33 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [text[a:b] for a, b in zip(starts[:-size].tolist(), (starts[size:] - 1).tolist(), strict=True)]
 
 
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text."""
-    return np.unique(hashes(shingles((text or b"").lower().split(), size)))
-
-
-def majority(values: np.ndarray) -> np.ndarray:
-    """Bits set in over half of the rows of ``values`` (rows of 64-bit words), as 64-bit words."""
-    data = values.view(np.uint8).reshape(len(values), -1)
-    count = np.zeros(data.shape[1] * 8, dtype=np.int64)
+def majority(values: np.ndarray) -> np.uint64:
+    """The bits set in over half of the values."""
+    data = values.view(np.uint8).reshape(len(values), 8)
+    count = np.zeros(64, dtype=np.int64)
     for at in range(0, len(data), 255):
         count += np.add.reduce(np.unpackbits(data[at:at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(count * 2 > len(data), bitorder="little").view(np.uint64)
-
+    return np.packbits(count * 2 > len(data), bitorder="little").view(np.uint64)[0]
 
-def widen(values: np.ndarray, words: int) -> np.ndarray:
-    """``words`` independent 64-bit values from each hash, by multiplying and folding with odd constants."""
-    out = values[:, None] * (np.arange(1, 2 * words, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
 
+def fingerprints(docs: DataFrame, *, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``_id``, ``sig`` (hash of the text) and ``fp``, the 64-bit SimHash of its word shingles.
 
-def fingerprints(
-    docs: DataFrame, *, size: int, id_col: str = "doc_id", text_col: str = "text", near: bool = False,
-) -> DataFrame:
-    """Per row: ``_id``, ``sig`` (hash of the text), ``fp`` and ``wide``.
-
-    A-Z are lower-cased. ``fp`` is the 64-bit SimHash of the word shingles; a text without a word has 0. ``wide`` is
-    null, or with ``near`` the SimHash of the set of shingles in ``WIDE_WORDS`` words, of which ``fp`` is the first, and
-    ``node`` is a hash of the set, 0 for an empty one. Null texts are empty ones.
+    A-Z are lower-cased. A text without a word has 0. Null texts are empty ones.
     """
     source = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("_text"))
 
     def run(batches):
         for batch in slices(batches):
-            fps, wides, nodes = [], [], []
+            fps = []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
-                wide, node, fp = None, 0, np.uint64(0)
-                if near:
-                    found = shingle_set(text, size)
-                    wide = np.zeros(WIDE_WORDS, dtype=np.uint64)
-                    if len(found):
-                        wide, node = majority(widen(found, WIDE_WORDS)), xxhash.xxh64_intdigest(found.tobytes(), SEED)
-                    fp, wide = wide[0], wide.view(np.int64)
-                elif words := (text or b"").lower().split():
-                    fp = majority(hashes(shingles(words, size))[:, None])[0]
-                fps.append(fp)
-                wides.append(wide)
-                nodes.append(node)
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(wides, pa.list_(pa.int64()))]
-            names = ["_id", "sig", "fp", "wide"]
-            if near:
-                columns.append(pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)))
-                names.append("node")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return map_arrow(source, run, f"_id {dict(source.dtypes)['_id']}, sig long, fp long, wide array<bigint>" + ", node long" * near)
+                words = (text or b"").lower().split()
+                fps.append(majority(hashes(shingles(words, size))) if words else 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["_id", "sig", "fp"])
+
+    return map_arrow(source, run, f"_id {dict(source.dtypes)['_id']}, sig long, fp long")
 
 
 class Clusters:
@@ -159,25 +122,15 @@ def node_pairs(values: np.ndarray, budget: int) -> Iterator[tuple[int, int, int,
                 stack.append((am, a1, b0, bm, bit - 1, differ + 1))
 
 
-def block_links(values: np.ndarray, wide: np.ndarray | None, budget: int, wide_budget: int) -> list[tuple[int, int]]:
+def block_links(values: np.ndarray, budget: int) -> list[tuple[int, int]]:
     """Links that connect the members of a block as all its links would: one less than the members of each component."""
     order = np.argsort(values, kind="stable")
     values = values[order]
-    wide = None if wide is None else wide[order]
     clusters, links = Clusters(len(values)), []
     for a0, a1, b0, b1 in node_pairs(values, budget):
         close = np.bitwise_count(values[a0:a1, None] ^ values[None, b0:b1]) <= budget
         left, right = np.nonzero(np.triu(close, 1) if a0 == b0 else close)
-        if not len(left):
-            continue
-        left, right = left + a0, right + b0
-        if wide is not None:
-            root = np.array([clusters.root(i) for i in range(a0, a1)]), np.array([clusters.root(i) for i in range(b0, b1)])
-            apart = root[0][left - a0] != root[1][right - b0]
-            left, right = left[apart], right[apart]
-            near = np.bitwise_count(wide[left] ^ wide[right]).sum(axis=1, dtype=np.int64) <= wide_budget
-            left, right = left[near], right[near]
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        for i, j in zip((left + a0).tolist(), (right + b0).tolist(), strict=True):
             if clusters.join(i, j):
                 links.append((int(order[i]), int(order[j])))
     return links
@@ -231,130 +184,32 @@ def several(table: pa.Table) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in zip(starts.tolist(), ends.tolist()) if hi - lo > 1]
 
 
-def wide_words(table: pa.Table) -> np.ndarray | None:
-    if table["wide"].null_count == table.num_rows:
-        return None
-    return pa.concat_arrays([c.flatten() for c in table["wide"].chunks]).to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+def near_links(nodes: DataFrame, budget: int) -> DataFrame:
+    """Links ``a``, ``b`` between nodes (``node``, ``fp``) whose fingerprints differ in at most ``budget`` bits.
 
-
-def near_links(nodes: DataFrame, budget: int, wide_budget: int = 0) -> DataFrame:
-    """Links ``a``, ``b`` between nodes (``node``, ``fp``, ``wide``) whose fingerprints differ in at most ``budget`` bits.
-
-    Without ``wide_budget`` nodes are dealt by ``budget + 1`` blocks of the bits of ``fp``: two values that differ in at
-    most ``budget`` bits agree in one. With it they are dealt by the bands of ``wide``, and the long fingerprints must
-    also differ in at most ``wide_budget`` bits. Within a block only links that join two components are returned, so
-    that a group of copies gives as many links as members, not as pairs; the components are those of all links.
+    Nodes are dealt by ``budget + 1`` blocks of the bits of ``fp``: two values that differ in at most ``budget`` bits agree
+    in one. Within a block only links that join two components are returned, so that a group of copies gives as many
+    links as members, not as pairs; the components are those of all links.
     """
-    if wide_budget:
-        cuts = [(F.get("wide", F.lit(w)), w, i * BAND_BITS, (i + 1) * BAND_BITS) for w in range(WIDE_WORDS) for i in range(WORD_BANDS)]
-    else:
-        edges = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
-        cuts = [(F.col("fp"), 0, lo, hi) for lo, hi in zip(edges, edges[1:])]
+    edges = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
     keys = [
-        F.xxhash64(F.lit(w), F.lit(lo), F.shiftrightunsigned(word, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
-        for word, w, lo, hi in cuts]
+        F.xxhash64(F.lit(lo), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+        for lo, hi in zip(edges, edges[1:])]
 
     def run(batches):
         for table in groups(batches):
-            node, fp, wide = table["node"].to_numpy(), table["fp"].to_numpy().view(np.uint64), wide_words(table)
+            node, fp = table["node"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
             a, b = [], []
             for lo, hi in several(table):
-                for i, j in block_links(fp[lo:hi], None if wide is None else wide[lo:hi], budget, wide_budget):
+                for i, j in block_links(fp[lo:hi], budget):
                     a.append(int(node[lo + i]))
                     b.append(int(node[lo + j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = dealt(nodes.select("node", "fp", "wide"), keys).select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key")
+    rows = dealt(nodes.select("node", "fp"), keys).select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
     return map_arrow(rows, run, "a long, b long").where("a != b").distinct()
 
 
-def exact_links(
-    nodes: np.ndarray, subs: np.ndarray, wide: np.ndarray, texts: list[bytes], size: int, similarity: float, wide_budget: int,
-) -> list[tuple[int, int]]:
-    """Pairs of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more, enough to connect all such.
-
-    Nearest long fingerprints come first; nodes with the same ``subs`` are connected already.
-    """
-    nodes, at = np.unique(nodes, return_index=True)
-    subs, wide = subs[at], wide[at]
-    clusters, links, sets = Clusters(len(nodes)), [], {}
-    first = {}
-    for i, sub in enumerate(subs.tolist()):
-        clusters.join(first.setdefault(sub, i), i)
-
-    def shingled(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingle_set(texts[at[i]], size)
-        return sets[i]
-
-    differ = np.zeros((len(nodes), len(nodes)), dtype=np.uint16)
-    for word in wide.T:
-        differ += np.bitwise_count(word[:, None] ^ word[None, :])
-    left, right = np.nonzero(np.triu(differ <= wide_budget, 1))
-    order = np.argsort(differ[left, right], kind="stable")
-    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
-        if clusters.root(i) == clusters.root(j):
-            continue
-        a, b = shingled(i), shingled(j)
-        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-            continue
-        union = len(np.union1d(a, b))
-        if (len(a) + len(b) - union) / union >= similarity:
-            clusters.join(i, j)
-            links.append((int(nodes[i]), int(nodes[j])))
-    return links
-
-
-def verified_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, *, size: int, similarity: float, wide_budget: int) -> DataFrame:
-    """Links between the nodes whose shingle sets are similar, looked for within the components of ``links``.
-
-    ``docs`` has ``_id``, ``sig`` and ``_text``. A component of up to ``PIECE`` nodes is compared in one task. A larger
-    one is dealt in pieces, each with the same few hubs beside it, which connects the copies of one text in linear time;
-    then nodes outside the largest part are compared with all nodes of the component that they are not connected to.
-    """
-    def check(members: DataFrame) -> DataFrame:
-        def run(batches):
-            for table in groups(batches):
-                node, sub, wide = table["node"].to_numpy(), table["sub"].to_numpy(), wide_words(table)
-                a, b = [], []
-                for lo, hi in several(table):
-                    texts = table["_text"].slice(lo, hi - lo).cast(pa.binary()).to_pylist()
-                    for i, j in exact_links(node[lo:hi], sub[lo:hi], wide[lo:hi], texts, size, similarity, wide_budget):
-                        a.append(i)
-                        b.append(j)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_sig") == F.col("sig"))
-        texts = members.join(docs.select(F.col("_id").alias("_doc"), F.col("sig").alias("_text_sig"), "_text"), same)
-        texts = texts.select("node", "sub", "wide", "_text", F.explode("_keys").alias("key"))
-        return map_arrow(texts.repartition("key").sortWithinPartitions("key"), run, "a long, b long")
-
-    roots = components(links)
-    roots = materialize(roots.union(roots.select("root", "root").distinct()), "candidate-roots")
-    sizes = roots.groupBy("root").agg(
-        F.ceil(F.count(F.lit(1)) / PIECE).alias("_p"),
-        *[F.min(F.struct(F.xxhash64("node", F.lit(h)), F.col("node"))).getField("node").alias(f"_h{h}") for h in range(HUBS)])
-    members = nodes.select("node", "wide", F.col("first._id").alias("_id"), F.col("first.sig").alias("sig")).join(roots, "node")
-    members = materialize(members.join(sizes.select("root", "_p", F.array(*[f"_h{h}" for h in range(HUBS)]).alias("_hubs")), "root"), "candidates")
-    key = lambda *parts: F.xxhash64("root", *parts)
-    piece = lambda n: F.pmod(F.xxhash64("node"), n)
-    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    is_hub = (F.col("_p") > 1) & F.array_contains("_hubs", F.col("node"))
-    pieces = F.when(is_hub, every(F.col("_p"))).otherwise(F.array(piece(F.col("_p"))))
-    found = materialize(check(members.withColumn("sub", F.col("node")).withColumn("_keys", F.transform(pieces, lambda j: key(j)))), "exact-links")
-    large = members.where("_p > 1").drop("_hubs")
-    if large.isEmpty():
-        return found
-    parts = large.join(components(found).withColumnRenamed("root", "sub"), "node", "left").withColumn("sub", F.coalesce("sub", "node"))
-    parts = materialize(parts, "parts")
-    counts = parts.groupBy("root", "sub").count().groupBy("root").agg(F.max_by("sub", "count").alias("_main"), (F.sum("count") - F.max("count")).alias("_rest"))
-    parts = parts.join(counts.where("_rest > 0"), "root")
-    q, p = F.ceil(F.col("_rest") * 2 / PIECE), F.col("_p") * 2
-    as_any = F.transform(every(q), lambda i: key(i, piece(p)))
-    as_rest = F.when(F.col("sub") != F.col("_main"), F.transform(every(p), lambda j: key(piece(q), j))).otherwise(F.array().cast("array<bigint>"))
-    return found.union(check(parts.withColumn("_keys", F.array_distinct(F.concat(as_any, as_rest)))))
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node with a link.
 
@@ -377,23 +232,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_components(prints: DataFrame, budget: int, wide_budget: int = 0, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_components(prints: DataFrame, budget: int) -> DataFrame:
     """``prints`` with ``first``, the smallest (``_id``, ``sig``) of each row's component.
 
-    Rows with equal fingerprints, or with the same ``node`` where there is one, are one node. Their number and the number
-    of nodes in a component have no bound: both are pre-aggregated, and hot ones are dealt over tasks when rows get
-    their component back. ``verify`` makes links from the nodes and the links of their fingerprints.
+    Rows with equal fingerprints are one node. Their number and the number of nodes in a component have no bound: both
+    are pre-aggregated, and hot ones are dealt over tasks when rows get their component back.
     """
-    if "node" not in prints.columns:
-        prints = prints.withColumn("node", F.xxhash64("fp"))
-    prints = materialize(prints, "fingerprints")
+    prints = materialize(prints.withColumn("node", F.xxhash64("fp")), "fingerprints")
     nodes = materialize(
-        prints.groupBy("node").agg(
-            F.min(F.struct("_id", "sig")).alias("first"), F.count(F.lit(1)).alias("rows"),
-            F.min("fp").alias("fp"), F.min("wide").alias("wide")),
-        "nodes")
-    links = near_links(nodes, budget, wide_budget)
-    roots = components(verify(nodes, links) if verify else links)
+        prints.groupBy("node").agg(F.min(F.struct("_id", "sig")).alias("first"), F.count(F.lit(1)).alias("rows"), F.min("fp").alias("fp")), "nodes")
+    roots = components(near_links(nodes, budget))
     linked = nodes.select("node", "first").join(roots, "node")
     linked = linked.union(nodes.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select("node", "first", F.col("node").alias("root")))
     linked = materialize(linked, "linked-nodes")
@@ -416,39 +264,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), hex64(F.col("fp")).alias("fingerprint"), F.col("first._id").alias("component_id"))
 
 
-def budgets(similarity: float) -> tuple[int, int]:
-    """Bits in which the short and the long SimHash of two sets of that Jaccard similarity may differ: the mean and three
-    standard deviations."""
-    overlap = 2 * similarity / (1 + similarity)  # cosine of two sets of equal size
-    share = float(np.arccos(overlap) / np.pi)
-    short, long = (int(share * bits + 3 * (share * (1 - share) * bits) ** 0.5) for bits in (64, 64 * WIDE_WORDS))
-    return short, long
-
+def keep_one(docs: DataFrame, *, size: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their near-duplicate group; of repeated rows one stays.
 
-def near_duplicates(
-    docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """Per row: ``_id``, ``sig`` and ``first``, the (id, text hash) of the row that stands for its near-duplicate group.
-
-    Two texts are near when their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
-    Candidates agree in a band of the long SimHash of their sets and differ in no more bits than ``budgets`` allows; each
-    link is then checked with the sets themselves. Groups are connected components; the smallest id of a group stands
-    for it, a null id first.
+    Two rows are linked if the SimHashes of their runs of ``size`` words differ in at most ``budget`` bits; a group is what
+    links connect, and its row with the smallest id stays, a null id first (among equal ids the smaller text hash).
+    Null and empty texts are one group. Columns of any name are kept: a row travels as one struct. Whole rows are
+    shuffled once, after equal ones were put together.
     """
-    budget, wide_budget = budgets(similarity)
-    texts = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("_text"))
-    return near_components(
-        fingerprints(docs, size=size, id_col=id_col, text_col=text_col, near=True), budget, wide_budget,
-        lambda nodes, links: verified_links(texts, nodes, links, size=size, similarity=similarity, wide_budget=wide_budget))
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their near-duplicate group; of repeated rows one stays."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(
-        F.col("first._id").alias("_kept_id"), F.col("first.sig").alias("_kept_sig")).distinct()
-    sig = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.withColumn("_sig", sig).join(
-        kept, F.col("_kept_id").eqNullSafe(F.col(id_col)) & (F.col("_kept_sig") == F.col("_sig")), "left_semi")
-    one = F.row_number().over(Window.partitionBy(id_col, "_sig").orderBy(F.lit(1)))
-    return rows.withColumn("_row", one).where("_row = 1").drop("_row", "_sig")
+    kept = near_components(fingerprints(docs, size=size, id_col=id_col, text_col=text_col), budget)
+    kept = kept.select(F.col("first").alias("_key")).distinct()
+    sig = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    rows = docs.select(
+        F.struct(F.col(f"`{id_col}`").alias("_id"), sig.alias("sig")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    return rows.groupBy("_key").agg(F.first("_whole").alias("_whole")).join(kept, "_key", "left_semi").select("_whole.*")
