@@ -1,6 +1,9 @@
 """Inputs beyond the shapes of the fixtures."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrace.functions import compare, normalize
 from veritrace.operators import eventlog, grading, metrics
@@ -77,15 +80,36 @@ def test_brackets_of_one_side_and_named_intervals(spark):
 
 
 def test_rows_behind_the_state_are_late(spark, tmp_path):
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    each = jobs.incremental_dfg(out, state, ["ts", "event_id"])
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
     schema = "case_id string, activity string, ts long, event_id long"
-    batches = [[("x", "A", 1, 1), ("x", "C", 3, 3)], [("x", "B", 2, 2), ("y", "A", 1, 4)], [("x", "D", 3, 5), ("x", "D", 3, 5)]]
-    for i, rows in enumerate(batches[:2] + [batches[2][:1]]):
-        each(spark.createDataFrame(rows, schema), i)
-    edges = {(r.src, r.dst): r.cnt for r in spark.read.parquet(out).groupBy("src", "dst").agg(F.sum("cnt").alias("cnt")).collect()}
-    assert edges == {("▶", "A"): 2, ("A", "C"): 1, ("C", "D"): 1}
-    assert [(r.activity, r.ts) for r in spark.read.parquet(f"{out}-late").collect()] == [("B", 2)]
+    batches = [[("x", "C", 3, 3), ("x", "A", 1, 1)], [("x", "B", 2, 2), ("y", "A", 1, 4)], [("x", "D", 3, 5), ("x", "D", 3, 5)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        counts = jobs.run_keyed(jobs.keyed_dfg(jobs.read_files(spark, source, T._parse_datatype_string(schema)), ["ts", "event_id"]), out, checkpoint)
+        assert counts.rows_in == 2
+    found = spark.read.schema(jobs.EDGES).parquet(out)
+    edges = {(r.src, r.dst): r.cnt for r in found.where("kind = 'edge'").groupBy("src", "dst").agg(F.sum("cnt").alias("cnt")).collect()}
+    assert edges == {("▶", "A"): 2, ("A", "C"): 1, ("C", "D"): 1, ("D", "D"): 1}
+    assert [(r.case_id, r.activity, r["at"]) for r in found.where("kind = 'late'").collect()] == [("x", "B", ["2", "2"])]
+
+
+def test_a_case_without_events_is_forgotten(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    schema = T._parse_datatype_string("case_id string, activity string, ts timestamp, event_id long")
+    for day, rows in ((1, [("x", "A", 1), ("y", "A", 2)]), (9, [("y", "B", 3)]), (10, [("x", "B", 4), ("y", "C", 5)])):
+        spark.createDataFrame([(c, a, datetime(2024, 1, day, 12, i), i) for c, a, i in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.read_files(spark, source, schema)
+        jobs.run_keyed(jobs.keyed_dfg(stream, ["ts", "event_id"], gap="7 days"), out, checkpoint)
+    edges = spark.read.schema(jobs.EDGES).parquet(out).where("kind = 'edge'").groupBy("src", "dst").agg(F.sum("cnt").alias("n")).collect()
+    assert {(r.src, r.dst): r.n for r in edges} == {("▶", "A"): 2, ("A", "B"): 1, ("▶", "B"): 1, ("B", "C"): 1}
+
+
+def test_length_percentiles_lie_within_the_stated_rank(spark):
+    df = spark.range(40_000).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 40_000).alias("len"), F.when(F.col("id") % 4 > 0, "stop").alias("why"))
+    rows = {r.finish_reason: r for r in metrics.length_stats(df, "g", "len", "why", accuracy=200).collect()}
+    assert {k: r.n for k, r in rows.items()} == {"stop": 30_000, "unknown": 10_000, "all": 40_000}
+    for share, got in ((0.5, rows["all"].p50), (0.9, rows["all"].p90), (0.99, rows["all"].p99)):
+        assert abs(got - share * 40_000) <= 40_000 / 200 + 1
 
 
 def test_whole_numbers_beyond_38_digits_stay_numbers(spark):

@@ -318,3 +318,16 @@ def any_number_match(predicted: Column, gold: Column, tolerance: float = 1e-6) -
         return F.abs(p - g) <= tolerance * F.greatest(F.lit(1.0), F.abs(g))
 
     return let(finite(gold), lambda gs: F.exists(finite(predicted), lambda p: F.exists(gs, lambda g: close(p, g))))
+
+
+def training_messages(question: Column, thinking: Column, answer: Column, system: Column) -> Column:
+    r"""``array(struct(role, content))``: system, user, and the assistant's ``<think>`` part with its boxed answer.
+
+    Without an answer (NULL) the assistant's turn is left out, which is the form a model is asked in.
+    """
+    def message(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    reply = F.concat(F.lit("<think>\n"), strip(F.coalesce(thinking, F.lit(""))), F.lit("\n</think>\n\n\\boxed{"), strip(answer), F.lit("}"))
+    asked = F.array(message("system", system), message("user", question))
+    return F.when(answer.isNull(), asked).otherwise(F.concat(asked, F.array(message("assistant", reply))))

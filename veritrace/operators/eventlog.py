@@ -178,9 +178,15 @@ def text_transitions(
 
 
 def label_by_rules(line: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """First rule whose pattern occurs in the line names its activity; rules are tried in order."""
-    label: Column = None
-    for pattern, activity in rules:
-        hit = line.rlike(pattern)
-        label = F.when(hit, activity) if label is None else label.when(hit, activity)
-    return label.otherwise(default)
+    """The first rule of which a word or phrase occurs in the line names its activity.
+
+    One pass over the line finds all words of all rules, whatever their order; the lowest rule number among them wins. No
+    phrase of a rule may hold a word of another, as found words do not overlap.
+    """
+    ranks = {phrase: i for i, (phrases, _) in reversed(list(enumerate(rules))) for phrase in phrases.split("|")}
+    words = "|".join(sorted(ranks, key=len, reverse=True))
+    found = F.regexp_extract_all(F.lower(line), F.lit(rf"\b({words})\b"), 1)
+    number = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    best = F.array_min(F.transform(found, lambda w: F.element_at(number, w)))
+    labels = F.array(*[F.lit(label) for _, label in rules])
+    return F.coalesce(F.get(labels, best), F.lit(default))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from veritrace.functions.rules import LEVELS
 from veritrace.operators.ordering import MAX_ROWS_PER_TASK, KeySkew, order_within, per_key, running_max_within
+from veritrace.operators.skew import join_back
+from veritrace.session import materialize
 
 # The candidate values of k.
 K_VALUES = [1, 2, 4, 8, 16]
@@ -103,8 +105,12 @@ def running_majority(
 
 
 def with_group(df: DataFrame, stats: DataFrame, group: str) -> DataFrame:
-    """Each row with the statistics of its group; rows without a group are a group of their own."""
-    return df.join(stats.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    """Each row with the statistics of its group; rows without a group are a group of their own.
+
+    ``stats`` has the rows of each group as ``n``: rows of large groups are dealt over tasks.
+    """
+    stats = materialize(stats, "group-statistics")
+    return join_back(df, stats.drop("n"), [group], stats.select(group, "n"))
 
 
 def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-4) -> DataFrame:
@@ -112,14 +118,14 @@ def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-
 
     The group statistics are aggregated first and joined back, so a hot group is never one window partition.
     """
-    stats = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_sd"))
+    stats = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_sd"), F.count(F.lit(1)).alias("n"))
     value = (F.col(reward) - F.col("_mean")) / (F.col("_sd") + epsilon)
     return with_group(df, stats, group).withColumn("advantage", value).drop("_mean", "_sd")
 
 
 def leave_one_out_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
     """Reward minus the mean reward of the other rows of its group; NULL in a group of one."""
-    stats = df.groupBy(group).agg(F.sum(reward).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    stats = df.groupBy(group).agg(F.sum(reward).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("n"))
     others = (F.col("_sum") - F.col(reward)) / F.nullif(F.col("_n") - 1, F.lit(0))
     return with_group(df, stats, group).withColumn("advantage", F.col(reward) - others).drop("_sum", "_n")
 
@@ -150,6 +156,39 @@ def score_card(levels: DataFrame, metrics: dict[str, str]) -> DataFrame:
     )
 
 
+def benchmark_card(levels: DataFrame, metrics: dict[str, str], weighted: str) -> DataFrame:
+    """One row per language: each metric per level, the level-weighted score of ``weighted`` and the means of the others.
+
+    Percentages have one decimal, half to even; scores are made from the rounded levels, as published. Level i weighs 2^i.
+    A language that lacks a level has no score.
+    """
+    card = score_card(levels, metrics)
+    total, out = 2 ** len(LEVELS) - 1, {}
+    for name in metrics:
+        cells = [F.col(f"{level}_{name}") for level in LEVELS]
+        if name == weighted:
+            value = sum((cell * 2 ** i for i, cell in enumerate(cells)), F.lit(0.0)) / total
+            out[f"benchmark_weighted_{name}"] = F.bround(value, 1)
+        else:
+            out[f"benchmark_{name}"] = F.bround(sum(cells, F.lit(0.0)) / len(LEVELS), 1)
+    return card.withColumns(out)
+
+
+def length_stats(df: DataFrame, group: str, length: str, reason: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """Response lengths per group and finish reason, and per group over all reasons (``all``), in one pass.
+
+    Percentiles come from a mergeable sketch: the rank of the value given is at most n / ``accuracy`` from the rank asked
+    for, so they are exact for groups of up to ``accuracy`` rows. A NULL reason is ``unknown``, a NULL length counts in
+    ``n`` alone.
+    """
+    reasons = F.array(F.coalesce(F.col(reason), F.lit("unknown")), F.lit("all"))
+    rows = df.select(F.col(group), F.col(length).alias("_length"), F.explode(reasons).alias("finish_reason"))
+    quantiles = [F.percentile_approx("_length", share, accuracy).alias(f"p{share * 100:g}") for share in shares]
+    return rows.groupBy(group, "finish_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean_length"), F.min("_length").alias("min_length"),
+        F.max("_length").alias("max_length"), *quantiles)
+
+
 def size_audit(levels: DataFrame, expected: int) -> DataFrame:
     return levels.groupBy("language", "level").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "as_expected", F.col("n") == expected

@@ -152,12 +152,17 @@ def weighted_level_score(spark, sf):
     return M.weighted_level_score(M.level_accuracy(fx.levels(spark, sf)))
 
 
-@query("score_card", f"""with {fx.LEVELS} select language,
-{", ".join(f"round_even(avg(case when level = '{v}' then correct::int end) * 100, 1) as {v}_accuracy, round_even(avg(case when level = '{v}' then 1 - toxic end) * 100, 1) as {v}_clean" for v in ("low", "middle", "high", "top"))}
-from levels group by language""")
+CARD = {"accuracy": "correct", "thinking_lang_cons": "sample_id % 5 <> 0", "answer_lang_cons": "toxic = 0"}
+_CELLS = {(v, m): f"round_even(avg(case when level = '{v}' then ({e})::int end) * 100, 1)" for v in ("low", "middle", "high", "top") for m, e in CARD.items()}
+
+
+@query("score_card", f"""with {fx.LEVELS}, card as (select language, {", ".join(f"{cell} as {v}_{m}" for (v, m), cell in _CELLS.items())} from levels group by language)
+select *, round_even((low_accuracy + 2 * middle_accuracy + 4 * high_accuracy + 8 * top_accuracy) / 15, 1) as benchmark_weighted_accuracy,
+{", ".join(f"round_even((low_{m} + middle_{m} + high_{m} + top_{m}) / 4, 1) as benchmark_{m}" for m in ("thinking_lang_cons", "answer_lang_cons"))} from card""")
 def score_card(spark, sf):
-    rows = fx.levels(spark, sf).withColumns({"ok": F.col("correct").cast("int"), "clean": 1 - F.col("toxic")})
-    return M.score_card(rows, {"accuracy": "ok", "clean": "clean"})
+    """The three published metrics by level, and a benchmark's weighted accuracy and mean consistencies."""
+    rows = fx.levels(spark, sf).withColumns({name: F.expr(e).cast("int") for name, e in CARD.items()})
+    return M.benchmark_card(rows, {name: name for name in CARD}, weighted="accuracy")
 
 
 @query("size_audit", f"with {fx.LEVELS} select language, level, count(*) as n, count(*) = 25 as as_expected from levels group by all")
@@ -170,14 +175,13 @@ def categories(spark, sf):
     return fx.table(spark, sf, "documents").select("lang").distinct().orderBy("lang")
 
 
-@query("length_stats", """select lang, count(*) as n, round(avg(n_chars), 6) as mean_chars, min(n_chars) as min_chars, max(n_chars) as max_chars,
-count(*) filter (where n_chars > 4096) as n_cut from documents group by lang""")
+@query("length_stats", """with r as (select lang, n_chars, unnest([case when n_chars > 4096 then 'length' else 'stop' end, 'all']) as finish_reason from documents)
+select lang, finish_reason, count(*) as n, round(avg(n_chars), 6) as mean_length, min(n_chars) as min_length, max(n_chars) as max_length,
+quantile_disc(n_chars, 0.5) as p50, quantile_disc(n_chars, 0.9) as p90, quantile_disc(n_chars, 0.99) as p99 from r group by all""")
 def length_stats(spark, sf):
-    return fx.table(spark, sf, "documents").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"),
-        F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"),
-        F.count_if(F.col("n_chars") > 4096).alias("n_cut"),
-    )
+    docs = fx.table(spark, sf, "documents").withColumn("reason", F.when(F.col("n_chars") > 4096, "length").otherwise("stop"))
+    stats = M.length_stats(docs, "lang", "n_chars", "reason")
+    return stats.withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query("length_cap_ablation", """with g as (select d.lang, d.n_chars, l.quality = 1 as ok from documents d join labels l using (doc_id)),

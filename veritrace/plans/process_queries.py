@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritrace.functions import text as X
+from veritrace.functions.rules import LABEL_RULES
 from veritrace.operators import alignment, conformance as conf, eventlog as ev
 from veritrace.operators.joins import lookup
 from veritrace.plans import fixtures as fx
@@ -232,21 +233,26 @@ def union_logs(spark, sf):
 
 # ---------------------------------------------------------------- labelled text as a process
 
-# Wording rules for the invented prose of the document table, first match wins.
-PROSE_RULES = [
-    (rf"(?i)(^|[^\p{{L}}])({words})($|[^\p{{L}}])", activity)
-    for words, activity in [
-        ("with", "Apply Theorem"),
-        ("for", "Formulate Strategy"),
-        ("and", "Simplify Expression"),
-        ("the", "Recall Definition"),
-        ("und|et|y", "Perform Comparison"),
-        ("der|le|la", "Justify Step"),
-    ]
+#: What the invented prose of a line is introduced with; its length picks one. Some name two rules, the later one first.
+OPENINGS = [
+    "The problem is", "By definition", "A known identity:", "Our plan is", "By the formula", "We simplify", "Let us substitute",
+    "The integral is", "Compare this with", "By the theorem", "Hence, because", "The edge", "It is impossible that", "To interpret it",
+    "Check", "An example:", "Alternatively", "Therefore", "The original", "We are done with", "Nothing here", "In the end, given that",
+    "The answer to the question, since", "A test of the limit",
 ]
-PROSE_CASE = "case " + " ".join(
-    f"when regexp_matches(line, '{p}') then '{a}'" for p, a in PROSE_RULES
-) + " else 'Interpret Result' end"
+
+
+def opened(line: Column) -> Column:
+    return F.concat(F.array(*[F.lit(x) for x in OPENINGS])[F.length(line) % len(OPENINGS)], F.lit(" "), line)
+
+
+def label(line: Column) -> Column:
+    return ev.label_by_rules(opened(line), LABEL_RULES, "Interpret Result")
+
+
+_OPENED = "(case length(line) % " + str(len(OPENINGS)) + " " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(OPENINGS)) + " end || ' ' || line)"
+LABEL_CASE = "case " + " ".join(
+    f"when regexp_matches({_OPENED}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({words})($|[^\\p{{L}}\\p{{N}}_])') then '{activity}'" for words, activity in LABEL_RULES) + " else 'Interpret Result' end"
 LINES = """lines as (
   select {key} as {key}, row_number() over (partition by {key} order by pos) as step_no, line from (
     select {key}, unnest(string_split_regex({text}, '\\r\\n|\\r|\\n')) as line,
@@ -263,23 +269,22 @@ def lines_to_steps(spark, sf):
 
 
 @query("label_steps", "with " + LINES.format(key="doc_id", text="text", table="documents") + f"""
-select doc_id, step_no::int as step_no, {PROSE_CASE} as activity from lines""")
+select doc_id, step_no::int as step_no, {LABEL_CASE} as activity from lines""")
 def label_steps(spark, sf):
     steps = ev.lines_to_steps(fx.table(spark, sf, "documents"), "doc_id", "text")
-    label = ev.label_by_rules(F.col("line"), PROSE_RULES, "Interpret Result")
-    return steps.select("doc_id", "step_no", label.alias("activity"))
+    return steps.select("doc_id", "step_no", label(F.col("line")).alias("activity"))
 
 
 ACTIVITY_LIST = ", ".join(f"'{a}'" for a in ACTIVITIES)
 
 
 @query("vocabulary_violations", "with " + LINES.format(key="doc_id", text="text", table="documents") + f""",
-labelled as (select {PROSE_CASE} as activity from lines
+labelled as (select {LABEL_CASE} as activity from lines
              union all select event_type from events union all select role from conversations)
 select activity, count(*) as n_rows from labelled where activity not in ({ACTIVITY_LIST}) group by activity""")
 def vocabulary_violations(spark, sf):
     steps = ev.lines_to_steps(fx.table(spark, sf, "documents"), "doc_id", "text")
-    labelled = steps.select(ev.label_by_rules(F.col("line"), PROSE_RULES, "Interpret Result").alias("activity"))
+    labelled = steps.select(label(F.col("line")).alias("activity"))
     used = labelled.unionByName(fx.raw_log(spark, sf).select("activity")).unionByName(
         fx.conv_log(spark, sf).select("activity"))
     vocabulary = spark.createDataFrame([(a,) for a in ACTIVITIES], "activity string")
@@ -298,9 +303,6 @@ def process_scores(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>x"))).otherwise(F.col("text")),
     ).select("doc_id", X.thinking(F.col("response")).alias("think"))
 
-    def label(line):
-        return ev.label_by_rules(line, PROSE_RULES, "Interpret Result")
-
     think = ev.text_transitions(docs, "doc_id", "think", label).groupBy("doc_id", "src", "dst").agg(
         F.count(F.lit(1)).alias("n_reason"))
     gold = ev.text_transitions(fx.table(spark, sf, "benchmark"), "item_id", "text", label).groupBy("item_id", "src", "dst").agg(
@@ -319,9 +321,9 @@ def process_scores(spark, sf):
 PROCESS_SQL = "with " + LINES.format(key="doc_id", text="text", table="documents") + ", " + LINES.format(
     key="item_id", text="text", table="benchmark").replace("lines as", "gold_lines as") + f""",
 sides as (
-  select doc_id as case_id, 'R' as side, step_no as step, {PROSE_CASE} as activity from lines
+  select doc_id as case_id, 'R' as side, step_no as step, {LABEL_CASE} as activity from lines
   union all
-  select d.doc_id, 'T', step_no, {PROSE_CASE} from gold_lines g
+  select d.doc_id, 'T', step_no, {LABEL_CASE} from gold_lines g
   join documents d on d.doc_id % (select count(*) from benchmark) = g.item_id),
 {fx.SIDE_EDGES}, {fx.METRICS},
 rewards as (select d.doc_id, coalesce(s.f1, 0) as process_reward from documents d left join scores s on s.case_id = d.doc_id)"""

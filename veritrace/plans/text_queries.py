@@ -24,6 +24,24 @@ def assemble_conversations(spark, sf):
     return rows.select("conv_id", "part", F.size("messages").alias("n_turns"), F.md5(body).alias("body_md5"))
 
 
+SYSTEM = "Think step by step and put the final answer in a box."
+
+
+@query("sft_conversations", f"""with m as (select doc_id, '{SYSTEM}' as system, split_part(text, chr(10), 1) as question,
+  '<think>' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '</think>' || chr(10) || chr(10) || '\\boxed{{' || doc_id || '}}' as reply from documents)
+select doc_id, case when doc_id % 5 = 0 then 2 else 3 end as n_messages, case when doc_id % 5 = 0 then 'system,user' else 'system,user,assistant' end as roles,
+md5(system || chr(10) || question || case when doc_id % 5 = 0 then '' else chr(10) || reply end) as content_md5 from m""")
+def sft_conversations(spark, sf):
+    """A problem table in training form; every fifth problem has no answer and ends with the user's turn."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    answer = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string"))
+    messages = X.training_messages(F.substring_index("text", "\n", 1), F.col("text"), answer, F.lit(SYSTEM))
+    rows = docs.select("doc_id", messages.alias("m"))
+    return rows.select(
+        "doc_id", F.size("m").alias("n_messages"), F.array_join(F.col("m.role"), ",").alias("roles"),
+        F.md5(F.array_join(F.col("m.content"), "\n")).alias("content_md5"))
+
+
 @query("valid_conversations", """select conv_id, count(*) as n_turns from conversations group by conv_id
 having bool_or(role = 'assistant')""")
 def valid_conversations(spark, sf):

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import sys
+import threading
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import timedelta
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from veritrace.operators.ordering import MAX_ROWS_PER_TASK, order_within
 from veritrace.schemas import START
-from veritrace.sources.files import path_exists
+
+# Executors need not have this package installed: its few Python functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,13 +30,57 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_t
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available and append it to a parquet table; safe to call again after a stop."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+@dataclass
+class RunCounts:
+    """What the progress reports of one run add up to."""
+
+    rows_in: int = 0
+    rows_late: int = 0
+
+
+class _Progress(StreamingQueryListener):
+    """Adds up every progress report of the queries it hears of; a query keeps only its last reports itself."""
+
+    def __init__(self):
+        self.counts: dict[str, RunCounts] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def of(self, run: object) -> tuple[RunCounts, threading.Event]:
+        return self.counts.setdefault(str(run), RunCounts()), self.ended.setdefault(str(run), threading.Event())
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        counts, _ = self.of(event.progress.runId)
+        counts.rows_in += event.progress.numInputRows
+        counts.rows_late += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.of(event.runId)[1].set()
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", **options: str) -> RunCounts:
+    """Process everything available and append it to a parquet table; safe to call again after a stop.
+
+    Returns the rows read and the rows dropped behind the watermark, from the progress of all batches of this run.
+    """
+    streams, progress = stream.sparkSession.streams, _Progress()
+    streams.addListener(progress)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", path).options(**options)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        counts, ended = progress.of(query.runId)
+        ended.wait(60)  # reports arrive in order, the end last
+    finally:
+        streams.removeListener(progress)
+    return counts
 
 
 def run_batches(
@@ -68,54 +122,87 @@ def activity_counts(stream: DataFrame, ts: str, delay: str, length: str, slide:
     )
 
 
-def incremental_dfg(
-    path: str, state: str, order: list[str], max_rows: int = MAX_ROWS_PER_TASK, late: str | None = None
-) -> Callable[[DataFrame, int], None]:
-    """Batch handler that extends a directly-follows graph.
+EDGES = "kind string, src string, dst string, cnt long, case_id string, activity string, at array<string>"
+
+
+class _CaseEdges(StatefulProcessor):
+    """Edges of one case. The state is its last placed event: the activity, and the order columns to compare with."""
+
+    def __init__(self, order: list[str], types: T.StructType, gap_ms: int | None):
+        self.order, self.types, self.gap_ms = order, types, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", T.StructType([*self.types.fields, T.StructField("activity", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        before = self.last.get() if self.last.exists() else None
+        late = batch.iloc[:0]
+        if before is not None:
+            ahead = [tuple(row) > tuple(before[:-1]) for row in zip(*[self._plain(batch[c]) for c in self.order], strict=True)]
+            late, batch = batch[[not x for x in ahead]], batch[ahead]
+        if len(batch):
+            names = batch["activity"].tolist()
+            edges = Counter(zip([before[-1] if before is not None else START, *names[:-1]], names, strict=True))
+            self.last.update((*[self._plain(batch[c].iloc[-1:])[0] for c in self.order], names[-1]))
+            if self.gap_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(batch[self.order[0]].iloc[-1].timestamp() * 1000) + self.gap_ms)
+            yield pd.DataFrame([("edge", a, b, n, None, None, None) for (a, b), n in edges.items()], columns=EDGE_NAMES)
+        if len(late):
+            at = zip(*[late[c].astype(str) for c in self.order], strict=True)
+            yield pd.DataFrame(
+                [("late", None, None, 1, key[0], name, list(place)) for name, place in zip(late["activity"], at, strict=True)], columns=EDGE_NAMES)
 
-    A batch is ordered per case with the same chunked operator the batch job uses, so a hot case is never one
-    task. The first event of a case in the batch follows the last activity kept for that case from earlier
-    batches. The state keeps the order columns of that last event too: an event that does not lie behind it comes too
-    late to be placed, and goes to the table ``late`` (``<path>-late`` if not given) instead of the graph. Edge counts,
-    late events and state are written per batch id, so a repeated batch replaces its own output.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame([], columns=EDGE_NAMES)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _plain(values: pd.Series) -> list:
+        return values.dt.to_pydatetime().tolist() if hasattr(values, "dt") and str(values.dtype).startswith("datetime") else values.tolist()
+
+
+EDGE_NAMES = [part.split()[0] for part in EDGES.split(", ")]
+_ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def keyed_dfg(stream: DataFrame, order: list[str], gap: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Edges of a directly-follows graph as events arrive: rows of ``EDGES``, counts of ``edge`` rows add up over batches.
+
+    ``stream`` has case_id, activity and the ``order`` columns. Each case keeps its last placed event as keyed state, of
+    which a batch writes only the cases it touches (as a change log). An event that does not lie behind the last one
+    placed for its case comes too late to be placed and is a ``late`` row. With ``gap`` (of event time, ``order[0]``) a
+    case without new events is forgotten once the watermark passes, and begins anew if it comes back. A case's events of
+    one micro-batch are ordered in one task, so the batch size bounds what a hot case needs.
     """
-    late = late or f"{path}-late"
-    last = [f"last_{c}" for c in order]
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{state}/v={batch_id - 1}"
-        types = {f.name: f.dataType for f in batch.schema.fields}
-        schema = T.StructType([T.StructField("case_id", types["case_id"]), T.StructField("last_activity", T.StringType()), *[
-            T.StructField(name, types[c]) for name, c in zip(last, order, strict=True)]])
-        batch = batch.select("case_id", "activity", *order).persist()
-        fresh = batch
-        if batch_id and path_exists(spark, before):
-            known = spark.read.schema(schema).parquet(before)
-            ends = known.select(F.col("case_id").alias("_case"), *last)
-            joined = batch.join(ends, F.col("case_id").eqNullSafe(F.col("_case")), "left")
-            behind = F.coalesce(F.struct(*order) > F.struct(*[F.col(n).alias(c) for n, c in zip(last, order, strict=True)]), F.lit(True))
-            placed = joined.withColumn("_placed", F.col("_case").isNull() | behind).select(*batch.columns, "_placed").persist()
-            fresh = placed.where("_placed").drop("_placed")
-            placed.where("not _placed").drop("_placed").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-        else:
-            known, placed = spark.createDataFrame([], schema), None
-        ordered = order_within(fresh, ["case_id"], order, ["activity"], max_rows=max_rows)
-        inner = ordered.where("next_activity is not null").select(
-            F.col("activity").alias("src"), F.col("next_activity").alias("dst"))
-        ends = fresh.groupBy("case_id").agg(
-            F.min_by("activity", F.struct(*order)).alias("first_activity"),
-            F.max_by("activity", F.struct(*order)).alias("last_activity"),
-            F.max(F.struct(*order)).alias("_end"),
-        )
-        entries = ends.join(known.select("case_id", F.col("last_activity").alias("src")), "case_id", "left").select(
-            F.coalesce("src", F.lit(START)).alias("src"), F.col("first_activity").alias("dst"))
-        counts = inner.unionByName(entries).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        newer = ends.select("case_id", "last_activity", *[F.col(f"_end.{c}").alias(n) for n, c in zip(last, order, strict=True)])
-        kept = known.join(ends, "case_id", "left_anti").unionByName(newer)
-        kept.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
-        if placed is not None:
-            placed.unpersist()
-        batch.unpersist()
-    return each
+    types = T.StructType([f for f in stream.schema.fields if f.name in order])
+    types = T.StructType([types[c] for c in order])
+    gap_ms = None
+    if gap is not None:
+        stream = stream.withWatermark(order[0], delay)
+        count, unit = gap.split()
+        gap_ms = int(timedelta(**{unit if unit.endswith("s") else f"{unit}s": int(count)}).total_seconds() * 1000)
+    return stream.groupBy("case_id").transformWithStateInPandas(
+        _CaseEdges(order, types, gap_ms), EDGES, "Append", "None" if gap is None else "EventTime")
+
+
+def run_keyed(stream: DataFrame, path: str, checkpoint: str) -> RunCounts:
+    """As :func:`run_to_table`, with the state store that keyed state needs."""
+    conf = stream.sparkSession.conf
+    before = {key: conf.get(key, None) for key in _ROCKSDB}
+    for key, value in _ROCKSDB.items():
+        conf.set(key, value)
+    try:
+        return run_to_table(stream, path, checkpoint)
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
