@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veritrace.functions import answers as A
 from veritrace.functions import formulas as Fm
 from veritrace.functions import normalize as N
-from veritrace.operators import grading, skew, votes
+from veritrace.operators import grading, scoring, skew, votes
 
 
 def near(x, y):
@@ -115,3 +115,16 @@ def test_number_words(spark):
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     bad = df.withColumn("got", N.word_number(F.col("t"))).where(~F.col("got").eqNullSafe(F.coalesce("want", "t"))).collect()
     assert bad == []
+
+
+def test_rewards_by_name(spark):
+    rows = [(1, "<think>the plan\nhence</think>\\boxed{4}", "4", "the plan\nhence"), (2, "<think>the sum</think>about 5 apples", "4 apples", "we check"),
+            (3, None, "4", None), (4, "no tags \\boxed{4}", "4", "")]
+    df = spark.createDataFrame(rows, "id int, response string, gold string, solution string")
+    got = {r.id: r for r in scoring.score(df, {"accuracy": 1, "three_way": 0.5, "similarity": 1, "process": 1, "format": 0}).collect()}
+    assert [(got[i].r_accuracy, got[i].r_three_way) for i in (1, 2, 3, 4)] == [(1, 1), (0, -1), (0, -1), (1, -1)]
+    assert got[1].r_similarity == 1 and round(got[2].r_similarity, 6) == round(2 * 1 / 5, 6) and got[4].r_similarity == 0
+    assert got[1].r_process == 1 and got[2].r_process < 1 and got[3].r_process == 0
+    assert got[1].reward == 3.5
+    with pytest.raises(ValueError):
+        scoring.score(df, {"nothing": 1})

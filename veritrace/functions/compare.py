@@ -273,8 +273,8 @@ def _end_equal(a: Column, b: Column) -> Column:
 
 
 def interval_brackets(s: Column) -> Column:
-    """``Interval(a,b)`` and its open forms in bracket notation; other texts stay."""
-    for name, left, right in (("Interval", "[", "]"), (r"Interval\.Ropen", "[", ")"), (r"Interval\.Lopen", "(", "]"), (r"Interval\.open", "(", ")")):
+    """``Interval(a,b)``, its open forms and ``Point(a,b)`` in bracket notation; other texts stay."""
+    for name, left, right in (("Point", "(", ")"), ("Interval", "[", "]"), (r"Interval\.Ropen", "[", ")"), (r"Interval\.Lopen", "(", "]"), (r"Interval\.open", "(", ")")):
         s = F.regexp_replace(s, rf"(?s)^{name}\((.*)\)$", f"{left}$1{right}")
     return s
 
@@ -294,6 +294,13 @@ def interval_equal(a: Column, b: Column) -> Column:
     return F.when(a == b, True).otherwise(all_pairs_equal(parts(a), parts(b), part_equal))
 
 
+def set_as_matrix(s: Column) -> Column:
+    """``{a,b}`` as a matrix of one column; other texts stay."""
+    body = F.regexp_extract(s, r"(?s)^\s*\{(.*,.*)\}\s*$", 1)
+    return F.when(body != "", F.concat(
+        F.lit(r"\begin{pmatrix}"), F.replace(body, F.lit(","), F.lit("\\\\")), F.lit(r"\end{pmatrix}"))).otherwise(s)
+
+
 def matrix_cells(s: Column) -> Column:
     r"""Rows (``\\``) of cells (``&``) of a pmatrix or bmatrix; NULL for other texts."""
     body = F.regexp_extract(s, r"(?s)^\\begin\{[pb]matrix\}(.*)\\end\{[pb]matrix\}$", 1)

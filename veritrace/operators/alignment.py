@@ -9,7 +9,7 @@ writes the new edges, so no task ever holds a whole long trace and nothing is cu
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritrace.operators.ordering import order_within
 from veritrace.session import materialize, new_folder
 
 # Executors need not have this package installed: its few Python functions travel with the task.
@@ -61,24 +62,39 @@ def fitness(common: Column, n_gold: Column, n_reason: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common / total)
 
 
+def alignment_of_sides(raw: DataFrame, order: list[str], tile: int = TILE) -> DataFrame:
+    """As :func:`alignment_fitness` for rows without step numbers, ordered by ``order``.
+
+    Sizes are counted on the raw rows, and a case that fits one row is sorted only where its traces are collected; step
+    numbers are made for long cases alone.
+    """
+    return _by_size(
+        raw, order, lambda rows: order_within(rows, ["case_id", "side"], order, rank="step", co_locate=["case_id"]), tile)
+
+
 def alignment_fitness(both: DataFrame, tile: int = TILE) -> DataFrame:
     """``both``: case_id, side (R or T), step (dense from 1), activity. One row per case present in both."""
+    return _by_size(both, ["step"], lambda rows: rows, tile)
+
+
+def _by_size(both: DataFrame, order: list[str], numbered: Callable[[DataFrame], DataFrame], tile: int) -> DataFrame:
     sizes = both.groupBy("case_id").agg(
         F.count_if(F.col("side") == "R").alias("n_reason"), F.count_if(F.col("side") == "T").alias("n_gold")
     ).where((F.col("n_reason") > 0) & (F.col("n_gold") > 0))
     longest = sizes.agg(F.max(F.greatest("n_reason", "n_gold")).alias("m")).first()["m"] or 0
 
     if longest <= tile:
-        return _short(both)
+        return _short(both, order)
     long_cases = sizes.where(F.greatest("n_reason", "n_gold") > tile)
-    short = _short(both.join(long_cases.select("case_id"), "case_id", "left_anti"))
-    return short.unionByName(_long(both.join(long_cases.select("case_id"), "case_id", "left_semi"), long_cases, tile))
+    short = _short(both.join(long_cases.select("case_id"), "case_id", "left_anti"), order)
+    long_rows = numbered(both.join(long_cases.select("case_id"), "case_id", "left_semi"))
+    return short.unionByName(_long(long_rows, long_cases, tile))
 
 
-def _short(both: DataFrame) -> DataFrame:
+def _short(both: DataFrame, order: list[str]) -> DataFrame:
     """Cases no longer than a tile on either side: both traces meet in one row and one Arrow batch pass."""
     def side(name: str) -> Column:
-        events = F.collect_list(F.when(F.col("side") == name, F.struct("step", "activity")))
+        events = F.collect_list(F.when(F.col("side") == name, F.struct(*order, "activity")))
         return F.transform(F.sort_array(events), lambda e: e["activity"])
 
     pairs = both.groupBy("case_id").agg(side("T").alias("t"), side("R").alias("r")).where(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veritrace.functions import compare as C
 from veritrace.functions import normalize as N
 from veritrace.functions import text as X
-from veritrace.operators import grading
+from veritrace.operators import grading, scoring
 from veritrace.plans import fixtures as fx
 from veritrace.plans.registry import query
 
@@ -352,13 +352,15 @@ def fraction_rules(spark, sf):
 
 INTERVALS = [
     ("(0,@d]", "(0,@d]", True), ("[0,@d]", "(0,@d]", False), (r"(0,1/2)\cup(1,@d)", r"(0,0.5)\cup(1,@d)", True),
-    ("(0,@d)", "(0,@d.5)", False), (r"(0,1)\cup(1,@d)", "(0,@d)", False), (r"(-\infty,@d)", r"(-\infty, @d.0)", True),
+    ("(0,@d)", "(0,@d.5)", False), (r"(0,1)\cup(1,@d)", "(0,@d)", False), ("[0,@d)", "Interval.Ropen(0, @d)", True), ("(1,@d)", "Point(1, @d)", True),
+    ("Point(@d, @g)", "(@d, @g.0)", True), ("Interval(0, @d)", "Interval.open(0, @d)", False), (r"(-\infty,@d)", r"(-\infty, @d.0)", True),
 ]
 
 
 @query("interval_equal", pair_truth(INTERVALS))
 def interval_equal(spark, sf):
-    return pair_forms(spark, sf, INTERVALS).select("id", C.interval_equal(F.col("pred"), F.col("gold")).alias("equal"))
+    named = {c: C.interval_brackets(F.col(c)) for c in ("pred", "gold")}
+    return pair_forms(spark, sf, INTERVALS).select("id", C.interval_equal(named["pred"], named["gold"]).alias("equal"))
 
 
 MATRICES = [
@@ -366,13 +368,14 @@ MATRICES = [
     (r"\begin{pmatrix}1&@d\end{pmatrix}", r"\begin{pmatrix}1&@g\end{pmatrix}", False),
     (r"\begin{pmatrix}1\\@d\end{pmatrix}", r"\begin{pmatrix}1&@d\end{pmatrix}", False),
     (r"\begin{pmatrix}\frac{1}{2}&x\end{pmatrix}", r"\begin{pmatrix}0.5&x\end{pmatrix}", True),
-    ("@g", r"\begin{pmatrix}@g\end{pmatrix}", None),
+    ("@g", r"\begin{pmatrix}@g\end{pmatrix}", None), (r"\begin{pmatrix}1\\@d\end{pmatrix}", "{1,@d.0}", True),
+    (r"\begin{pmatrix}1\\@d\end{pmatrix}", "{@d,1,2}", False),
 ]
 
 
 @query("matrix_equal", pair_truth(MATRICES))
 def matrix_equal(spark, sf):
-    return pair_forms(spark, sf, MATRICES).select("id", C.matrix_equal(F.col("pred"), F.col("gold")).alias("equal"))
+    return pair_forms(spark, sf, MATRICES).select("id", C.matrix_equal(F.col("pred"), C.set_as_matrix(F.col("gold"))).alias("equal"))
 
 
 EQUATIONS = [
@@ -483,6 +486,20 @@ def judges():
 JUDGED = f"""judged as (select id, gold, priority, form, case when form = 1 then 'pattern' when form <> 3 or {CLOSE_7} then 'boxed' end as judge from responses)"""
 
 
+REWARD_LIST = {"accuracy": 1.0, "similarity": 0.5, "format": 0.25, "three_way": 0.1, "process": 0.2, "single_box": 0.0}
+
+
+@query("reward_list", f"""with {fx.RESPONSES}, r as (select id, cast(case when form = 3 and not ({CLOSE_7}) then 0 else 1 end as double) as r_accuracy,
+  cast(case when form in (0, 4) then 1 else 0 end as double) as r_similarity, cast(case when form = 1 then 0 else 1 end as double) as r_format,
+  cast(case form when 1 then -1 when 3 then case when {CLOSE_7} then 1 else -0.5 end else 1 end as double) as r_three_way,
+  1.0::double as r_process, cast(case when form in (1, 4) then 0 else 1 end as double) as r_single_box from responses)
+select *, round(r_accuracy + 0.5 * r_similarity + 0.25 * r_format + 0.1 * r_three_way + 0.2 * r_process, 6) as reward from r""")
+def reward_list(spark, sf):
+    """All rewards by name; the solution of a response is its own thinking part."""
+    rows = fx.responses(spark, sf).select("id", "response", "gold", X.thinking(F.col("response")).alias("solution"))
+    return scoring.score(rows, REWARD_LIST).withColumn("reward", F.round("reward", 6))
+
+
 @query("judge_cascade", f"""with {fx.RESPONSES}, {JUDGED}, d as (select distinct r.response, r.gold, j.judge from responses r join judged j using (id))
 select coalesce(judge, 'none') as judge, count(*) as n_pairs from d group by 1""")
 def judge_cascade(spark, sf):

@@ -125,7 +125,7 @@ dp as (select case_id, t, r, list_reduce(t, lambda prev, x: list_reduce(range(1,
 select case_id, len(t) as n_gold, len(r) as n_reason, last_row[len(r) + 1] as common,
        round(2.0 * last_row[len(r) + 1] / (len(t) + len(r)), 6) as align_fitness from dp""")
 def alignment_fitness(spark, sf):
-    return alignment.alignment_fitness(fx.stepped_sides(spark, sf)).withColumn("align_fitness", r6("align_fitness"))
+    return alignment.alignment_of_sides(fx.sides(spark, sf), fx.ORDER).withColumn("align_fitness", r6("align_fitness"))
 
 
 @query("dfg_fitness", fx.CONFORMANCE + " select case_id, round(fitness, 6) as fitness from scores")
