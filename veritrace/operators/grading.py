@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,11 +240,14 @@ def grade(
 
     pair = ["by", "pred", "gold"]
     pairs = key_counts(opened, pair, "distinct-pairs")
-    judged = None
-    for name in dict.fromkeys(step.by for steps in profiles.values() for step in steps):
+
+    def run(name: str) -> DataFrame:
         mine = judges[name](pairs.where(F.col("by") == name).select("gold", "pred", F.col("pred").alias("_pred")))
-        mine = materialize(mine.select(F.lit(name).alias("by"), F.col("_pred").alias("pred"), "gold", "correct"), f"judged-{name}")
-        judged = mine if judged is None else judged.unionByName(mine)
+        return materialize(mine.select(F.lit(name).alias("by"), F.col("_pred").alias("pred"), "gold", "correct"), f"judged-{name}")
+
+    wanted_judges = list(dict.fromkeys(step.by for steps in profiles.values() for step in steps))
+    with ThreadPoolExecutor(len(wanted_judges)) as pool:  # they do not need each other: one plans while another runs
+        judged = reduce(DataFrame.unionByName, pool.map(run, wanted_judges))
     told = join_back(opened, judged, pair, pairs).groupBy("_answer").agg(
         F.min_by("judge", F.when(F.col("correct"), F.col("i"))).alias("judge"),
         F.min_by("judge", F.when(F.col("correct").isNull(), F.col("i"))).alias("_open"))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.functions.text import tokens
+from veritrace.operators.skew import join_back, key_counts
+
+# Executors need not have this package installed: its few Python functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 1024) -> DataFrame:
@@ -27,34 +36,33 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 1024) ->
     ).drop("bin")
 
 
-def token_counts(df: DataFrame, keys: list[str], text: str, count: str) -> DataFrame:
-    return (
-        df.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
-        .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias(count))
-    )
+@F.pandas_udf("array<struct<token string, n bigint>>")
+def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([
+        [] if x is None or y is None else [{"token": t, "n": n} for t, n in (Counter(x) & Counter(y)).items()] for x, y in zip(a, b)], dtype=object)
 
 
-def token_overlap(predictions: DataFrame, golds: DataFrame) -> DataFrame:
-    """Multiset token overlap and F1 of each prediction with its gold text.
+def shared_tokens(predictions: DataFrame, golds: DataFrame) -> DataFrame:
+    """Each prediction with the tokens it shares with its gold text: pred_id, gold_id, pred_tokens, gold_tokens, shared.
 
-    ``predictions``: pred_id, gold_id, text; ``golds``: gold_id, text. Gold tokens are joined on
-    (gold_id, token), so a prediction token meets at most one row and a gold text used by many predictions is
-    never copied per prediction.
+    ``predictions``: pred_id, gold_id, text; ``golds``: gold_id, text. A gold text is split once, its tokens go to the
+    predictions that use it (those of a hot gold text are dealt over tasks), and the multisets meet in the row: no token is
+    shuffled by itself. A NULL text, and a gold_id without a gold text, has no tokens.
     """
-    pred = token_counts(predictions, ["pred_id", "gold_id"], "text", "n_pred")
-    gold = token_counts(golds, ["gold_id"], "text", "n_gold")
-    common = pred.join(gold, ["gold_id", "token"], "left").groupBy("pred_id", "gold_id").agg(
-        F.sum("n_pred").alias("pred_tokens"),
-        F.sum(F.when(F.col("n_gold").isNull(), 0).otherwise(F.least("n_pred", "n_gold"))).alias("common"),
-    )
-    sizes = golds.select("gold_id", F.size(tokens(F.col("text"))).cast("bigint").alias("gold_tokens"))
-    joined = predictions.select("pred_id", "gold_id").join(common, ["pred_id", "gold_id"], "left").join(
-        sizes, "gold_id", "left"
-    ).select(
-        "pred_id", "gold_id",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pred_tokens", "gold_tokens", "common")],
-    )
-    return joined.withColumn("f1", token_f1(F.col("pred_tokens"), F.col("gold_tokens"), F.col("common")))
+    split = golds.select("gold_id", tokens(F.coalesce("text", F.lit(""))).alias("_gold"))
+    mine = predictions.select("pred_id", "gold_id", tokens(F.coalesce("text", F.lit(""))).alias("_pred"))
+    both = join_back(mine, split, ["gold_id"], key_counts(predictions, ["gold_id"], "gold-uses"))
+    return both.select(
+        "pred_id", "gold_id", F.size("_pred").cast("bigint").alias("pred_tokens"),
+        F.coalesce(F.size("_gold"), F.lit(0)).cast("bigint").alias("gold_tokens"), _shared("_pred", "_gold").alias("shared"))
+
+
+def token_overlap(predictions: DataFrame, golds: DataFrame) -> DataFrame:
+    """Multiset token overlap and F1 of each prediction with its gold text; inputs as in :func:`shared_tokens`."""
+    both = shared_tokens(predictions, golds)
+    common = F.aggregate("shared", F.lit(0).cast("bigint"), lambda total, x: total + x["n"])
+    found = both.select("pred_id", "gold_id", "pred_tokens", "gold_tokens", common.alias("common"))
+    return found.withColumn("f1", token_f1(F.col("pred_tokens"), F.col("gold_tokens"), F.col("common")))
 
 
 def token_f1(n_pred: Column, n_gold: Column, common: Column) -> Column:

@@ -266,10 +266,8 @@ def token_f1_join(spark, sf):
 @query("multiset_intersect", f"""with {TOKENS_SQL}
 select p.doc_id, dt.tok as token, least(dt.n, bt.n) as n from pairs p join dt using (doc_id) join bt on bt.item_id = p.item_id and bt.tok = dt.tok""")
 def multiset_intersect(spark, sf):
-    docs, bench = graded_texts(spark, sf)
-    pred = joins.token_counts(docs, ["pred_id", "gold_id"], "text", "a")
-    gold = joins.token_counts(bench, ["gold_id"], "text", "b")
-    return pred.join(gold, ["gold_id", "token"]).select(F.col("pred_id").alias("doc_id"), "token", F.least("a", "b").alias("n"))
+    shared = joins.shared_tokens(*graded_texts(spark, sf))
+    return shared.select(F.col("pred_id").alias("doc_id"), F.explode("shared").alias("t")).select("doc_id", "t.token", "t.n")
 
 
 @query("number_match", f"""with {fx.RESPONSES}
