@@ -1,5 +1,6 @@
 """Quality rules and toxicity, archives, chats and the pipeline."""
 
+import gzip
 import math
 import re
 from collections import Counter, defaultdict
@@ -86,6 +87,33 @@ def test_archives_are_read_alike_in_splits_of_any_size(spark):
     assert warc.read_warc(warc.write_warc(frame.limit(0), new_folder(spark, "warc"))).count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    def packed(kind, block, *head):
+        lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"Content-Length: %d" % len(block), *head]
+        return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<html>body</html>" * 1
+    broken = bytearray(packed(b"response", b"z" * 4000 + bytes(range(256)), b"content-type: application/http"))
+    broken[len(broken) // 2] ^= 0xFF
+    parts = [
+        packed(b"warcinfo", b"software: x\r\n"), packed(b"request", b"GET / HTTP/1.1\r\n\r\n", b"Content-Type: application/http;msgtype=request"),
+        packed(b"response", http, b"content-type: application/http", b"warc-target-uri: http://a/\xe9"), packed(b"metadata", b"a: b"), bytes(broken),
+        packed(b"resource", b"\x1f\x8b\x08 not a member", b"X-Page-Id: seven"), packed(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n", b"WARC-Payload-Digest: sha1:ABC", b"WARC-Refers-To: <urn:1>"),
+        packed(b"response", http, b"Content-Type: application/http")[:-20]]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(parts))
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    files = spark.createDataFrame([(f"file:{path}", path.stat().st_size)], "path string, bytes long")
+    for split in (50, 1 << 20):
+        found = sorted(warc.read_warc(files, split_bytes=split).collect(), key=lambda r: r.position)
+        assert [(r.position, r.record_type) for r in found] == list(zip(starts, (
+            "warcinfo", "request", "response", "metadata", "damaged", "resource", "revisit", "damaged")))
+        assert [None if r.payload is None else bytes(r.payload) for r in found] == [
+            b"software: x\r\n", b"GET / HTTP/1.1\r\n\r\n", b"<html>body</html>", b"a: b", None, b"\x1f\x8b\x08 not a member", None, None]
+        assert found[2].url.startswith("http://a/") and found[5].page_id is None
+        assert (found[6].payload_digest, found[6].payload_bytes, found[6].refers_to, found[6].refers_to_id) == ("sha1:ABC", None, None, "<urn:1>")
+
+
 def test_chats_in_parts_read_the_same(spark, monkeypatch):
     rows = [(1, 0, "user", "hi \\ <s> [/INST] </s>"), (1, 1, "assistant", "so \\</s> [\\INST]"), (1, 1, "assistant", "so \\</s> [\\INST]"),
             (2, None, None, None), (None, 3, "assistant", "é\n"), (None, 2, "tool", "[INST]"), (3, 0, "<s>", "x" * 3000)]

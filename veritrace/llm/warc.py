@@ -23,6 +23,8 @@ LEAST_SHARED = 100
 #: Start of a gzip member with the deflate method.
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+#: Type given to records that begin well and cannot be read.
+DAMAGED = "damaged"
 CHUNK = 1 << 16
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -107,36 +109,74 @@ def write_warc(pages: DataFrame, folder: str, *, date: str = "1970-01-01T00:00:0
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Headers and block of a decoded member; None unless it is one whole WARC record."""
+    """Headers (names in lower case) and block of a decoded member; None unless it is one whole WARC record."""
     if not data.startswith(b"WARC/1."):
         return None
     head, found, rest = data.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-    if not found or not headers.get("Content-Length", "").isdigit() or "WARC-Type" not in headers:
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    headers = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+    if not found or not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
         return None
-    length = int(headers["Content-Length"])
+    length = int(headers["content-length"])
     return (headers, rest[:length]) if rest[length:] == b"\r\n\r\n" else None
 
 
+def whole_number(text: str | None) -> int | None:
+    return int(text) if text and text.removeprefix("-").isdecimal() and len(text) < 19 else None
+
+
+def values(path: str, position: int, headers: dict[str, str], block: bytes) -> tuple:
+    """A row of ``read_warc``. A digest is the one of the payload, or for revisits the one their header states."""
+    kind, http = headers["warc-type"], headers.get("content-type", "").startswith("application/http")
+    payload = size = digest = None
+    if kind == "revisit":
+        stated = headers.get("warc-payload-digest", "")
+        size, digest = whole_number(headers.get("x-payload-length")), stated.removeprefix("sha256:") or None
+    elif kind != DAMAGED:
+        payload = block.partition(b"\r\n\r\n")[2] if http and kind == "response" else block
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    return (
+        path, position, kind, whole_number(headers.get("x-page-id")), headers.get("warc-target-uri"), payload, size, digest,
+        whole_number(headers.get("x-refers-to-page-id")), headers.get("warc-record-id"), headers.get("warc-refers-to"))
+
+
 def member(file, blob: bytes, start: int, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """The record whose member begins at ``blob[at]``, with the member's length; None for bytes that only look like one.
 
-    The first decoded bytes tell most false candidates; the checksum and the record's length the rest.
+    What decodes to the start of a record and then breaks off, fails its checksum or states a wrong length is a damaged
+    record of length 1, so that the search goes on behind its first byte.
     """
     inflate, parts, position = zlib.decompressobj(31), [], at
+    damaged = ({"warc-type": DAMAGED}, b"", 1)
     try:
         while not inflate.eof:
             chunk = blob[position:position + CHUNK] if position < len(blob) else file.read_at(CHUNK, start + position)
             if not chunk:
-                return None
+                return damaged if b"".join(parts).startswith(b"WARC/1.") else None
             parts.append(inflate.decompress(chunk))
             position += len(chunk)
             if len(parts) == 1 and len(parts[0]) >= 7 and not parts[0].startswith(b"WARC/1."):
                 return None
     except zlib.error:
-        return None
-    parsed = parse(b"".join(parts))
-    return parsed and (*parsed, position - len(inflate.unused_data) - at)
+        return damaged if b"".join(parts).startswith(b"WARC/1.") or begins_record(blob[at:at + CHUNK]) else None
+    data = b"".join(parts)
+    parsed = parse(data)
+    if parsed is None:
+        return damaged if data.startswith(b"WARC/1.") else None
+    return (*parsed, position - len(inflate.unused_data) - at)
+
+
+def begins_record(data: bytes) -> bool:
+    """Whether the bytes up to where decoding fails begin like a record."""
+    inflate, found = zlib.decompressobj(31), b""
+    try:
+        for at in range(len(data)):
+            found += inflate.decompress(data[at:at + 1])
+            if len(found) >= 7:
+                break
+    except zlib.error:
+        pass
+    return found.startswith(b"WARC/1.")
 
 
 def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -152,17 +192,25 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[s
 
 
 def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the archives in ``files`` (``path``, ``bytes``), one row each.
+    """Records of the archives in ``files`` (``path``, ``bytes``), one row each, of any type and writer.
 
     Files are cut into byte ranges of ``split_bytes`` that tasks read on their own: a task looks for the magic number of
     a gzip member, decodes what follows to see whether a record begins there, and owns the records that begin in its
-    range. Columns: path, position, record_type, page_id, url, payload (null for revisits), payload_bytes,
-    payload_digest, refers_to. No files give no rows.
+    range. Columns: path, position, record_type, page_id, url, payload, payload_bytes, payload_digest, refers_to,
+    record_id, refers_to_id.
+
+    The payload of an HTTP response is what follows its HTTP head, that of other records their block. Revisits have no
+    payload, and size, digest and target as far as their headers state them (a digest that is not SHA-256 keeps its
+    label). A record that cannot be read to its end is listed as ``damaged`` with its position alone. Headers that are
+    not UTF-8 keep what can be read; missing ones are null. No files give no rows.
     """
     splits = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
     total = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
-    names = ["path", "position", "record_type", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+    fields = {
+        "path": pa.string(), "position": pa.int64(), "record_type": pa.string(), "page_id": pa.int64(), "url": pa.string(),
+        "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(),
+        "record_id": pa.string(), "refers_to_id": pa.string()}
+    names, types = list(fields), list(fields.values())
 
     def read(batches):
         for batch in batches:
@@ -172,14 +220,7 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 held = 0
                 with fs.open_input_file(place) as file:
                     for position, headers, block in records(file, size, start, min(start + split_bytes, size)):
-                        response = headers["WARC-Type"] == "response"
-                        payload = block.partition(b"\r\n\r\n")[2] if response else None
-                        page, refers = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page-Id")
-                        rows.append((
-                            path, position, headers["WARC-Type"], page and int(page), headers.get("WARC-Target-URI"), payload,
-                            len(payload) if response else int(headers["X-Payload-Length"]),
-                            hashlib.sha256(payload).hexdigest() if response else headers["WARC-Payload-Digest"].removeprefix("sha256:"),
-                            refers and int(refers)))
+                        rows.append(values(path, position, headers, block))
                         held += len(block)
                         if held > split_bytes:
                             yield _rows(rows, names, types)
@@ -193,7 +234,7 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     dealt = splits.repartition(int(min(total, 100_000)), "path", "start")
     return map_arrow(dealt, read, (
         "path string, position long, record_type string, page_id long, url string, payload binary, payload_bytes long, "
-        "payload_digest string, refers_to long"))
+        "payload_digest string, refers_to long, record_id string, refers_to_id string"))
 
 
 @query("op2_warc_round_trip", ORACLE)
