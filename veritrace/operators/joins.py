@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrace.functions.text import tokens
 from veritrace.operators.skew import join_back, key_counts
@@ -36,7 +37,7 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 1024) ->
     ).drop("bin")
 
 
-@F.pandas_udf("array<struct<token string, n bigint>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])))
 def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([
         [] if x is None or y is None else [{"token": t, "n": n} for t, n in (Counter(x) & Counter(y)).items()] for x, y in zip(a, b)], dtype=object)
