@@ -16,9 +16,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.functions import answers as A
-from veritrace.functions import formulas
 from veritrace.functions import normalize as N
+from veritrace.functions.answers import number, symbolic, words_only
+from veritrace.functions.formulas import constant, read
 from veritrace.operators.metrics import running_majority
 from veritrace.operators.skew import join_back, key_counts
 from veritrace.session import materialize
@@ -40,29 +40,29 @@ class Classes:
         low = text.lower()
         if low in self.places:
             return self.places[low]
-        value = A.number(text)
-        if value is None and text and not A.words_only(text):
-            tree = formulas.read(text)
-            value = None if tree is None else formulas.constant(tree)
-        equal = [i for i in (self._near(value) if value is not None else self.others) if A.symbolic(self.texts[i], text)]
+        value = number(text)
+        if value is None and text and not words_only(text):
+            tree = read(text)
+            value = None if tree is None else constant(tree)
+        equal = [i for i in (self._near(value) if value is not None else self.others) if symbolic(self.texts[i], text)]
         if equal:
             return min(equal)
-        number = len(self.texts)
+        new = len(self.texts)
         self.texts.append(text)
-        self.places[low] = number
+        self.places[low] = new
         if value is None:
-            self.others.append(number)
+            self.others.append(new)
         else:
-            bisect.insort(self.values, (value, number))
-        return number
+            bisect.insort(self.values, (value, new))
+        return new
 
     def _near(self, value: float) -> Iterator[int]:
         """Classes with a value within the widest tolerance of this one, or of it as a percentage."""
         for center in (value, value * 100, value / 100):
             width = 2e-3 * abs(center) + 2e-8
             start = bisect.bisect_left(self.values, (center - width, -1))
-            for near, number in self.values[start:bisect.bisect_right(self.values, (center + width, len(self.texts)))]:
-                yield number
+            for _, place in self.values[start:bisect.bisect_right(self.values, (center + width, len(self.texts)))]:
+                yield place
 
 
 def answer_classes(df: DataFrame, keys: list[str], answer: str, position: str) -> DataFrame:
