@@ -54,12 +54,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has far fewer splits than the cluster has slots; no shuffle otherwise.
+    """Use every core when the input has fewer splits than the cluster has slots; no shuffle otherwise.
 
     A table of few row groups cannot be split by the reader, and text work takes longer than dealing its rows anew.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() * 4 <= slots else df
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
