@@ -165,7 +165,12 @@ def text_transitions(
 
     The lines of a text are already in order, so consecutive labels pair up inside the row: no window, no shuffle.
     """
-    labels = F.transform(F.filter(F.split(F.col(text), "\\r\\n|\\r|\\n"), lambda s: s.rlike(r"\S")), label)
+    return texts.select(key, F.explode(transition_array(F.col(text), label)).alias("e")).select(key, "e.src", "e.dst")
+
+
+def transition_array(text: Column, label: Callable[[Column], Column]) -> Column:
+    """The transitions of one text in order, as structs of src and dst; NULL without a line."""
+    labels = F.transform(F.filter(F.split(text, "\\r\\n|\\r|\\n"), lambda s: s.rlike(r"\S")), label)
     def edges(nodes: Column) -> Column:
         arrows = F.zip_with(
             F.concat(F.array(F.lit(START)), nodes), F.concat(nodes, F.array(F.lit(END))),
@@ -174,7 +179,7 @@ def text_transitions(
         return F.when(F.size(nodes) > 0, arrows)
 
     # Bound once: a label is computed a single time although every inner label ends one edge and starts the next.
-    return texts.select(key, F.explode(let(labels, edges)).alias("e")).select(key, "e.src", "e.dst")
+    return let(labels, edges)
 
 
 def label_by_rules(line: Column, rules: list[tuple[str, str]], default: str) -> Column:

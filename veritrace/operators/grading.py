@@ -14,8 +14,8 @@ from veritrace.functions import compare as C
 from veritrace.functions import normalize as N
 from veritrace.functions import text as X
 from veritrace.functions.answers import formula_equal, multilingual_equal, olympiad_equal, symbolic_equal
-from veritrace.operators.skew import join_back, key_counts
-from veritrace.session import materialize
+from veritrace.operators.skew import join_back, key_counts, total_rows
+from veritrace.session import deal, materialize
 
 Judge = Callable[[DataFrame], DataFrame]
 
@@ -248,11 +248,11 @@ def grade(
     wanted_judges = list(dict.fromkeys(step.by for steps in profiles.values() for step in steps))
     with ThreadPoolExecutor(len(wanted_judges)) as pool:  # they do not need each other: one plans while another runs
         judged = reduce(DataFrame.unionByName, pool.map(run, wanted_judges))
-    told = join_back(opened, judged, pair, pairs).groupBy("_answer").agg(
+    told = deal(join_back(opened, judged, pair, pairs, by_rows=True), total_rows(pairs), "_answer").groupBy("_answer").agg(
         F.min_by("judge", F.when(F.col("correct"), F.col("i"))).alias("judge"),
         F.min_by("judge", F.when(F.col("correct").isNull(), F.col("i"))).alias("_open"))
     told = told.select(*[F.col(f"_answer.{c}").alias(c) for c in answer], "judge", "_open")
-    done = join_back(read, told, answer, answers)
+    done = join_back(read, told, answer, answers, by_rows=True)
     unknown = F.when(F.col("judge").isNull(), F.coalesce(F.when(F.col("_long"), F.lit("length")), F.col("_open")))
     return done.select(*keys, "judge", F.col("judge").isNotNull().alias("correct"), unknown.alias("undecided"))
 

@@ -62,6 +62,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+#: Rows of a task where rows are thin: adaptive execution joins partitions by their compressed bytes, and a few megabytes of
+#: keys and numbers may unpack to gigabytes in a sort or a hash table.
+ROWS_PER_TASK = 65_536
+
+
+def deal(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """Rows by ``keys`` over so many tasks that each has about ``ROWS_PER_TASK`` of ``n_rows``; few rows are left as they are."""
+    spark = df.sparkSession
+    tasks = -(-n_rows // ROWS_PER_TASK)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return df
+    # With fewer tasks than this a join would shuffle dealt rows once more.
+    return df.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a written table, which outlives any lost executor."""
     path = new_folder(df.sparkSession, label)
