@@ -1,7 +1,7 @@
 """What a task, a Python worker or a batch holds must not grow with the table."""
 
 from veritrace import session
-from veritrace.operators import scoring
+from veritrace.operators import joins, scoring
 
 
 def test_rewards_are_dealt_by_rows(spark, monkeypatch):
@@ -13,3 +13,12 @@ def test_rewards_are_dealt_by_rows(spark, monkeypatch):
     assert value.where((value.value == 1) != (value.id % 2 == 0)).count() == 0
     both = scoring.score(df, {"accuracy": 1, "process": 1})
     assert both.rdd.getNumPartitions() >= 40 and both.where("r_accuracy = 1").count() == 400
+
+
+def test_shared_tokens_reach_python_row_by_row(spark):
+    preds = spark.createDataFrame([(1, 7, "a b b c"), (2, 7, None), (3, 9, "x"), (4, 8, "B, b; z")], "pred_id long, gold_id long, text string")
+    golds = spark.createDataFrame([(7, "b B c d"), (8, "b")], "gold_id long, text string")
+    found = joins.shared_tokens(preds, golds)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert {r.pred_id: sorted(map(tuple, r.shared)) for r in found.collect()} == {1: [("b", 2), ("c", 1)], 2: [], 3: [], 4: [("b", 1)]}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 from collections import Counter
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +36,12 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 1024) ->
     ).drop("bin")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])))
-def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([
-        [] if x is None or y is None else [{"token": t, "n": n} for t, n in (Counter(x) & Counter(y)).items()] for x, y in zip(a, b)], dtype=object)
+def _shared(a: list[str] | None, b: list[str] | None) -> list[tuple[str, int]]:
+    return [] if a is None or b is None else list((Counter(a) & Counter(b)).items())
+
+
+#: Row by row: an Arrow batch would hold the tokens of 10,000 texts of any length in each Python worker.
+_shared_column = F.udf(_shared, T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])), useArrow=False)
 
 
 def shared_tokens(predictions: DataFrame, golds: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def shared_tokens(predictions: DataFrame, golds: DataFrame) -> DataFrame:
     both = join_back(mine, split, ["gold_id"], key_counts(predictions, ["gold_id"], "gold-uses"))
     return both.select(
         "pred_id", "gold_id", F.size("_pred").cast("bigint").alias("pred_tokens"),
-        F.coalesce(F.size("_gold"), F.lit(0)).cast("bigint").alias("gold_tokens"), _shared("_pred", "_gold").alias("shared"))
+        F.coalesce(F.size("_gold"), F.lit(0)).cast("bigint").alias("gold_tokens"), _shared_column("_pred", "_gold").alias("shared"))
 
 
 def token_overlap(predictions: DataFrame, golds: DataFrame) -> DataFrame:
