@@ -1,7 +1,7 @@
 """What a task, a Python worker or a batch holds must not grow with the table."""
 
 from veritrace import session
-from veritrace.operators import joins, scoring
+from veritrace.operators import joins, language, scoring
 
 
 def test_rewards_are_dealt_by_rows(spark, monkeypatch):
@@ -22,3 +22,14 @@ def test_shared_tokens_reach_python_row_by_row(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert {r.pred_id: sorted(map(tuple, r.shared)) for r in found.collect()} == {1: [("b", 2), ("c", 1)], 2: [], 3: [], 4: [("b", 1)]}
+
+
+def test_trigrams_are_counted_in_the_text(spark, monkeypatch):
+    monkeypatch.setattr(language, "CHUNK", 5)
+    texts = spark.createDataFrame([(1, "en", "aAaaa"), (1, "en", "aaab"), (None, "en", None), (2, "de", "😀x😀x😀"), (3, "de", "ab")], "id int, lang string, text string")
+
+    def code(gram):
+        return sum(ord(c) << (42 - 21 * i) for i, c in enumerate(gram))
+
+    rows = sorted((r.id, r.gram, r.n) for r in language.text_grams(texts, "id", "text").collect())
+    assert rows == sorted([(1, code("aaa"), 3), (1, code("aaa"), 1), (1, code("aab"), 1), (2, code("😀x😀"), 2), (2, code("x😀x"), 1)])
