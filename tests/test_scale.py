@@ -1,7 +1,11 @@
 """What a task, a Python worker or a batch holds must not grow with the table."""
 
+from pyspark.sql import Row
+from pyspark.sql import types as T
+
 from veritrace import session
 from veritrace.operators import joins, language, scoring
+from veritrace.streaming import jobs
 
 
 def test_rewards_are_dealt_by_rows(spark, monkeypatch):
@@ -33,3 +37,34 @@ def test_trigrams_are_counted_in_the_text(spark, monkeypatch):
 
     rows = sorted((r.id, r.gram, r.n) for r in language.text_grams(texts, "id", "text").collect())
     assert rows == sorted([(1, code("aaa"), 3), (1, code("aaa"), 1), (1, code("aab"), 1), (2, code("😀x😀"), 2), (2, code("x😀x"), 1)])
+
+
+class _Kept:
+    """A value state, and the handle that gives it."""
+
+    value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_state_by_case_works_on_rows():
+    kind, kept = T.StructType([T.StructField("_ts", T.LongType()), T.StructField("_event_id", T.LongType())]), _Kept()
+    state = jobs._CaseEdges(kind, None)
+    state.init(kept)
+
+    def feed(*events):
+        rows = iter([Row(activity=a, _ts=ts, _event_id=i, _at=[str(ts), str(i)]) for a, ts, i in events])
+        return [(r.kind, r.src, r.dst, r.cnt, r.activity, r["at"]) for r in state.handleInputRows(("x",), rows, None)]
+
+    assert feed(("B", 5, 2), ("A", 5, 1), ("B", 6, 3)) == [
+        ("edge", "▶", "A", 1, None, None), ("edge", "A", "B", 1, None, None), ("edge", "B", "B", 1, None, None)]
+    assert feed(("C", 4, 9), ("D", 6, 4), ("E", None, 5)) == [
+        ("edge", "B", "D", 1, None, None), ("late", None, None, 1, "C", ["4", "9"]), ("late", None, None, 1, "E", ["None", "5"])]
+    assert kept.value == (6, 4, "D")

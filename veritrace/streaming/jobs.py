@@ -9,9 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import timedelta
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -123,52 +122,63 @@ def activity_counts(stream: DataFrame, ts: str, delay: str, length: str, slide:
 
 
 EDGES = "kind string, src string, dst string, cnt long, case_id string, activity string, at array<string>"
+_edge = Row(*[part.split()[0] for part in EDGES.split(", ")])
 
 
 class _CaseEdges(StatefulProcessor):
-    """Edges of one case. The state is its last placed event: the activity, and the order columns to compare with."""
+    """Edges of one case. The state is its last placed event: the activity, and the order columns to compare with.
 
-    def __init__(self, order: list[str], types: T.StructType, gap_ms: int | None):
-        self.order, self.types, self.gap_ms = order, types, gap_ms
+    Works on rows: most cases have few events in a batch, and a data frame for each would take far longer than they do.
+    """
+
+    def __init__(self, types: T.StructType, gap_ms: int | None):
+        self.types, self.columns, self.gap_ms = types, types.names, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([*self.types.fields, T.StructField("activity", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        before = self.last.get() if self.last.exists() else None
-        late = batch.iloc[:0]
+        events = sorted(((tuple(row[c] for c in self.columns), row["activity"], row["_at"]) for row in rows), key=lambda e: _nulls_last(e[0]))
+        before = self.last.get()
+        late = []
         if before is not None:
-            ahead = [tuple(row) > tuple(before[:-1]) for row in zip(*[self._plain(batch[c]) for c in self.order], strict=True)]
-            late, batch = batch[[not x for x in ahead]], batch[ahead]
-        if len(batch):
-            names = batch["activity"].tolist()
+            place = tuple(before)[:-1]
+            late = [e for e in events if not _behind(place, e[0])]
+            events = [e for e in events if _behind(place, e[0])]
+        if events:
+            names = [name for _, name, _ in events]
             edges = Counter(zip([before[-1] if before is not None else START, *names[:-1]], names, strict=True))
-            self.last.update((*[self._plain(batch[c].iloc[-1:])[0] for c in self.order], names[-1]))
+            self.last.update((*events[-1][0], names[-1]))
             if self.gap_ms is not None:
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-                self.handle.registerTimer(int(batch[self.order[0]].iloc[-1].timestamp() * 1000) + self.gap_ms)
-            yield pd.DataFrame([("edge", a, b, n, None, None, None) for (a, b), n in edges.items()], columns=EDGE_NAMES)
-        if len(late):
-            at = zip(*[late[c].astype(str) for c in self.order], strict=True)
-            yield pd.DataFrame(
-                [("late", None, None, 1, key[0], name, list(place)) for name, place in zip(late["activity"], at, strict=True)], columns=EDGE_NAMES)
+                self.handle.registerTimer(events[-1][0][0] // 1000 + self.gap_ms)
+            for (a, b), n in edges.items():
+                yield _edge("edge", a, b, n, None, None, None)
+        for _, name, at in late:
+            yield _edge("late", None, None, 1, key[0], name, at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.last.clear()
-        yield pd.DataFrame([], columns=EDGE_NAMES)
+        return iter(())
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _plain(values: pd.Series) -> list:
-        return values.dt.to_pydatetime().tolist() if hasattr(values, "dt") and str(values.dtype).startswith("datetime") else values.tolist()
+
+def _nulls_last(place: tuple) -> tuple:
+    return tuple((v is None, v) for v in place)
+
+
+def _behind(last: tuple, place: tuple) -> bool:
+    """Whether ``place`` lies behind ``last``; a NULL against a value does not."""
+    for a, b in zip(last, place, strict=True):
+        if a != b:
+            return a is not None and b is not None and b > a
+    return False
 
 
-EDGE_NAMES = [part.split()[0] for part in EDGES.split(", ")]
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -184,15 +194,19 @@ def keyed_dfg(stream: DataFrame, order: list[str], gap: str | None = None, delay
     case without new events is forgotten once the watermark passes, and begins anew if it comes back. A case's events of
     one micro-batch are ordered in one task, so the batch size bounds what a hot case needs.
     """
-    types = T.StructType([f for f in stream.schema.fields if f.name in order])
-    types = T.StructType([types[c] for c in order])
     gap_ms = None
     if gap is not None:
         stream = stream.withWatermark(order[0], delay)
         count, unit = gap.split()
         gap_ms = int(timedelta(**{unit if unit.endswith("s") else f"{unit}s": int(count)}).total_seconds() * 1000)
-    return stream.groupBy("case_id").transformWithStateInPandas(
-        _CaseEdges(order, types, gap_ms), EDGES, "Append", "None" if gap is None else "EventTime")
+    times = {f.name for f in stream.schema.fields if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType)}
+    # Times as microseconds, so a place compares and is kept as plain numbers whatever the zone of a worker.
+    place = [(F.unix_micros(F.col(c).cast("timestamp")) if c in times else F.col(c)).alias(f"_{c}") for c in order]
+    rows = stream.select("case_id", "activity", *([] if gap is None else [order[0]]), *place,
+                         F.array(*[F.col(c).cast("string") for c in order]).alias("_at"))
+    types = T.StructType([rows.schema[f"_{c}"] for c in order])
+    return rows.groupBy("case_id").transformWithState(
+        _CaseEdges(types, gap_ms), EDGES, "Append", "None" if gap is None else "EventTime")
 
 
 def run_keyed(stream: DataFrame, path: str, checkpoint: str) -> RunCounts:
