@@ -124,3 +124,30 @@ def test_default_labels_are_in_the_vocabulary(spark):
     assert {label for _, label in LABEL_RULES} == set(ACTIVITIES)
     got = one(spark, "Therefore the answer is 4.", lambda c: label_by_rules(c, LABEL_RULES, "Interpret Result"))
     assert got == "Conclude Final Result"
+
+
+def test_plain_texts_meet_few_replacements(spark):
+    """Replacements that need a mark run behind a look for their marks: a plain number meets only a few one by one."""
+    for profile in (N.STRING, N.STRIP, N.MATHD, N.GRADE, N.SYMBOLIC):
+        assert sum(not callable(step) for step in profile) <= 20
+    steps = [N.lit(r"\left"), N.lit("$"), N.lit("and", ","), N.lit(" .", " 0."), N.lit("{.", "{0."), N.lit("∞", "inf")]
+    texts = ["12", "", None, r"\left(1", "$5", "1 and 2", "a .5", "{.5}", "{5}", "2∞", "ad", ". ", "\\", "a\n$"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = N.run(N.run(df, "t", "guarded", [N.literals(steps)]), "t", "plain", steps).collect()
+    assert [r["guarded"] for r in rows] == [r["plain"] for r in rows]
+
+
+def test_closing_length_with_and_without_inner_braces(spark):
+    """The end of a box is found the same way where it holds braces, none, or never closes."""
+    texts = ["a}", "}", "a}b{", "{}}", "a{b}c}d", "{", "", "abc", "a{b}", "é}x", "{{}}}}", None]
+
+    def by_hand(text):
+        depth = 1
+        for i, c in enumerate(text or ""):
+            depth += (c == "{") - (c == "}")
+            if depth == 0:
+                return i + 1
+        return None if text is None else 0
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.closing_length(F.col("t"))).collect()] == [by_hand(t) for t in texts]

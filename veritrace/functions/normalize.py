@@ -11,6 +11,7 @@ Fixed values: the literals and patterns listed in the profiles below and the ord
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,21 @@ def only_if(pattern: str, steps: list[Step]) -> Step:
     return lambda s: F.when(s.rlike(pattern), chain(s, steps)).otherwise(s)
 
 
+_ORDINARY = frozenset(string.ascii_letters + string.digits + " +-*/^=(),.")
+
+
+def literals(steps: list[Step]) -> Step:
+    """A run of literal replacements; texts that hold a mark of none of them skip the whole run.
+
+    The mark of a literal is its first sign that plain formulas do not have, else the literal itself.
+    """
+    old = [step[1] for step in steps]
+    marks = [next((c for c in text if c not in _ORDINARY), None) for text in old]
+    signs = "".join(rf"\x{{{ord(c):x}}}" for c in dict.fromkeys(c for c in marks if c))
+    words = [quote(text) for text, mark in zip(old, marks, strict=True) if mark is None]
+    return only_if("|".join([f"[{signs}]", *words]) if signs else "|".join(words), steps)
+
+
 def to_number(text: Column) -> Column:
     """Double value of a plain decimal number, NULL otherwise."""
     return F.when(text.rlike(NUMBER_TEXT), strip(text).try_cast("double"))
@@ -87,7 +103,7 @@ def brace_fracs(s: Column) -> Column:
     r"""Give ``\frac`` arguments their braces; a text with a ``\frac`` too short to repair stays as it is."""
     repaired = F.regexp_replace(s, r"(?s)\\frac([^{])\{", r"\\frac{$1}{")
     repaired = F.regexp_replace(repaired, r"(?s)\\frac([^{])([^{])", r"\\frac{$1}{$2}")
-    return F.when(s.rlike(r"(?s)\\frac(?!\{).?(?:\\frac|\z)"), s).otherwise(repaired)
+    return F.when(~has(s, r"\frac") | s.rlike(r"(?s)\\frac(?!\{).?(?:\\frac|\z)"), s).otherwise(repaired)
 
 
 def slash_to_frac(with_sqrt: bool) -> Step:
@@ -99,8 +115,8 @@ def slash_to_frac(with_sqrt: bool) -> Step:
 def keep_right(max_left: int) -> Callable[[Column], Column]:
     """``x=value`` keeps the value when there is one sign and a short left side."""
     def step(s: Column) -> Column:
-        return let(F.split(s, "=", -1), lambda p: F.when(
-            (F.size(p) == 2) & (F.length(p[0]) <= max_left), F.element_at(p, 2)).otherwise(s))
+        return F.when(has(s, "="), let(F.split(s, "=", -1), lambda p: F.when(
+            (F.size(p) == 2) & (F.length(p[0]) <= max_left), F.element_at(p, 2)).otherwise(s))).otherwise(s)
     return step
 
 
@@ -124,7 +140,9 @@ def infinity(s: Column) -> Column:
 
 
 def _unit_steps(units: list[str]) -> Step:
-    return only_if("|".join(units), [sub(rf"{unit}(es)?(s)? *(\^[0-9]+)?") for unit in units])
+    """Units begin with a letter: texts without any are not searched for them."""
+    removed = [sub(rf"{unit}(es)?(s)? *(\^[0-9]+)?") for unit in units]
+    return lambda s: F.when(s.rlike("[a-zA-Z]") & s.rlike("|".join(units)), chain(s, removed)).otherwise(s)
 
 
 # ---------------------------------------------------------------- profile "string"
@@ -160,44 +178,60 @@ def strip_currency(s: Column) -> Column:
 
 
 STRING: list[Step] = [
-    lit(r"\left"), lit(r"\right"),
-    sub(r"\s*\\text\{\s*(or|and)\s*\}\s*", ","), sub(r",\s*,", ","),
+    only_if(r"\\", [lit(r"\left"), lit(r"\right"), sub(r"\s*\\text\{\s*(or|and)\s*\}\s*", ",")]), sub(r",\s*,", ","),
     _cut_units, _after_in,
     only_if(r"\\", [
         step for name in ("text", "mathrm", "mathcal", "textbf", "textit")
         for step in (lit(rf"\\{name}"), sub(rf"^\\{name}\{{(.+?)\}}$", "$1"))
     ]),
-    lit(r"\!"), lit(r"\%", "%"), lit(r"\$", "$"), lit("$"), lit("%"), lit(r"^{\circ}"),
-    lit(" or ", " , "), lit(" and ", " , "),
-    *[lit(word, power) for word, power in rules.MAGNITUDES.items()],
+    literals([
+        lit(r"\!"), lit(r"\%", "%"), lit(r"\$", "$"), lit("$"), lit("%"), lit(r"^{\circ}"),
+        lit(" or ", " , "), lit(" and ", " , "),
+        *[lit(word, power) for word, power in rules.MAGNITUDES.items()],
+    ]),
     _unit_steps(rules.STRING_UNITS),
     _drop_day,
-    sub(r"\^ *\\\\circ"),
-    sub(r"(?s)^\{(.*)\}$", "$1"),
-    sub(r"(?U)\\sqrt(\s*\w+)", r"\\sqrt{$1}"),
-    sub(r"\\frac +", r"\\frac"), brace_fracs,
-    sub("- *", "-"), sub("([0-9]) +([0-9])", "$1+$2"),
-    sub(r"(\d+) *\\frac\{(\d+)\}\{(\d+)\}", "$1 + $2/$3"),
-    lit(" "),
+    only_if(r"[\\{]", [
+        sub(r"\^ *\\\\circ"),
+        sub(r"(?s)^\{(.*)\}$", "$1"),
+        sub(r"(?U)\\sqrt(\s*\w+)", r"\\sqrt{$1}"),
+        sub(r"\\frac +", r"\\frac"),
+    ]),
+    brace_fracs,
+    only_if(r"[ \\]", [
+        sub("- *", "-"), sub("([0-9]) +([0-9])", "$1+$2"),
+        sub(r"(\d+) *\\frac\{(\d+)\}\{(\d+)\}", "$1 + $2/$3"),
+        lit(" "),
+    ]),
     whole,
 ]
 
 # ---------------------------------------------------------------- profile "strip"
 
 STRIP: list[Step] = [
-    strip, lit("\n"), lambda s: rstrip(s, "."), lit(r"\!"),
-    sub(r"(?s)^\\text\{(.*)\}$", "$1"),
-    lit("tfrac", "frac"), lit("dfrac", "frac"), lit("cfrac", "frac"), lit(r"\left"), lit(r"\right"),
+    strip, lit("\n"), lambda s: rstrip(s, "."),
+    only_if(r"\\|[tdc]frac", [
+        lit(r"\!"), sub(r"(?s)^\\text\{(.*)\}$", "$1"),
+        lit("tfrac", "frac"), lit("dfrac", "frac"), lit("cfrac", "frac"), lit(r"\left"), lit(r"\right"),
+    ]),
     unless_empty(r"\\text\{.*?\}$"),
     lit(r"^{\circ}"), strip, lit(r"^\circ"), strip,
     sub(r"\{(c|m)?m\}(\^(2|3))?"), strip, sub(r"p\.m\.$"), strip, sub(r"(\d)\s*t$", "$1"), strip,
-    lit(r"\$"), lit("$"), lit(r"x\in"), lit(r"\%", "%"), lit(" .", " 0."), lit("{.", "{0."), lit(r"\cdot"),
-    lit("infinity", r"\infty"), infinity, lit(r"+\inity", r"\infty"), lit(r"\mathbf"), lit(r"\mathrm"),
-    sub(r"\\mbox\{.*?\}"), lit("'"), lit('"'), imaginary,
+    literals([
+        lit(r"\$"), lit("$"), lit(r"x\in"), lit(r"\%", "%"), lit(" .", " 0."), lit("{.", "{0."), lit(r"\cdot"),
+        lit("infinity", r"\infty"),
+    ]),
+    infinity,
+    only_if("[\\\\'\"]", [
+        lit(r"+\inity", r"\infty"), lit(r"\mathbf"), lit(r"\mathrm"), sub(r"\\mbox\{.*?\}"), lit("'"), lit('"'),
+    ]),
+    imaginary,
     sub(r"(\d+)\.0+([^\d])", "$1$2"), sub(r"(\d+)\.0+$", "$1"),
     leading_zero,
-    sub(r"\\sqrt(-?[0-9.a-zA-Z]+)", r"\\sqrt{$1}"), sub(r"(?U)\\sqrt\s+(\w+)$", r"\\sqrt{$1}"),
-    sub(r"\\tan(-?[0-9.a-zA-Z]+)", r"\\tan{$1}"), sub(r"(?U)\\tan\s+(\w+)$", r"\\tan{$1}"),
+    only_if(r"\\", [
+        sub(r"\\sqrt(-?[0-9.a-zA-Z]+)", r"\\sqrt{$1}"), sub(r"(?U)\\sqrt\s+(\w+)$", r"\\sqrt{$1}"),
+        sub(r"\\tan(-?[0-9.a-zA-Z]+)", r"\\tan{$1}"), sub(r"(?U)\\tan\s+(\w+)$", r"\\tan{$1}"),
+    ]),
     lit(" "), brace_fracs, slash_to_frac(with_sqrt=True), sub(r"(\\|,|\.)+$"),
 ]
 
@@ -205,10 +239,13 @@ STRIP: list[Step] = [
 
 MATHD: list[Step] = [
     strip, sub(r"(?d)^\\text\{(.+?)\}$", "$1"), strip,
-    lit("\n"), lit(r"\!"), lit("\\\\", "\\"), lit("tfrac", "frac"), lit("dfrac", "frac"), lit(r"\left"), lit(r"\right"),
-    lit(r"^{\circ}"), lit(r"^\circ"), lit(r"\$"), sub(r"(?s)\\text\{ .*"), lit(r"\%"),
-    lit(" .", " 0."), lit("{.", "{0."), leading_zero, keep_right(2),
-    sub(r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"), lit(" "), brace_fracs,
+    only_if(r"[\n\\ {]|[td]frac", [
+        lit("\n"), lit(r"\!"), lit("\\\\", "\\"), lit("tfrac", "frac"), lit("dfrac", "frac"), lit(r"\left"), lit(r"\right"),
+        lit(r"^{\circ}"), lit(r"^\circ"), lit(r"\$"), sub(r"(?s)\\text\{ .*"), lit(r"\%"),
+        lit(" .", " 0."), lit("{.", "{0."),
+    ]),
+    leading_zero, keep_right(2),
+    only_if(r"[\\ ]", [sub(r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"), lit(" ")]), brace_fracs,
     sub(r"^0\.5$", r"\\frac{1}{2}"), slash_to_frac(with_sqrt=False),
 ]
 
@@ -237,13 +274,16 @@ def _round_number(s: Column) -> Column:
 
 
 GRADE: list[Step] = [
-    sub(r"(?d)^\\text\{(.+?)\}$", "$1"), lit(r"\%", "%"), lit(r"\$", "$"), lit("$"), lit("%"),
-    lit(" or ", " , "), lit(" and ", " , "),
-    *[lit(word, power) for word, power in rules.MAGNITUDES.items()],
+    sub(r"(?d)^\\text\{(.+?)\}$", "$1"),
+    literals([
+        lit(r"\%", "%"), lit(r"\$", "$"), lit("$"), lit("%"),
+        lit(" or ", " , "), lit(" and ", " , "),
+        *[lit(word, power) for word, power in rules.MAGNITUDES.items()],
+    ]),
     _unit_steps(rules.GRADE_UNITS),
-    sub(r"\^ *\\circ"), sub(r"(?s)^\{(.*)\}$", "$1"), sub(r",\\! *"),
+    only_if(r"[\\{]", [sub(r"\^ *\\circ"), sub(r"(?s)^\{(.*)\}$", "$1"), sub(r",\\! *")]),
     _round_number, _plain_if_latex,
-    sub("- *", "-"), sub("([0-9]) +([0-9])", "$1+$2"), lit(" "), lit("{"), lit("}"), F.lower,
+    only_if("[ {}]", [sub("- *", "-"), sub("([0-9]) +([0-9])", "$1+$2"), lit(" "), lit("{"), lit("}")]), F.lower,
     whole,
 ]
 
@@ -317,7 +357,7 @@ def word_number(s: Column) -> Column:
         F.filter(F.split(F.substring_index(low, "point", -1), "[ -]+", -1), lambda w: w != ""),
         lambda w: F.try_element_at(words, w).cast("string")), "")
     number = F.when(has(low, "point"), F.concat(value, F.lit("."), digits)).otherwise(value)
-    return F.when(s.rlike(_NUMBER_TEXT), number).otherwise(s)
+    return F.when(s.rlike("[a-zA-Z]") & s.rlike(_NUMBER_TEXT), number).otherwise(s)
 
 
 def multilingual(skip_unit: bool = False) -> list[Step]:
@@ -415,7 +455,8 @@ def _drop_command(s: Column, name: Column) -> Column:
 def _drop_commands(s: Column) -> Column:
     """Texts without any of the commands are not examined."""
     names = F.array(*[F.lit(c) for c in rules.SYMBOLIC_COMMANDS])
-    return F.when(s.rlike("|".join(quote(c) for c in rules.SYMBOLIC_COMMANDS)), F.aggregate(names, s, _drop_command)).otherwise(s)
+    named = has(s, "\\") & s.rlike("|".join(quote(c) for c in rules.SYMBOLIC_COMMANDS))
+    return F.when(named, F.aggregate(names, s, _drop_command)).otherwise(s)
 
 
 def is_set(s: Column) -> Column:
@@ -429,10 +470,6 @@ def _set_members(s: Column) -> Column:
     return F.when(is_set(s), F.array_join(F.array_sort(F.array_distinct(members)), ",")).otherwise(s)
 
 
-def _per_member(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda s: F.array_join(F.transform(F.split(s, ",", -1), step), ",")
-
-
 def _right_side(s: Column) -> Column:
     """Value of an equality chain, of a named quantity, or of an equality without letters on its left."""
     def pick(p: Column) -> Column:
@@ -443,7 +480,7 @@ def _right_side(s: Column) -> Column:
             .otherwise(F.array_join(p, "="))
         )
 
-    return F.when(has(s, r"\begin{array}"), s).otherwise(let(F.split(s, "=", -1), pick))
+    return F.when(~has(s, "=") | has(s, r"\begin{array}"), s).otherwise(let(F.split(s, "=", -1), pick))
 
 
 def _outside_if_single(s: Column) -> Column:
@@ -452,14 +489,14 @@ def _outside_if_single(s: Column) -> Column:
 
 def _plus_minus(s: Column) -> Column:
     sides = rules.PLUS_MINUS_SIDES
-    return let(bare(s), lambda o: F.when(
-        o.rlike(sides), F.regexp_replace(o, sides, "$1-$2,$1+$2")).otherwise(s))
+    return F.when(has(s, r"\pm") | has(s, r"\mp"), let(bare(s), lambda o: F.when(
+        o.rlike(sides), F.regexp_replace(o, sides, "$1-$2,$1+$2")).otherwise(s))).otherwise(s)
 
 
 def _inequality(sign: str) -> Callable[[Column], Column]:
     def step(s: Column) -> Column:
         many = F.size(F.split(s, sign, -1)) > 2
-        return F.when(many & ~F.lower(s).rlike(",|and|or"), F.replace(s, F.lit(sign), F.lit(","))).otherwise(s)
+        return F.when(has(s, sign) & many & ~F.lower(s).rlike(",|and|or"), F.replace(s, F.lit(sign), F.lit(","))).otherwise(s)
     return step
 
 
@@ -484,27 +521,29 @@ def word_answer(s: Column) -> Column:
 
 SYMBOLIC: list[Step] = [
     lit("\n"), strip, clean_edges,
-    *[lit(t) for t in rules.SYMBOLIC_REMOVE],
-    *[lit(a, b) for a, b in rules.SYMBOLIC_REPLACE],
+    literals([*[lit(t) for t in rules.SYMBOLIC_REMOVE], *[lit(a, b) for a, b in rules.SYMBOLIC_REPLACE]]),
     infinity, lit(" "),
     _drop_commands,
     only_if(r"\\(begin|end)", [
         lit(rf"\{edge}{{{env}}}") for env in rules.SYMBOLIC_ENVIRONMENTS for edge in ("begin", "end")
     ]),
-    lit("rad"), sub(r"^(\d+) ?\^?\\?circ$", "$1"), sub(r"(\d+) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}"),
-    sub(rf"(?<!\\)(pi\b|{rules.FUNCTION_NAMES})", r"\\$1"),
-    sub(rf"\\?({rules.FUNCTION_NAMES})\^(\d+)", r"\\$1^{$2}"),
-    sub(rf"\\?({rules.FUNCTION_NAMES})(?!\^)", r"\\$1^{1}"),
-    sub(r"\{[a-z]?matrix\}", "{array}"), sub(r"\\begin\{array\}\{[lcr]*\}", r"\\begin{array}{}"),
+    lit("rad"), only_if("circ", [sub(r"^(\d+) ?\^?\\?circ$", "$1"), sub(r"(\d+) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}")]),
+    # The beginnings of all function names: few texts go on to the patterns that try each name at each place.
+    only_if("pi|[sctle](?:in|ec|os|ot|sc|an|og|n|xp)", [
+        sub(rf"(?<!\\)(pi\b|{rules.FUNCTION_NAMES})", r"\\$1"),
+        sub(rf"\\?({rules.FUNCTION_NAMES})\^(\d+)", r"\\$1^{$2}"),
+        sub(rf"\\?({rules.FUNCTION_NAMES})(?!\^)", r"\\$1^{1}"),
+    ]),
+    only_if(r"\{", [sub(r"\{[a-z]?matrix\}", "{array}"), sub(r"\\begin\{array\}\{[lcr]*\}", r"\\begin{array}{}")]),
     _double_backslash, imaginary,
     sub(r"(\d+)\.0+([^\d])", "$1$2"), sub(r"(\d+)\.0+$", "$1"),
-    only_if(
-        rf"[-\d\.\*\^{{}}](?:{'|'.join(rules.SYMBOLIC_UNITS)})",
+    only_if(  # every unit begins with a letter, so the units are tried only behind a number that a letter follows
+        rf"[-\d\.\*\^{{}}](?=[a-zA-Zμ])(?:{'|'.join(rules.SYMBOLIC_UNITS)})",
         [sub(rf"(?s)([-\d\.\*\^{{}}]+){unit}e?s?.*", "$1") for unit in rules.SYMBOLIC_UNITS],
     ),
     leading_zero, _set_members,
-    sub(r"\\?sqrt[\(\{\[](\w+)[\)\}\]]", r"\\sqrt{$1}"), sub(r"\\?sqrt\s*(\d+)", r"\\sqrt{$1}"),
-    _per_member(lambda m: F.regexp_replace(m, "^frac", r"\\frac")), brace_fracs,
+    only_if("sqrt", [sub(r"\\?sqrt[\(\{\[](\w+)[\)\}\]]", r"\\sqrt{$1}"), sub(r"\\?sqrt\s*(\d+)", r"\\sqrt{$1}")]),
+    sub("(^|,)frac", r"$1\\frac"), brace_fracs,
     sub(r"(\b\d+|sqrt\(.*?\))/(\d+|sqrt\(.*?\)\b)", r"\\frac{$1}{$2}"),
     sub(r"^[a-z]\\in"), _outside_if_single, _right_side, _plus_minus, sub(r"^0+([1-9])", "$1"),
     _outside_if_single, word_number, sub(r"\\mid([a-z])", r"\\mid $1"), clean_edges,
@@ -516,6 +555,7 @@ def symbolic(df: DataFrame, source: str, target: str) -> DataFrame:
     """Words (truth values, weekdays) win; every other answer goes through the symbolic profile."""
     df = run(df, source, target, SYMBOLIC)
     word = word_answer(clean_edges(F.replace(F.col(source), F.lit("\n"), F.lit(""))))
+    word = F.when(F.col(source).rlike("[a-zA-Z]"), word)  # no word is without a letter
     return df.withColumn(target, F.coalesce(word, F.col(target)))
 
 

@@ -66,7 +66,7 @@ def drop(text: Column, *literals: str) -> Column:
 def closing_length(tail: Column) -> Column:
     """Characters up to and including the brace that closes an already opened one; 0 when none does.
 
-    The text is folded brace by brace rather than character by character.
+    The text is folded brace by brace rather than character by character, and only where it has both kinds.
     """
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"))
 
@@ -75,9 +75,10 @@ def closing_length(tail: Column) -> Column:
         grown = F.struct(depth.alias("depth"), (acc["used"] + F.length(token)).alias("used"))
         return F.when(acc["depth"] == 0, acc).otherwise(grown)
 
-    return F.aggregate(
+    folded = F.aggregate(
         F.split(tail, r"(?<=[{}])"), start, step, lambda acc: F.when(acc["depth"] == 0, acc["used"]).otherwise(0)
     )
+    return F.when(~has(tail, "{") | ~has(tail, "}"), F.instr(tail, "}")).otherwise(folded)
 
 
 def balanced(tail: Column) -> Column:
